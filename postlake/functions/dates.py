@@ -83,20 +83,23 @@ def _named(text: Column, pattern: str, day_group: int, month_group: int) -> Colu
     return _iso(parts[2], month, parts[day_group - 1])
 
 
+def read_date(text: Column) -> Column:
+    """ISO date of an already cleaned text."""
+    low = F.lower(text)
+    return (
+        F.when(text.rlike(_ISO), _iso(*_parts(text, _ISO)))
+        .when(text.rlike(_ISO_COMPACT), _iso(*_parts(text, _ISO_COMPACT)))
+        .when(text.rlike(_ISO_WEEK), _week_date(text))
+        .when(low.rlike(_DAY_FIRST), _day_first(low))
+        .when(low.rlike(_YEAR_FIRST), _year_first(low))
+        .when(low.rlike(_DAY_MONTH), _named(low, _DAY_MONTH, 1, 2))
+        .when(low.rlike(_MONTH_DAY), _named(low, _MONTH_DAY, 2, 1))
+    )
+
+
 def to_iso_date(value: Column) -> Column:
-    def read(text: Column) -> Column:
-        low = F.lower(text)
-        return (
-            F.when(text.rlike(_ISO), _iso(*_parts(text, _ISO)))
-            .when(text.rlike(_ISO_COMPACT), _iso(*_parts(text, _ISO_COMPACT)))
-            .when(text.rlike(_ISO_WEEK), _week_date(text))
-            .when(low.rlike(_DAY_FIRST), _day_first(low))
-            .when(low.rlike(_YEAR_FIRST), _year_first(low))
-            .when(low.rlike(_DAY_MONTH), _named(low, _DAY_MONTH, 1, 2))
-            .when(low.rlike(_MONTH_DAY), _named(low, _MONTH_DAY, 2, 1))
-        )
-
-    return let(clean_text(value), read)
+    """ISO date of any text, NULL where none can be read."""
+    return let(clean_text(value), read_date)
 
 
 def day_of(value: Column) -> Column:

@@ -61,18 +61,26 @@ def to_float(value: Column) -> Column:
     return _finite(let(text, read))
 
 
+def whole(number: Column) -> Column:
+    """Half-even rounding; NULL outside the integer range."""
+    return F.bround(number).try_cast("int")
+
+
 def to_int(value: Column) -> Column:
-    """Half-even rounding of `to_float`; NULL outside the integer range."""
-    return F.bround(to_float(value)).try_cast("int")
+    return whole(to_float(value))
 
 
-def percent(value: Column) -> Column:
+def clamp_percent(number: Column) -> Column:
     """A workload held within 0..100."""
-    rounded = F.bround(to_float(value))
+    rounded = F.bround(number)
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(100.0), rounded))
     return F.when(rounded.isNotNull(), bounded.cast("int"))
 
 
+def percent(value: Column) -> Column:
+    return clamp_percent(to_float(value))
+
+
 def workload_range(value: Column) -> Column:
     """(min, max) percent from free text: digit runs of up to three, 0..100."""
     runs = F.regexp_extract_all(

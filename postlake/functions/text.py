@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Mapping
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space in the wide sense: Unicode blanks (no-break, thin, figure space
@@ -39,6 +40,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_each(df: DataFrame, into: str, values: Mapping[str, Column], body) -> DataFrame:
+    """Apply one expression to many columns at once: adds a struct column `into`
+    with a field per value. The plan then holds `body` once, not once per column."""
+    results = df.withColumn(into, F.transform(F.array(*values.values()), body))
+    fields = [F.get(into, F.lit(i)).alias(name) for i, name in enumerate(values)]
+    return results.withColumn(into, F.struct(*fields))
+
+
 def _packed(text: str) -> Column:
     return F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02"))
 

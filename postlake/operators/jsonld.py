@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import to_iso_date
+from ..functions.dates import read_date
 from ..functions.numbers import to_float
-from ..functions.places import contract_type, country_code
-from ..functions.text import clean_text, html_to_text
+from ..functions.places import contract_type, read_country
+from ..functions.text import clean_text, html_to_text, with_each
 from ..functions.variants import (
     as_list, first_object, is_object, member, objects_in, scalar_text, text_of,
 )
@@ -103,8 +103,10 @@ def posting_fields(pages: DataFrame) -> DataFrame:
         F.schema_of_variant(held).startswith("ARRAY"), first_object(held)
     ).otherwise(held)
 
-    # All texts go through one expression, read from one array.
-    wanted = {
+    parts = parts.withColumn("_amount", amount)
+    amount = F.col("_amount")
+    address, salary = F.col("_address"), F.col("_salary")
+    texts = {
         "title": member(p, "title"),
         "link": member(p, "url"),
         "posted": member(p, "datePosted"),
@@ -113,31 +115,33 @@ def posting_fields(pages: DataFrame) -> DataFrame:
         "id": F.when(~is_object(F.col("_id")), F.col("_id")),
         "id_value": member(F.col("_id"), "value"),
         "id_name": member(F.col("_id"), "name"),
-        "currency": member(F.col("_salary"), "currency"),
-        "currency_code": member(F.col("_salary"), "currencyCode"),
-        **{
-            key: member(F.col("_address"), name)
-            for key, name in (
-                ("locality", "addressLocality"), ("region", "addressRegion"),
-                ("postal", "postalCode"), ("country", "addressCountry"),
-                ("street", "streetAddress"),
-            )
-        },
+        "currency": member(salary, "currency"),
+        "currency_code": member(salary, "currencyCode"),
+        "locality": member(address, "addressLocality"),
+        "region": member(address, "addressRegion"),
+        "postal": member(address, "postalCode"),
+        "country": member(address, "addressCountry"),
+        "street": member(address, "streetAddress"),
     }
-    names = list(wanted)
-    read = parts.withColumns({"_amount": amount, "_values": F.array(*wanted.values())}).withColumn(
-        "_texts", F.transform("_values", lambda v: clean_text(text_of(v)))
-    )
+    numbers = {
+        "lat": member(F.col("_geo"), "latitude"),
+        "lon": member(F.col("_geo"), "longitude"),
+        "low": member(amount, "minValue"),
+        "high": member(amount, "maxValue"),
+        "single": F.when(is_object(amount), member(amount, "value")).otherwise(amount),
+    }
+    read = with_each(parts, "_t", texts, lambda v: clean_text(text_of(v)))
+    read = with_each(read, "_n", numbers, lambda v: to_float(scalar_text(v)))
+    days = {c: F.col(f"_t.{c}") for c in ("posted", "expires")}
+    read = with_each(read, "_d", days, read_date)
 
     def text(name: str) -> Column:
-        return F.get("_texts", F.lit(names.index(name)))
+        return F.col(f"_t.{name}")
 
-    def number(value: Column) -> Column:
-        return to_float(scalar_text(value))
+    def number(name: str) -> Column:
+        return F.col(f"_n.{name}")
 
-    amount = F.col("_amount")
-    single = F.when(is_object(amount), number(member(amount, "value"))).otherwise(number(amount))
-    low, high = (number(member(amount, k)) for k in ("minValue", "maxValue"))
+    low, high, single = number("low"), number("high"), number("single")
     neither = low.isNull() & high.isNull()
     contracts = F.filter(
         F.transform(as_list(member(p, "employmentType")), scalar_text), lambda t: t != ""
@@ -149,8 +153,8 @@ def posting_fields(pages: DataFrame) -> DataFrame:
         "description": html_to_text(scalar_text(member(p, "description"))),
         "external_id": F.coalesce(text("id_value"), text("id_name"), text("id")),
         "url": link,
-        "posted_at": to_iso_date(text("posted")),
-        "expires_at": to_iso_date(text("expires")),
+        "posted_at": F.col("_d.posted"),
+        "expires_at": F.col("_d.expires"),
         "contract_type": contract_type(F.get(contracts, F.lit(0))),
         "apply_url": link,
         "company": text("company"),
@@ -161,12 +165,12 @@ def posting_fields(pages: DataFrame) -> DataFrame:
         "city": city,
         "region": F.when(text("locality").isNotNull(), text("region")),
         "postal_code": text("postal"),
-        "country": country_code(text("country")),
+        "country": read_country(text("country")),
         "location_raw": F.nullif(
             F.concat_ws(", ", text("street"), text("postal"), city), F.lit("")
         ),
-        "lat": number(member(F.col("_geo"), "latitude")),
-        "lon": number(member(F.col("_geo"), "longitude")),
+        "lat": number("lat"),
+        "lon": number("lon"),
         "salary_min": F.when(neither, single).otherwise(low),
         "salary_max": F.when(neither, single).otherwise(high),
     }

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import to_iso_date
-from ..functions.numbers import percent, salary_range, to_float, workload_range
-from ..functions.places import country_code
-from ..functions.text import clean_text, let, strip, strip_lines
+from ..functions.dates import read_date
+from ..functions.numbers import clamp_percent, salary_range, to_float, workload_range
+from ..functions.places import read_country
+from ..functions.text import clean_text, strip, strip_lines, with_each
 from ..schema import CLEAN_TEXT_FIELDS, LIST_FIELDS, POSTING_FIELDS, RUN_COLUMNS, conform
 
 
@@ -31,51 +31,39 @@ def normalise(df: DataFrame, run_time: str | Column) -> DataFrame:
     """Any loose postings to clean ones. `run_time` fills a missing `scraped_at`;
     pass the same value for the whole run."""
     extra = [c for c in RUN_COLUMNS if c in df.columns]
-    loose = conform(df)
-
-    made: dict[str, Column] = {}
-    # All one-line texts go through one expression.
-    texts = let(
-        F.transform(F.array(*[F.col(c) for c in CLEAN_TEXT_FIELDS]), clean_text),
-        lambda a: F.struct(*[F.get(a, F.lit(i)).alias(c) for i, c in enumerate(CLEAN_TEXT_FIELDS)]),
-    )
-    for name in CLEAN_TEXT_FIELDS:
-        made[name] = F.col("_clean")[name]
-    made["description"] = strip_lines(F.col("description"))
-    made["country"] = country_code(F.col("country"))
-    for name in ("posted_at", "expires_at"):
-        made[name] = to_iso_date(F.col(name))
-    made["scraped_at"] = F.coalesce(
-        F.nullif(F.col("scraped_at"), F.lit("")),
-        F.lit(run_time) if isinstance(run_time, str) else run_time,
-    )
-    for name in ("lat", "lon", "salary_min", "salary_max"):
-        made[name] = to_float(F.col(name))
-    made["salary_currency"] = F.nullif(F.upper("salary_currency"), F.lit(""))
-    low, high = F.col("_low"), F.col("_high")
-    both = low.isNotNull() & high.isNotNull()
-    made["workload_min"] = F.when(both, F.least(low, high)).otherwise(low)
-    made["workload_max"] = F.when(both, F.greatest(low, high)).otherwise(high)
-    for name in LIST_FIELDS:
-        made[name] = clean_list(F.col(name))
-
-    staged = loose.withColumns(
-        {
-            "_clean": texts,
-            "_low": percent(F.col("workload_min")),
-            "_high": percent(F.col("workload_max")),
-        }
-    )
-    shaped = staged.select(
-        *[made.get(c, F.col(c)).alias(c) for c in POSTING_FIELDS if c != "fingerprint"],
-        F.col("fingerprint").alias("_given"),
-        *extra,
-    )
-    key = F.coalesce(
-        F.nullif("_given", F.lit("")),
-        fingerprint(F.col("source"), F.col("external_id"), F.col("url")),
-    )
-    return shaped.withColumn("fingerprint", key).select(*POSTING_FIELDS, *extra)
+    numbers = ("lat", "lon", "salary_min", "salary_max", "workload_min", "workload_max")
+    dates = ("posted_at", "expires_at")
+
+    staged = conform(df)
+    cleaned = (*CLEAN_TEXT_FIELDS, *dates, "country")
+    staged = with_each(staged, "_text", {c: F.col(c) for c in cleaned}, clean_text)
+    staged = with_each(staged, "_number", {c: F.col(c) for c in numbers}, to_float)
+    staged = with_each(staged, "_list", {c: F.col(c) for c in LIST_FIELDS}, clean_list)
+    staged = with_each(staged, "_date", {c: F.col(f"_text.{c}") for c in dates}, read_date)
+    low, high = (clamp_percent(F.col(f"_number.{c}")) for c in ("workload_min", "workload_max"))
+    staged = staged.withColumns({"_low": low, "_high": high})
+    both = F.col("_low").isNotNull() & F.col("_high").isNotNull()
+    given_time = F.nullif("scraped_at", F.lit(""))
+
+    made = {
+        **{c: F.col(f"_text.{c}") for c in CLEAN_TEXT_FIELDS},
+        **{c: F.col(f"_date.{c}") for c in dates},
+        **{c: F.col(f"_number.{c}") for c in numbers},
+        **{c: F.col(f"_list.{c}") for c in LIST_FIELDS},
+        "description": strip_lines(F.col("description")),
+        "country": read_country(F.col("_text.country")),
+        "scraped_at": F.coalesce(
+            given_time, F.lit(run_time) if isinstance(run_time, str) else run_time
+        ),
+        "salary_currency": F.nullif(F.upper("salary_currency"), F.lit("")),
+        "workload_min": F.when(both, F.least("_low", "_high")).otherwise(F.col("_low")),
+        "workload_max": F.when(both, F.greatest("_low", "_high")).otherwise(F.col("_high")),
+        "fingerprint": F.coalesce(
+            F.nullif("fingerprint", F.lit("")),
+            fingerprint(*[F.col(f"_text.{c}") for c in ("source", "external_id", "url")]),
+        ),
+    }
+    return staged.select(*[made[c].alias(c) for c in POSTING_FIELDS], *extra)
 
 
 def with_workload(df: DataFrame, column: str) -> DataFrame:
