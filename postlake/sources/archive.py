@@ -24,11 +24,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_archive(postings: DataFrame, path: str) -> None:
-    """One immutable set of JSON lines per source and run. NULLs are kept as keys."""
+    """One set of JSON lines per source and run; a run that is repeated replaces its
+    own set, no other is touched. NULLs are kept as keys."""
     (
         postings.select(*POSTING_FIELDS, "run_id")
         .withColumn("source", F.coalesce("source", F.lit("")))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source", "run_id")
         .option("ignoreNullFields", "false")
         .json(path)
