@@ -40,12 +40,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, into: str, value: Column) -> DataFrame:
+    """Add a column that is worked out exactly once per row.
+
+    A plain projected column is copied into every later expression and filter
+    that names it. A generated one is not: nothing is pushed below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(into))
+
+
 def with_each(df: DataFrame, into: str, values: Mapping[str, Column], body) -> DataFrame:
     """Apply one expression to many columns at once: adds a struct column `into`
     with a field per value. The plan then holds `body` once, not once per column."""
-    results = df.withColumn(into, F.transform(F.array(*values.values()), body))
-    fields = [F.get(into, F.lit(i)).alias(name) for i, name in enumerate(values)]
-    return results.withColumn(into, F.struct(*fields))
+    results = df.withColumn("_each", F.transform(F.array(*values.values()), body))
+    fields = [F.get("_each", F.lit(i)).alias(name) for i, name in enumerate(values)]
+    return once(results, into, F.struct(*fields)).drop("_each")
 
 
 def _packed(text: str) -> Column:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .filters import condition
 from .query import Box, Phrase
 from .search import (
-    FIELD_WEIGHTS, Corpus, _matches, _measured, _scored, browse, hit_names, page_of, with_tokens,
+    FIELD_WEIGHTS, Corpus, _matches, _measured, _scored, browse, hit_names, page_of,
+    token_fields, with_tokens,
 )
 
 BUCKETS = 64
@@ -32,15 +33,15 @@ def index_rows(state: DataFrame) -> DataFrame:
     """Index rows of the postings: (bucket, term, fingerprint, doc_tokens, field,
     hits, positions). One shuffle."""
     tokenised = with_tokens(state)
-    present = [(i, f) for i, f in enumerate(FIELD_WEIGHTS) if f"t_{f}" in tokenised.columns]
+    numbers = {name: number for number, name in enumerate(FIELD_WEIGHTS)}
 
     def placed(number: int, name: str) -> Column:
         return F.transform(
-            f"t_{name}",
+            f"t.{name}",
             lambda t, i: F.struct(F.lit(number).alias("field"), t.alias("term"), i.alias("pos")),
         )
 
-    words = F.concat(*[placed(i, f) for i, f in present])
+    words = F.concat(*[placed(numbers[f], f) for f in token_fields(tokenised)])
     one_per_word = tokenised.select("fingerprint", "doc_tokens", F.explode(words).alias("w"))
     spread = one_per_word.select(
         _bucket(F.col("w.term")).alias("bucket"),

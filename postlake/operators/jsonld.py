@@ -54,9 +54,11 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
     return pages.select(*others, F.posexplode(blocks_of(F.col("html"))).alias("block_pos", "block"))
 
 
-def find_posting(html: Column) -> Column:
-    """The first JobPosting of a page, NULL if it has none."""
-    return F.get(F.filter(blocks_of(html), is_posting), F.lit(0))
+def with_posting(pages: DataFrame, into: str = "posting") -> DataFrame:
+    """Replace `html` by the first JobPosting of the page, NULL if it has none."""
+    found = F.filter(blocks_of(F.col("html")), is_posting)
+    others = [c for c in pages.columns if c != "html"]
+    return pages.select(*others, F.explode_outer(F.slice(found, 1, 1)).alias(into))
 
 
 def _first_place(posting: Column) -> Column:
@@ -80,9 +82,7 @@ def posting_fields(pages: DataFrame) -> DataFrame:
     """Posting columns of every page (`url`, `html`, others kept as they are);
     all NULL but the address where a page embeds no posting. Adds `page_url`."""
     others = [c for c in pages.columns if c not in ("html", "url")]
-    found = pages.select(
-        *others, F.col("url").alias("page_url"), find_posting(F.col("html")).alias("_p")
-    )
+    found = with_posting(pages, "_p").withColumnRenamed("url", "page_url")
     p = F.col("_p")
     parts = found.withColumns(
         {

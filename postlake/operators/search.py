@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import once, tokens
 from ..session import scratch_path
 from .filters import condition, seen_day
 from .query import Box, Phrase
@@ -51,14 +51,17 @@ def field_text(df: DataFrame, name: str) -> Column:
 
 
 def with_tokens(df: DataFrame, *keep: str) -> DataFrame:
-    """`fingerprint`, kept columns, one token array per indexed field (`t_<field>`)
-    and their total length `doc_tokens`."""
+    """`fingerprint`, kept columns, one token array per indexed field (in the
+    struct `t`) and their total length `doc_tokens`."""
     fields = [f for f in FIELD_WEIGHTS if f in df.columns]
-    arrays = df.select(
-        "fingerprint", *keep, *[tokens(field_text(df, f)).alias(f"t_{f}") for f in fields]
-    )
-    length = reduce(lambda a, b: a + b, [F.size(f"t_{f}") for f in fields])
-    return arrays.withColumn("doc_tokens", length)
+    arrays = F.struct(*[tokens(field_text(df, f)).alias(f) for f in fields])
+    read = once(df, "t", arrays).select("fingerprint", *keep, "t")
+    length = reduce(lambda a, b: a + b, [F.size(f"t.{f}") for f in fields])
+    return read.withColumn("doc_tokens", length)
+
+
+def token_fields(tokenised: DataFrame) -> list[str]:
+    return tokenised.schema["t"].dataType.names
 
 
 def _matches(term: Column, phrase: Phrase, place: int) -> Column:
@@ -84,9 +87,8 @@ def _occurrences(field: Column, phrase: Phrase) -> Column:
 def weighted_hits(tokenised: DataFrame, phrase: Phrase) -> Column:
     """Hits of a phrase in all fields, each times the weight of its field."""
     parts = [
-        _occurrences(F.col(f"t_{f}"), phrase) * F.lit(w)
-        for f, w in FIELD_WEIGHTS.items()
-        if f"t_{f}" in tokenised.columns
+        _occurrences(F.col(f"t.{f}"), phrase) * F.lit(FIELD_WEIGHTS[f])
+        for f in token_fields(tokenised)
     ]
     return reduce(lambda a, b: a + b, parts)
 

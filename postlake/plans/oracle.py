@@ -238,7 +238,7 @@ ORACLES["normalise_lists"] = f"""SELECT doc_id, array_to_string(list_filter(
     THEN {_pick(corpus.SKILLS, 'doc_id % 7')} END], lambda x: x IS NOT NULL), '|') AS skills,
   CAST(0 AS INT) AS n_keywords FROM documents"""
 ORACLES["normalise_country"] = """SELECT doc_id,
-  ['CH', 'CH', 'FR', 'BE', 'US', NULL, NULL, 'DE', NULL][CAST(doc_id % 9 AS INT) + 1] AS country FROM documents"""
+  ['CH', 'CH', 'FR', 'BE', 'US', NULL, NULL, 'DE', 'IT'][CAST(doc_id % 9 AS INT) + 1] AS country FROM documents"""
 ORACLES["normalise_fingerprint"] = f"SELECT doc_id, {_RAW_FINGERPRINT} AS fingerprint FROM documents"
 
 _PAY = """pay AS (SELECT doc_id, source, 40 + doc_id % 50 AS a, 60 + doc_id % 70 AS b, 10 + doc_id % 80 AS yy,
@@ -261,7 +261,7 @@ seen AS (SELECT *, coalesce(CASE
   CASE WHEN regexp_matches(t, '\\d\\s*[kK]\\b|\\d\\s*[kK][€$]') THEN 1000.0 ELSE 1.0 END AS k FROM texts),
 runs AS (SELECT *, list_transform(regexp_extract_all(t, '\\d[\\d\\s.,''’]*'), lambda r: trim(r)) AS raws FROM seen),
 nums AS (SELECT *, list_transform(list_filter(raws, lambda r: NOT (k = 1.0
-    AND regexp_full_match(r, '\\d{4}') AND CAST(r AS INT) BETWEEN 1900 AND 2100)),
+    AND regexp_full_match(r, '\\d{4}') AND TRY_CAST(r AS INT) BETWEEN 1900 AND 2100)),
   lambda r: k * CAST(CASE WHEN regexp_matches(regexp_replace(r, '[ ''’]', '', 'g'), '[.,]\\d{1,2}$')
     THEN regexp_replace(regexp_replace(regexp_replace(r, '[ ''’]', '', 'g'), '[.,]\\d{1,2}$', ''), '[.,]', '', 'g')
       || '.' || regexp_extract(r, '[.,](\\d{1,2})$', 1)
