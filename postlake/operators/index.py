@@ -1,158 +1,153 @@
 """A stored full-text index, for searching the same state many times.
 
-One row per (term, posting, field) with the hit count and the positions; the
-posting's length rides along, so scoring needs no second table. Rows live in
-folders by a hash of the term, split within a folder by a hash of the posting: a
-term found in a third of all postings is still spread over many files, and
-inside a file rows are sorted by term, so a reader skips the other row groups.
+One row per token: (term, fingerprint, field, pos), with the posting's length
+riding along so that scoring needs no second table. The index is written in
+segments: each task sorts the tokens of its own postings by term and writes them,
+so building it moves no text between machines and a term found in a third of all
+postings is spread like the postings are. A reader of a few terms skips all other
+pages of every segment by the sorted term's statistics.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .filters import condition
 from .query import Box, Phrase
 from .search import (
-    FIELD_WEIGHTS, Corpus, _matches, _measured, _scored, browse, hit_names, page_of,
-    token_fields, with_tokens,
+    Corpus, browse, field_weights, hit_names, matches, measured, page_of, scored, with_tokens,
+)
+
+# Small row groups: a look-up reads one or two of them per segment.
+_ROW_GROUP = 16 << 20
+
+INDEX_SCHEMA = T.StructType(
+    [
+        T.StructField("term", T.StringType()),
+        T.StructField("fingerprint", T.StringType()),
+        T.StructField("doc_tokens", T.IntegerType()),
+        T.StructField("field", T.IntegerType()),
+        T.StructField("pos", T.IntegerType()),
+    ]
 )
 
-BUCKETS = 64
-_SHARDS = 16
 
+@dataclass(frozen=True)
+class Index:
+    """Index rows and the corpus they describe."""
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    rows: DataFrame
+    corpus: Corpus
 
 
 def index_rows(state: DataFrame) -> DataFrame:
-    """Index rows of the postings: (bucket, term, fingerprint, doc_tokens, field,
-    hits, positions). One shuffle."""
-    tokenised = with_tokens(state)
-    numbers = {name: number for number, name in enumerate(FIELD_WEIGHTS)}
-
-    def placed(number: int, name: str) -> Column:
-        return F.transform(
-            f"t.{name}",
-            lambda t, i: F.struct(F.lit(number).alias("field"), t.alias("term"), i.alias("pos")),
-        )
-
-    words = F.concat(*[placed(numbers[f], f) for f in token_fields(tokenised)])
-    one_per_word = tokenised.select("fingerprint", "doc_tokens", F.explode(words).alias("w"))
-    spread = one_per_word.select(
-        _bucket(F.col("w.term")).alias("bucket"),
-        F.pmod(F.xxhash64("fingerprint"), F.lit(_SHARDS)).cast("int").alias("shard"),
-        F.col("w.term").alias("term"), "fingerprint", "doc_tokens",
-        F.col("w.field").alias("field"), F.col("w.pos").alias("pos"),
-    ).repartition("bucket", "shard")
-    # Grouping by more columns than the rows are spread by needs no shuffle.
-    return spread.groupBy("bucket", "shard", "term", "fingerprint", "field", "doc_tokens").agg(
-        F.count("*").alias("hits"), F.sort_array(F.collect_list("pos")).alias("positions")
-    ).drop("shard")
-
-
-def corpus_rows(state: DataFrame) -> DataFrame:
-    """One row: postings and tokens of the whole state."""
-    return with_tokens(state).agg(
-        F.count("*").alias("documents"),
-        F.coalesce(F.sum("doc_tokens"), F.lit(0)).alias("tokens"),
+    """One row per token of every posting, without a shuffle."""
+    placed = F.transform(
+        "t",
+        lambda words, field: F.transform(
+            words,
+            lambda word, pos: F.struct(word.alias("term"), field.alias("field"), pos.alias("pos")),
+        ),
+    )
+    one_per_token = with_tokens(state).select(
+        "fingerprint", "doc_tokens", F.inline(F.flatten(placed))
     )
+    return one_per_token.select(*INDEX_SCHEMA.names)
 
 
 def write_index(state: DataFrame, path: str) -> None:
-    """Write the index of a state and its corpus figures below `path`."""
-    rows = index_rows(state).sortWithinPartitions("bucket", "term", "fingerprint")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    corpus_rows(state).write.mode("overwrite").parquet(f"{path}/corpus")
+    """Write the index of a state and its corpus figures below `path`: a segment
+    per partition of the state."""
+    (
+        index_rows(state).sortWithinPartitions("term", "fingerprint", "field", "pos")
+        .write.mode("overwrite").option("parquet.block.size", _ROW_GROUP).parquet(f"{path}/terms")
+    )
+    # The texts are not read again: every token is a row.
+    tokens = state.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{path}/terms").count()
+    figures = state.agg(
+        F.count("*").alias("documents"), F.lit(tokens).cast("bigint").alias("tokens")
+    )
+    figures.write.mode("overwrite").parquet(f"{path}/corpus")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, Corpus]:
+def read_index(spark: SparkSession, path: str) -> Index:
     figures = spark.read.parquet(f"{path}/corpus").first()
-    return (
-        spark.read.parquet(f"{path}/terms"),
-        Corpus(figures["documents"], figures["tokens"]),
-    )
+    rows = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/terms")
+    return Index(rows, Corpus(figures["documents"], figures["tokens"]))
 
 
-def refresh_index(rows: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
-    """Index rows after postings changed or went away: their rows are replaced."""
+def corpus_of(state: DataFrame) -> Corpus:
+    """Postings and tokens of a state, from its texts."""
+    figures = with_tokens(state).agg(
+        F.count("*").alias("documents"), F.sum("doc_tokens").alias("tokens")
+    ).first()
+    return Corpus(figures["documents"], figures["tokens"] or 0)
+
+
+def refresh_index(
+    index: Index, changed: DataFrame, now: Corpus, removed: DataFrame | None = None
+) -> Index:
+    """The index after postings changed or went away: their rows are replaced.
+    `now` is the corpus afterwards. Old segments stay as they are; the rows of
+    changed postings are left out of the few rows a search reads from them."""
     gone = changed.select("fingerprint")
     if removed is not None:
         gone = gone.unionByName(removed.select("fingerprint"))
-    kept = rows.join(gone, "fingerprint", "left_anti")
-    return kept.unionByName(index_rows(changed).select(*kept.columns))
-
-
-def _wanted(box: Box) -> Column:
-    """Index rows that any phrase of the query needs. Whole terms name their
-    folder, so only those folders are read; a prefix is looked up in all."""
-    tests = []
-    for phrase in box.phrases:
-        for place, term in enumerate(phrase.terms):
-            if phrase.prefix and place == len(phrase.terms) - 1:
-                tests.append(F.col("term").startswith(term))
-            else:
-                tests.append((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term))
-    return reduce(lambda a, b: a | b, tests)
+    kept = index.rows.join(gone, "fingerprint", "left_anti").select(*INDEX_SCHEMA.names)
+    return Index(kept.unionByName(index_rows(changed)), now)
 
 
-def _field_weight() -> Column:
-    weights = F.array(*[F.lit(w) for w in FIELD_WEIGHTS.values()])
-    return F.get(weights, F.col("field"))
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
 
 def _phrase_hits(entries: Column, phrase: Phrase) -> Column:
-    """Weighted starts of a several-term phrase from the entries of one posting."""
+    """Weighted starts of a several-term phrase among the entries of one posting."""
 
-    def starts(field: int) -> Column:
-        def positions(place: int) -> Column:
+    def starts(field: Column) -> Column:
+        def places(k: int) -> Column:
             mine = F.filter(
-                entries,
-                lambda e: (e["field"] == field) & _matches(e["term"], phrase, place),
+                entries, lambda e: (e["field"] == field) & matches(e["term"], phrase, k)
             )
-            return F.flatten(F.transform(mine, lambda e: F.transform(
-                e["positions"], lambda p: p - place)))
+            return F.transform(mine, lambda e: e["pos"] - k)
 
-        return reduce(F.array_intersect, [positions(k) for k in range(len(phrase.terms))])
+        return F.size(reduce(F.array_intersect, [places(k) for k in range(len(phrase.terms))]))
 
-    weighted = [F.size(starts(i)) * F.lit(w) for i, w in enumerate(FIELD_WEIGHTS.values())]
-    return reduce(lambda a, b: a + b, weighted)
+    weighted = F.transform(field_weights(), lambda w, field: starts(field) * w)
+    return F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
 
 
-def index_hits(rows: DataFrame, box: Box) -> DataFrame:
+def index_hits(index: Index, box: Box) -> DataFrame:
     """Per posting with any query term: length and weighted hits of each phrase."""
-    wanted = rows.filter(_wanted(box))
-    long = [p for p in box.phrases if len(p.terms) > 1]
-    sums = []
+    term = F.col("term")
+    every = [(p, k) for p in box.phrases for k in range(len(p.terms))]
+    wanted = index.rows.filter(_any([matches(term, p, k) for p, k in every]))
+    weight = F.get(field_weights(), F.col("field"))
+    sums, made = [], []
     for phrase, name in zip(box.phrases, hit_names(box), strict=True):
         if len(phrase.terms) == 1:
-            mine = _matches(F.col("term"), phrase, 0)
-            sums.append(F.sum(F.when(mine, F.col("hits") * _field_weight()).otherwise(0.0)).alias(name))
+            mine = F.when(matches(term, phrase, 0), weight).otherwise(0.0)
+            sums.append(F.sum(mine).alias(name))
+            made.append(F.col(name))
+        else:
+            made.append(_phrase_hits(F.col("_entries"), phrase).alias(name))
+    long = [(p, k) for p, k in every if len(p.terms) > 1]
     if long:
-        needed = reduce(
-            lambda a, b: a | b,
-            [_matches(F.col("term"), p, k) for p in long for k in range(len(p.terms))],
-        )
-        # One posting's entries for the query's terms: bounded by its own text.
-        entry = F.struct("field", "term", "positions")
-        sums.append(F.collect_list(F.when(needed, entry)).alias("_entries"))
+        # One posting's tokens among the query's terms: bounded by its own text.
+        needed = _any([matches(term, p, k) for p, k in long])
+        entry = F.when(needed, F.struct("field", "term", "pos"))
+        sums.append(F.collect_list(entry).alias("_entries"))
     grouped = wanted.groupBy("fingerprint").agg(F.max("doc_tokens").alias("doc_tokens"), *sums)
-    return grouped.select(
-        "fingerprint", "doc_tokens",
-        *[
-            F.col(name) if len(p.terms) == 1
-            else _phrase_hits(F.col("_entries"), p).alias(name)
-            for p, name in zip(box.phrases, hit_names(box), strict=True)
-        ],
-    )
+    return grouped.select("fingerprint", "doc_tokens", *made)
 
 
 def search_index(
-    rows: DataFrame, corpus: Corpus, state: DataFrame, query: str | None = None, *,
+    index: Index, state: DataFrame, query: str | None = None, *,
     limit: int | None = 20, offset: int = 0, **filters,
 ) -> DataFrame:
     """`search` answered from a stored index of `state`."""
@@ -161,8 +156,8 @@ def search_index(
         return browse(state, limit, offset, **filters)
     if not box.phrases:
         return state.limit(0).withColumn("rank", F.lit(None).cast("double"))
-    written, figures = _measured(index_hits(rows, box), box, F.lit(True), "index-hits")
-    ranked = _scored(written, box, corpus, [figures[n] for n in hit_names(box)])
+    written, figures = measured(index_hits(index, box), box, F.lit(True), "index-hits")
+    ranked = scored(written, box, index.corpus, [figures[n] for n in hit_names(box)])
     if any(v not in (None, "", []) for v in filters.values()):
         kept = state.filter(condition(**filters)).select("fingerprint")
         ranked = ranked.join(kept, "fingerprint", "left_semi")

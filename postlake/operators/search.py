@@ -51,32 +51,31 @@ def field_text(df: DataFrame, name: str) -> Column:
 
 
 def with_tokens(df: DataFrame, *keep: str) -> DataFrame:
-    """`fingerprint`, kept columns, one token array per indexed field (in the
-    struct `t`) and their total length `doc_tokens`."""
-    fields = [f for f in FIELD_WEIGHTS if f in df.columns]
-    arrays = F.struct(*[tokens(field_text(df, f)).alias(f) for f in fields])
-    read = once(df, "t", arrays).select("fingerprint", *keep, "t")
-    length = reduce(lambda a, b: a + b, [F.size(f"t.{f}") for f in fields])
-    return read.withColumn("doc_tokens", length)
+    """`fingerprint`, kept columns, `t`: one token array per indexed field in the
+    order of `FIELD_WEIGHTS`, and their total length `doc_tokens`."""
+    texts = F.array(*[field_text(df, f) for f in FIELD_WEIGHTS])
+    read = once(df, "t", F.transform(texts, tokens)).select("fingerprint", *keep, "t")
+    return read.withColumn("doc_tokens", F.size(F.flatten("t")))
 
 
-def token_fields(tokenised: DataFrame) -> list[str]:
-    return tokenised.schema["t"].dataType.names
-
-
-def _matches(term: Column, phrase: Phrase, place: int) -> Column:
+def matches(term: Column, phrase: Phrase, place: int) -> Column:
+    """Whether a term fits the phrase's term at `place`."""
     wanted = phrase.terms[place]
     if phrase.prefix and place == len(phrase.terms) - 1:
         return term.startswith(wanted)
     return term == wanted
 
 
+def field_weights() -> Column:
+    return F.array(*[F.lit(w) for w in FIELD_WEIGHTS.values()])
+
+
 def _occurrences(field: Column, phrase: Phrase) -> Column:
     """How often a phrase starts in a token array."""
 
     def starts(term: Column, i: Column) -> Column:
-        tests = [_matches(term, phrase, 0)] + [
-            F.coalesce(_matches(F.get(field, i + k), phrase, k), F.lit(False))
+        tests = [matches(term, phrase, 0)] + [
+            F.coalesce(matches(F.get(field, i + k), phrase, k), F.lit(False))
             for k in range(1, len(phrase.terms))
         ]
         return reduce(lambda a, b: a & b, tests)
@@ -84,20 +83,17 @@ def _occurrences(field: Column, phrase: Phrase) -> Column:
     return F.size(F.filter(field, starts))
 
 
-def weighted_hits(tokenised: DataFrame, phrase: Phrase) -> Column:
+def weighted_hits(fields: Column, phrase: Phrase) -> Column:
     """Hits of a phrase in all fields, each times the weight of its field."""
-    parts = [
-        _occurrences(F.col(f"t.{f}"), phrase) * F.lit(FIELD_WEIGHTS[f])
-        for f in token_fields(tokenised)
-    ]
-    return reduce(lambda a, b: a + b, parts)
+    per_field = F.zip_with(fields, field_weights(), lambda f, w: _occurrences(f, phrase) * w)
+    return F.aggregate(per_field, F.lit(0.0), lambda a, x: a + x)
 
 
 def hit_names(box: Box) -> list[str]:
     return [f"hit_{i}" for i in range(len(box.phrases))]
 
 
-def _scored(hits: DataFrame, box: Box, corpus: Corpus, found: list[int]) -> DataFrame:
+def scored(hits: DataFrame, box: Box, corpus: Corpus, found: list[int]) -> DataFrame:
     """`fingerprint` and `rank` (lower is better) of matching documents."""
     names = hit_names(box)
     _, counting = box.evaluate([F.col(n) for n in names])
@@ -112,7 +108,7 @@ def _scored(hits: DataFrame, box: Box, corpus: Corpus, found: list[int]) -> Data
     return hits.select("fingerprint", (-score).alias("rank"))
 
 
-def _measured(hits: DataFrame, box: Box, keep: Column, label: str, *extra: Column):
+def measured(hits: DataFrame, box: Box, keep: Column, label: str, *extra: Column):
     """Write the matching hits once; count per phrase over all of them on the way.
 
     The counters ride on the writing stage itself, which is a result stage, so a
@@ -142,14 +138,14 @@ def rank_texts(state: DataFrame, box: Box, **filters) -> DataFrame:
     tokenised = with_tokens(judged, "_kept")
     hits = tokenised.select(
         "fingerprint", "_kept", "doc_tokens",
-        *[weighted_hits(tokenised, p).alias(n) for p, n in zip(box.phrases, names, strict=True)],
+        *[weighted_hits(F.col("t"), p).alias(n) for p, n in zip(box.phrases, names, strict=True)],
     )
-    written, figures = _measured(
+    written, figures = measured(
         hits, box, F.col("_kept"), "hits",
         F.count("*").alias("documents"), F.sum("doc_tokens").alias("tokens"),
     )
     corpus = Corpus(figures["documents"], figures["tokens"] or 0)
-    return _scored(written, box, corpus, [figures[n] for n in names])
+    return scored(written, box, corpus, [figures[n] for n in names])
 
 
 def page_of(state: DataFrame, ranked: DataFrame, limit: int | None, offset: int) -> DataFrame:
@@ -190,7 +186,7 @@ def count(state: DataFrame, query: str | None = None, **filters) -> DataFrame:
     box = Box.read(query)
     if box is not None:
         tokenised = with_tokens(kept)
-        hits = [weighted_hits(tokenised, p) for p in box.phrases]
+        hits = [weighted_hits(F.col("t"), p) for p in box.phrases]
         kept = tokenised.filter(box.evaluate(hits)[0])
     return kept.agg(F.count("*").alias("n"))
 

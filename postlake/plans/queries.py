@@ -73,9 +73,9 @@ def _register_searches() -> None:
             state = corpus.postings(spark, folder)
             path = scratch_path(spark, "index")
             index.write_index(state, path)
-            rows, size = index.read_index(spark, path)
             light = corpus.postings(spark, folder, heavy=False)
-            return _ranks(index.search_index(rows, size, light, text, limit=None, **filters))
+            stored = index.read_index(spark, path)
+            return _ranks(index.search_index(stored, light, text, limit=None, **filters))
 
         return run
 
@@ -126,12 +126,10 @@ def index_refresh(spark, folder):
     now = marked.filter("toxic is null or toxic = 0")
     path = scratch_path(spark, "index")
     index.write_index(old, path)
-    rows, _ = index.read_index(spark, path)
-    fresh = index.refresh_index(rows, now.filter("toxic = 0"), gone)
-    size = index.corpus_rows(now).first()
-    return _ranks(index.search_index(
-        fresh, search.Corpus(size["documents"], size["tokens"]), now, "thatin der", limit=None
-    ))
+    fresh = index.refresh_index(
+        index.read_index(spark, path), now.filter("toxic = 0"), index.corpus_of(now), gone
+    )
+    return _ranks(index.search_index(fresh, now, "thatin der", limit=None))
 
 
 @query

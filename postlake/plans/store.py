@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.index import read_index, write_index
+from ..operators.index import Index, read_index, write_index
 from ..schema import POSTING_FIELDS, RAW_SCHEMA, RUN_COLUMNS, STATE_COLUMNS, conform
 
 _COMMIT = "version bigint, seen_at string"
@@ -101,7 +101,7 @@ class Store:
         write_index(self.state(chosen), self.folder(f"index/version={chosen}"))
         return chosen
 
-    def index(self, version: int | None = None):
+    def index(self, version: int | None = None) -> Index:
         chosen = self.latest_version() if version is None else version
         return read_index(self.spark, self.folder(f"index/version={chosen}"))
 
