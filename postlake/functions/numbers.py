@@ -9,7 +9,7 @@ from .text import clean_text, let, strip
 
 # Characters dropped as thousands separators, the number run and
 # the plain notation that is read as it stands.
-_DROPPED = r"[     '’]"
+_DROPPED = r"[\u00a0\u202f\u2009\u2007 '’]"
 _PLAIN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 _NUMBER_RUN = r"-?\d[\d\s.,'’]*"
 _AMOUNT_RUN = r"\d[\d\s.,'’]*"

@@ -154,7 +154,7 @@ def search_index(
     box = Box.read(query)
     if box is None:
         return browse(state, limit, offset, **filters)
-    if not box.phrases:
+    if not box.can_match:
         return state.limit(0).withColumn("rank", F.lit(None).cast("double"))
     written, figures = measured(index_hits(index, box), box, F.lit(True), "index-hits")
     ranked = scored(written, box, index.corpus, [figures[n] for n in hit_names(box)])

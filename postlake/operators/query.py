@@ -102,6 +102,11 @@ class Box:
         )
         return cls(tuple(numbered), tree)
 
+    @property
+    def can_match(self) -> bool:
+        """Whether some branch has terms on every side that must match."""
+        return any(all(first for first, *_ in branch) for branch in self.tree)
+
     def evaluate(self, hits: list[Column]) -> tuple[Column, list[Column]]:
         """Whether a document matches, and per phrase whether it counts for the
         score: only phrases of a satisfied branch do."""

@@ -131,7 +131,7 @@ def measured(hits: DataFrame, box: Box, keep: Column, label: str, *extra: Column
 def rank_texts(state: DataFrame, box: Box, **filters) -> DataFrame:
     """`fingerprint` and `rank` of matching postings, straight from their texts."""
     names = hit_names(box)
-    if not names:
+    if not box.can_match:
         return state.limit(0).select("fingerprint", F.lit(None).cast("double").alias("rank"))
     # The filter is decided beside the texts; corpus figures see every row.
     judged = state.withColumn("_kept", F.coalesce(condition(**filters), F.lit(False)))
