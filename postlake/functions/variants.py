@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Keys that hold the text of a value object, first present wins.
 TEXT_KEYS = ("name", "value", "@value", "text")
 _DEPTH = 3
@@ -16,32 +18,24 @@ def member(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f"$['{key}']", "variant")
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
-def is_object(value: Column) -> Column:
-    return F.coalesce(_kind(value).startswith("OBJECT"), F.lit(False))
-
-
-def is_array(value: Column) -> Column:
-    return F.coalesce(_kind(value).startswith("ARRAY"), F.lit(False))
-
-
 def elements(value: Column) -> Column:
+    """The entries of a list, NULL for anything else."""
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def _nothing() -> Column:
-    return F.lit(None).cast("array<variant>")
+def members(value: Column) -> Column:
+    """The members of an object by key, NULL for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def is_object(value: Column) -> Column:
+    return members(value).isNotNull()
 
 
 def as_list(value: Column) -> Column:
     """A list as it is, any other value as a list of one, null as NULL."""
     present = value.isNotNull() & ~F.is_variant_null(value)
-    return F.when(is_array(value), elements(value)).when(present, F.array(value)).otherwise(
-        _nothing()
-    )
+    return F.coalesce(elements(value), F.when(present, F.array(value)))
 
 
 def objects_in(value: Column) -> Column:
@@ -57,7 +51,9 @@ def first_object(value: Column) -> Column:
 def scalar_text(value: Column) -> Column:
     """Text of any value; numbers and nested JSON as written."""
     text = F.try_variant_get(value, "$", "string")
-    return F.when(_kind(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
+    # Only a truth value reads "true" or "false" without being a string.
+    truth = text.isin("true", "false") & (F.schema_of_variant(value) == "BOOLEAN")
+    return F.when(truth, F.initcap(text)).otherwise(text)
 
 
 def _has_text(text: Column) -> Column:
@@ -67,14 +63,14 @@ def _has_text(text: Column) -> Column:
 def text_of(value: Column, depth: int = _DEPTH) -> Column:
     """Uncleaned text: of an object, that of its first present text key; of a
     list, that of the first entry that has any. Looks `depth` levels down."""
-    kind = _kind(value)
     if not depth:
-        return F.when(~kind.rlike("^(OBJECT|ARRAY|VOID)"), scalar_text(value))
-    held = F.coalesce(*[member(value, key) for key in TEXT_KEYS])
+        nested = members(value).isNotNull() | elements(value).isNotNull()
+        return F.when(~nested, scalar_text(value))
+
+    def of_object(held: Column) -> Column:
+        found = F.coalesce(*[F.try_element_at(held, F.lit(key)) for key in TEXT_KEYS])
+        return F.when(held.isNotNull(), text_of(found, depth - 1)).otherwise(scalar_text(value))
+
     texts = F.transform(elements(value), lambda e: text_of(e, depth - 1))
     first = F.get(F.filter(texts, _has_text), F.lit(0))
-    return (
-        F.when(kind.startswith("OBJECT"), text_of(held, depth - 1))
-        .when(kind.startswith("ARRAY"), first)
-        .when(kind != "VOID", scalar_text(value))
-    )
+    return F.when(texts.isNotNull(), first).otherwise(let(members(value), of_object))

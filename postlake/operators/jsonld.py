@@ -10,7 +10,7 @@ from ..functions.numbers import to_float
 from ..functions.places import contract_type, read_country
 from ..functions.text import clean_text, html_to_text, with_each
 from ..functions.variants import (
-    as_list, first_object, is_object, member, objects_in, scalar_text, text_of,
+    as_list, elements, first_object, is_object, member, objects_in, scalar_text, text_of,
 )
 
 # Scripts of exactly this type; comments are matched first so that scripts
@@ -74,7 +74,7 @@ def _organisation(posting: Column) -> Column:
     """What names the employer: an object's name, else the value itself."""
     held = member(posting, "hiringOrganization")
     named = first_object(held)
-    single = F.when(~F.schema_of_variant(held).startswith("ARRAY"), held)
+    single = F.when(elements(held).isNull(), held)
     return F.when(named.isNotNull(), member(named, "name")).otherwise(single)
 
 
@@ -99,9 +99,7 @@ def posting_fields(pages: DataFrame) -> DataFrame:
         }
     )
     held = F.col("_held")
-    amount = F.when(
-        F.schema_of_variant(held).startswith("ARRAY"), first_object(held)
-    ).otherwise(held)
+    amount = F.when(elements(held).isNotNull(), first_object(held)).otherwise(held)
 
     parts = parts.withColumn("_amount", amount)
     amount = F.col("_amount")

@@ -56,6 +56,33 @@ def upsert(state: DataFrame, batch: DataFrame, content: tuple[str, ...] = CONTEN
     )
 
 
+def overlay_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """The state `upsert` would give, without moving the base: its untouched rows
+    pass an anti join, and only the first sight of touched ones is looked up.
+    While the changes are small enough to be sent to every task, the base is
+    neither shuffled nor sorted. Both sides hold a fingerprint at most once."""
+    columns = base.columns
+    untouched = base.join(changes.select("fingerprint"), "fingerprint", "left_anti")
+    first = base.select("fingerprint", F.col("first_seen_at").alias("_first"))
+    keys = changes.select("fingerprint")
+    known = first.join(keys, "fingerprint", "left_semi")
+    renewed = changes.join(known, "fingerprint", "left").withColumn(
+        "first_seen_at", F.coalesce("_first", "first_seen_at")
+    )
+    return untouched.select(*columns).unionByName(renewed.select(*columns))
+
+
+def fold_states(states: DataFrame, order: str = "version") -> DataFrame:
+    """Several states of the same postings, by version, as one: content of the
+    newest, first sight of the oldest."""
+    content = [c for c in CONTENT if c in states.columns]
+    last = F.max_by(F.struct(*content, "last_seen_at"), order)
+    folded = states.groupBy("fingerprint").agg(
+        last.alias("_last"), F.min_by("first_seen_at", order).alias("first_seen_at")
+    )
+    return folded.select("fingerprint", "_last.*", "first_seen_at")
+
+
 def as_batch(postings: DataFrame, seen_at: str) -> DataFrame:
     """Postings of one run as an upsert batch: folded, one `seen_at` for all."""
     ordered = postings

@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from ..operators.dedup import duplicates, first_per_fingerprint
 from ..operators.enrich import ERRORS, Step, enrich
 from ..operators.normalise import normalise
-from ..operators.state import as_batch, upsert
+from ..operators.state import as_batch, overlay_changes
 from ..operators.validate import BAD_URL, DUPLICATE, INCOMPLETE, accepted, judge, rejects
-from ..schema import POSTING_FIELDS, RUN_COLUMNS, STATE_COLUMNS
+from ..schema import POSTING_FIELDS, RUN_COLUMNS
 from ..session import materialise, prepare
 from ..sources.archive import append_archive
-from .store import Store
+from .store import BASE, DELTA, Store
+
+# A full snapshot replaces the chain of deltas after so many runs.
+COMPACT_EVERY = 16
 
 
 @dataclass
@@ -90,17 +93,32 @@ def ingest(raw: DataFrame, store: Store, run: Run) -> dict[str, int]:
     return counters
 
 
-def apply_batch(store: Store, batch: DataFrame, version: int, seen_at: str) -> dict[str, int]:
-    """Upsert a folded batch into the newest older state as a new version."""
-    base = store.latest_version(before=version)
-    changed = Observation()
-    merged = upsert(store.empty_state() if base is None else store.state(base), batch)
-    merged = merged.observe(
-        changed, F.count_if("is_new").alias("new"), F.count_if(~F.col("is_new")).alias("updated")
-    )
-    store.write_state(merged.select(*STATE_COLUMNS), version, seen_at)
-    figures = changed.get
-    return {"new": figures["new"], "updated": figures["updated"]}
+def apply_batch(
+    store: Store, batch: DataFrame, version: int, seen_at: str, compact_every: int = COMPACT_EVERY
+) -> dict[str, int]:
+    """Upsert a folded batch into the state before `version`, as that version.
+
+    The batch is written as a delta; the older state is only asked which of its
+    keys are known. Every `compact_every` deltas, and for the first run, a full
+    snapshot is written instead of a growing chain.
+    """
+    commits = store.commits(before=version)
+    bases = [v for v, kind in commits if kind == BASE]
+    if not bases:
+        store.write_base(batch, version, seen_at)
+        return {"new": store.base(version).count(), "updated": 0}
+    store.write_delta(batch, version, seen_at)
+    newer = [v for v, kind in commits if kind == DELTA and v > bases[-1]]
+    written = store.changes([version])
+    keys = store.base(bases[-1]).select("fingerprint")
+    if newer:
+        keys = keys.unionByName(store.changes(newer).select("fingerprint"))
+    total = written.count()
+    updated = written.join(keys, "fingerprint", "left_semi").count()
+    if len(newer) + 1 >= compact_every:
+        full = overlay_changes(store.base(bases[-1]), store.changes([*newer, version]))
+        store.write_base(full, version, seen_at)
+    return {"new": total - updated, "updated": updated}
 
 
 def replay(store: Store, target: Store, runs: Iterable[Run]) -> None:

@@ -493,18 +493,19 @@ def upsert_new_updated(spark, folder):
 
 @query
 def state_snapshots(spark, folder):
-    """Run by run through committed snapshots."""
+    """Run by run through committed snapshots and deltas."""
     store = Store(spark, scratch_path(spark, "store"))
     seen = corpus.sightings(spark, folder)
     for version, bounds in enumerate(
-        ("day < '2024-01-11'", "day >= '2024-01-11' and day < '2024-01-21'", "day >= '2024-01-21'")
+        ("day < '2024-01-09'", "day >= '2024-01-09' and day < '2024-01-17'",
+         "day >= '2024-01-17' and day < '2024-01-25'", "day >= '2024-01-25'")
     ):
         part = seen.filter(bounds).select("*", *[
             F.lit(None).cast(f.dataType).alias(f.name)
             for f in store.empty_state().schema.fields
             if f.name not in (*_SIGHTED, "fingerprint", "first_seen_at", "last_seen_at")
         ])
-        apply_batch(store, st.fold(part), version, "")
+        apply_batch(store, st.fold(part), version, "", compact_every=2)
     return store.state().select("fingerprint", *_SIGHTED, "first_seen_at", "last_seen_at")
 
 

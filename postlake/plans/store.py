@@ -1,9 +1,10 @@
 """Where a corpus lives: raw landing, archive, rejects, run metrics and the
-snapshots of the current state.
+current state.
 
-A snapshot is written to its own folder and then named in a small commit log;
-readers take the newest committed one, so they never see a half-written state
-and a repeated write of the same version changes nothing.
+The state is a full snapshot and the deltas of the runs since. A run writes only
+its own postings; now and then a run also writes a new snapshot. Everything goes
+to a folder of its own and is then named in a small commit log, so readers never
+see half a write, and a version that is written again changes nothing.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.index import Index, read_index, write_index
+from ..operators.index import Index, corpus_of, read_index, refresh_index, write_index
+from ..operators.search import Corpus
+from ..operators.state import fold_states, overlay_changes
 from ..schema import POSTING_FIELDS, RAW_SCHEMA, RUN_COLUMNS, STATE_COLUMNS, conform
 
-_COMMIT = "version bigint, seen_at string"
+_COMMIT = "version bigint, kind string, seen_at string"
+BASE, DELTA = "base", "delta"
 _STATE_SCHEMA = T.StructType(
     [T.StructField(c, POSTING_FIELDS.get(c, T.StringType())) for c in STATE_COLUMNS]
 )
@@ -58,52 +62,83 @@ class Store:
 
     # -- state -------------------------------------------------------------
 
-    def versions(self) -> DataFrame:
+    def commits(self, before: int | None = None) -> list[tuple[int, str]]:
+        """Committed (version, kind) pairs, oldest first: one short row per run."""
         log = self.folder("commits")
         if not self._exists(log):
-            return self.spark.createDataFrame([], _COMMIT)
-        return self.spark.read.schema(_COMMIT).json(log)
+            return []
+        rows = self.spark.read.schema(_COMMIT).json(log).distinct().collect()
+        return sorted((r.version, r.kind) for r in rows if before is None or r.version < before)
 
     def latest_version(self, before: int | None = None) -> int | None:
-        committed = self.versions()
-        if before is not None:
-            committed = committed.filter(F.col("version") < before)
-        return committed.agg(F.max("version").alias("v")).first()["v"]
-
-    def state(self, version: int | None = None) -> DataFrame:
-        """The state as of a version, the newest one by default."""
-        chosen = self.latest_version() if version is None else version
-        if chosen is None:
-            return self.empty_state()
-        return self.spark.read.schema(_STATE_SCHEMA).parquet(self.folder(f"state/version={chosen}"))
+        return max((v for v, _ in self.commits(before)), default=None)
 
     def empty_state(self) -> DataFrame:
         return self.spark.createDataFrame([], _STATE_SCHEMA)
 
-    def write_state(self, state: DataFrame, version: int, seen_at: str) -> None:
-        """Write and commit a snapshot. Rows are sorted by key within files, so a
-        look-up by fingerprint skips most row groups."""
+    def base(self, version: int) -> DataFrame:
+        return self.spark.read.schema(_STATE_SCHEMA).parquet(self.folder(f"state/version={version}"))
+
+    def deltas(self, after: int, upto: int) -> list[int]:
+        return [v for v, kind in self.commits() if kind == DELTA and after < v <= upto]
+
+    def changes(self, versions: list[int]) -> DataFrame:
+        """What the given deltas wrote, one row per posting."""
+        schema = T.StructType([*_STATE_SCHEMA.fields, T.StructField("version", T.LongType())])
+        read = self.spark.read.schema(schema).option("basePath", self.folder("deltas"))
+        return fold_states(read.parquet(*[self.folder(f"deltas/version={v}") for v in versions]))
+
+    def state(self, version: int | None = None) -> DataFrame:
+        """The state as of a version, the newest one by default: the last full
+        snapshot with the changes since laid over it."""
+        commits = self.commits()
+        chosen = max((v for v, _ in commits), default=None) if version is None else version
+        bases = [v for v, kind in commits if kind == BASE and chosen is not None and v <= chosen]
+        if not bases:
+            return self.empty_state()
+        newer = [v for v, kind in commits if kind == DELTA and bases[-1] < v <= chosen]
+        base = self.base(bases[-1])
+        return overlay_changes(base, self.changes(newer)) if newer else base
+
+    def _write(self, rows: DataFrame, folder: str, version: int) -> None:
+        # Sorted by key within files: a look-up skips most row groups.
         (
-            state.select(*STATE_COLUMNS).sortWithinPartitions("fingerprint")
-            .write.mode("overwrite").parquet(self.folder(f"state/version={version}"))
+            rows.select(*STATE_COLUMNS).sortWithinPartitions("fingerprint")
+            .write.mode("overwrite").parquet(self.folder(f"{folder}/version={version}"))
         )
-        self.commit(version, seen_at)
 
-    def commit(self, version: int, seen_at: str) -> None:
-        entry = self.spark.createDataFrame([(version, seen_at)], _COMMIT)
+    def write_base(self, state: DataFrame, version: int, seen_at: str) -> None:
+        self._write(state, "state", version)
+        self._commit(version, BASE, seen_at)
+
+    def write_delta(self, batch: DataFrame, version: int, seen_at: str) -> None:
+        self._write(batch, "deltas", version)
+        self._commit(version, DELTA, seen_at)
+
+    def _commit(self, version: int, kind: str, seen_at: str) -> None:
+        entry = self.spark.createDataFrame([(version, kind, seen_at)], _COMMIT)
         entry.coalesce(1).write.mode("append").json(self.folder("commits"))
 
     # -- index -------------------------------------------------------------
 
     def write_index(self, version: int | None = None) -> int:
-        """Index a committed state; the index carries the version of its state."""
+        """Index a committed state in full; `index` keeps it current."""
         chosen = self.latest_version() if version is None else version
         write_index(self.state(chosen), self.folder(f"index/version={chosen}"))
         return chosen
 
-    def index(self, version: int | None = None) -> Index:
+    def index(self, built: int, version: int | None = None) -> Index:
+        """The index built for version `built`, brought to `version` (the newest by
+        default): only postings written since are read again."""
+        index = read_index(self.spark, self.folder(f"index/version={built}"))
         chosen = self.latest_version() if version is None else version
-        return read_index(self.spark, self.folder(f"index/version={chosen}"))
+        newer = self.deltas(built, chosen)
+        if not newer:
+            return index
+        changed = self.changes(newer)
+        replaced = index.rows.join(changed.select("fingerprint"), "fingerprint", "left_semi").count()
+        tokens = index.corpus.tokens - replaced + corpus_of(changed).tokens
+        return refresh_index(index, changed, Corpus(self.state(chosen).count(), tokens))
 
     # -- metrics -----------------------------------------------------------
 

@@ -36,7 +36,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/postlake/{label}-{uuid.uuid4().hex}"
+    """A new folder for an intermediate table; all of a session's lie together."""
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/postlake/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this session's intermediate tables, once no result needs them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

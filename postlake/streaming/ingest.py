@@ -57,21 +57,17 @@ def start(
     steps: Iterable[tuple[str, Step]] = (),
     clock: Callable[[int], str] | None = None,
     available_now: bool = True,
-    index: bool = False,
 ) -> StreamingQuery:
     """Feed a landing stream into the store. `clock` gives a micro-batch its
-    `seen_at`; with `index`, every new state version is indexed as well."""
+    `seen_at`. A micro-batch writes its own postings, not the state."""
     steps = list(steps)
 
     def run_batch(batch: DataFrame, number: int) -> None:
         seen_at = clock(number) if clock else utc_now()
-        raw = batch
         unordered = F.monotonically_increasing_id()
-        raw = raw.withColumn("ingest_seq", F.coalesce("ingest_seq", unordered))
+        raw = batch.withColumn("ingest_seq", F.coalesce("ingest_seq", unordered))
         run = Run(f"batch-{number:09d}", number, seen_at, steps=steps)
         ingest(raw, store, run)
-        if index:
-            store.write_index(number)
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
