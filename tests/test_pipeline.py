@@ -111,15 +111,24 @@ def test_a_failing_step_keeps_the_row(spark):
     def fails(row):
         if row["title"] == "bad":
             raise RuntimeError("boum")
-        return {"seniority": "senior"}
+        if row["title"] == "wrong":
+            return {"seniority": "junior", "workload_max": "many"}
+        assert row["workload_min"] == 80 and row["lat"] is None and row["skills"] == []
+        return {"seniority": "senior", "workload_max": row["workload_min"] + 5, "ignored": 1}
 
-    df = normalise(raw(spark, {"title": "bad", "skills": ["a"]}, {"title": "good"}), NOW)
-    out = enrich.enrich(df, [("casse", enrich.python_step("casse", fails, "seniority string"))])
+    df = normalise(raw(
+        spark, {"title": "bad", "skills": ["a"], "workload_min": "7"}, {"title": "good", "workload_min": "80"},
+        {"title": "wrong"},
+    ), NOW)
+    step = enrich.python_step("casse", fails, "seniority string, workload_max int")
+    out = enrich.enrich(df, [("casse", step)])
     rows = {r.title: r for r in out.collect()}
     assert rows["bad"].seniority is None and rows["bad"]._enrich_errors == ["casse"]
-    assert rows["bad"].skills == ["a"]
+    assert rows["bad"].skills == ["a"] and rows["bad"].workload_min == 7
     assert rows["good"].seniority == "senior" and rows["good"]._enrich_errors == []
-    assert [tuple(r) for r in enrich.failure_counts(out).collect()] == [("casse", 1)]
+    assert rows["good"].workload_max == 85
+    assert rows["wrong"].seniority is None and rows["wrong"]._enrich_errors == ["casse"]
+    assert [tuple(r) for r in enrich.failure_counts(out).collect()] == [("casse", 2)]
 
 
 def test_tagging_both_ways(spark):

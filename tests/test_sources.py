@@ -22,9 +22,9 @@ def page(*blocks):
 
 FULL = {
     "@type": ["Thing", "JobPosting"], "title": "Team Lead &ndash; Développement",
-    "description": "<p>a</p><ul><li>b</li></ul>", "identifier": {"value": "2acc"},
+    "description": "<p>a</p><ul><li>b</li></ul>", "identifier": {"value": "id-7"},
     "datePosted": "2026-08-07T02:02:37+02:00", "employmentType": ["", "durée indéterminée", "x"],
-    "hiringOrganization": [{"name": "FHV"}], "jobLocationType": "telecommute",
+    "hiringOrganization": [{"name": "Acme"}], "jobLocationType": "telecommute",
     "jobLocation": {"address": [{"addressRegion": "Prilly", "postalCode": 1008, "streetAddress": ["", "Rue 1"],
                                  "addressCountry": {"@type": "Country", "name": "Suisse"}}],
                     "geo": {"latitude": "47.405", "longitude": 0}},
@@ -40,9 +40,9 @@ def fields(spark, *blocks):
 
 def test_full_posting(spark):
     assert fields(spark, "{ceci n'est pas du json}", FULL) == {
-        "title": "Team Lead – Développement", "description": "a\n- b", "external_id": "2acc",
+        "title": "Team Lead – Développement", "description": "a\n- b", "external_id": "id-7",
         "url": "https://x.test/1", "apply_url": "https://x.test/1", "posted_at": "2026-08-07",
-        "contract_type": "permanent", "company": "FHV", "remote_policy": "remote", "city": "Prilly",
+        "contract_type": "permanent", "company": "Acme", "remote_policy": "remote", "city": "Prilly",
         "postal_code": "1008", "country": "CH", "location_raw": "Rue 1, 1008, Prilly", "lat": 47.405, "lon": 0.0,
     }
 
