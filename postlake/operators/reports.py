@@ -30,10 +30,11 @@ def top_terms(state: DataFrame, field: str = "skills", limit: int = 30, **filter
     """Entries of a list column and how often they occur, repeats included."""
     if field not in LIST_FIELDS:
         raise ValueError(f"{field!r} is not a list of terms; one of {', '.join(LIST_FIELDS)}")
-    # Of an expression, unlike of a column, no extra size check is derived that
-    # would work out a computed list twice.
-    entries = F.explode(F.coalesce(F.col(field), F.array().cast("array<string>")))
-    entries = state.filter(condition(**filters)).select(entries.alias("value"))
+    # The outer form keeps Spark from deriving a size check below the generator,
+    # which would work out a computed list twice; its empty rows have no position.
+    entries = state.filter(condition(**filters)).select(
+        F.posexplode_outer(field).alias("pos", "value")
+    ).filter("pos is not null")
     return _ranked(entries.groupBy("value").agg(F.count("*").alias("count")), limit)
 
 
