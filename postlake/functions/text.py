@@ -17,6 +17,9 @@ LINE_BREAK = r"(?:\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029])"
 # The same blanks without those that end a line.
 BLANK = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 
+# Every character of `SPACE`.
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 _ENTITY = r"&(?:[A-Za-z0-9]+|#[0-9]+|#[xX][0-9A-Fa-f]+);?"
 # Named entities of HTML, from the standard table, packed as one map literal.
 _NAMES = "\x01".join(f"{name}\x02{chr(cp)}" for name, cp in name2codepoint.items())
@@ -114,13 +117,13 @@ def clean_text(value: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """White space of any kind removed at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(_SPACES))
 
 
 def strip_lines(value: Column) -> Column:
     """Every line and the whole stripped; line breaks and blank lines stay."""
-    one_break_each = F.regexp_replace(value, f"{BLANK}*+{LINE_BREAK}{BLANK}*+", "\n")
-    return F.nullif(strip(one_break_each), F.lit(""))
+    lines = F.transform(F.split(value, LINE_BREAK, -1), strip)
+    return F.nullif(strip(F.array_join(lines, "\n")), F.lit(""))
 
 
 def html_to_text(value: Column) -> Column:
