@@ -30,11 +30,17 @@ def by_arrow(df: DataFrame, work: Callable[[Batches], Iterator[dict]], schema: s
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for columns in work(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([_typed(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, spec)
 
 
+def _typed(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, kind)
+
+
 def slices(batches: Batches) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of few rows and few characters of column `text`."""
     for batch in batches:

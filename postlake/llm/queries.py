@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, token_counts
+from . import byte_bpe, decontamination, jaccard_join, token_counts
 from .common import table
 
 
@@ -42,5 +42,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_decontamination, op8_byte_bpe)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_token_counts, op7_decontamination, op8_byte_bpe, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
