@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, token_counts
+from . import byte_bpe, decontamination, jaccard_join, substring_dedup, token_counts
 from .common import table
 
 
@@ -15,6 +15,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -46,5 +51,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op7_decontamination, op8_byte_bpe, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op6_token_counts, op7_decontamination, op8_byte_bpe, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
