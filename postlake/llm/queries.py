@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, substring_dedup, token_counts
+from . import byte_bpe, decontamination, jaccard_join, pii, substring_dedup, token_counts
 from .common import table
 
 
@@ -20,6 +20,27 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    kinds = F.array(*map(F.lit, pii.KINDS))
+
+    def told(column: str):
+        return F.transform(column, lambda s: F.struct(s["start"], s["kind"], F.concat_ws(
+            ":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"]).alias("told")))
+
+    def joined(rows):
+        return F.array_join(F.transform(F.array_sort(rows), lambda s: s["told"]), ",")
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])),
+        F.sha2(joined(told("spans")), 256).alias("base_sha256"),
+        joined(F.concat(told("spans"), told("terms"))).alias("spans"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -51,5 +72,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op6_token_counts, op7_decontamination, op8_byte_bpe, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_pii, op6_token_counts, op7_decontamination, op8_byte_bpe, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
