@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, pii, substring_dedup, token_counts
+from . import byte_bpe, decontamination, jaccard_join, pii, quality_rules, substring_dedup, token_counts
 from .common import table
 
 
@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "rule")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -72,5 +78,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_pii, op6_token_counts, op7_decontamination, op8_byte_bpe, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op5_pii, op6_token_counts, op7_decontamination, op8_byte_bpe, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
