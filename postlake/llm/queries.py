@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, jaccard_join, pii, quality_rules, substring_dedup, token_counts
+from . import (
+    byte_bpe,
+    chat_format,
+    decontamination,
+    html_extraction,
+    jaccard_join,
+    pii,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    url_filters,
+)
 from .common import table
 
 
@@ -15,6 +26,19 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Verdict, host and path of the given rules.
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    mined = url_filters.mine(url_filters.labelled_by_number(pages, table(spark, sf_dir, "labels")))
+    return url_filters.judged(pages, URL_RULES, mined)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -26,6 +50,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     kinds = F.array(*map(F.lit, pii.KINDS))
@@ -78,5 +106,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op5_pii, op6_token_counts, op7_decontamination, op8_byte_bpe, op9_jaccard_join)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.repaired(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filters, op2_quality_rules, op3_substring_dedup, op4_html_extraction, op5_pii, op6_token_counts,
+    op7_decontamination, op8_byte_bpe, op9_jaccard_join, op10_chat_format,
+)}
+#: None of the operators can be said in SQL: they learn, hash or tokenise.
 ORACLES: dict[str, str] = {}
