@@ -6,7 +6,7 @@ pre-tokens. Tier one is a table of frequent pre-tokens and their lengths, packed
 into one small broadcast; tier two is a cache in each Python worker, filled by the
 library on a miss. No pre-token is shuffled.
 
-The table is drawn from at most `sample_rows` rows and holds at most `table_size`
+The table is drawn from some `sample_rows` rows and holds at most `table_size`
 entries: both only steer speed, never a count. If a vocabulary has a piece that
 reaches across a cut, or its model normalises texts, whole texts are encoded.
 
@@ -85,7 +85,9 @@ def splittable(model_path: str) -> bool:
 
 
 def frequent(docs: DataFrame, model_path: str, sample_rows: int, table_size: int) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a bounded number of rows."""
+    """Lengths of the most frequent pre-tokens of a bounded number of rows, drawn from
+    all partitions."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
 
     def count(batches: Batches) -> Iterator[dict]:
         found: Counter[str] = Counter()
@@ -93,9 +95,11 @@ def frequent(docs: DataFrame, model_path: str, sample_rows: int, table_size: int
             for text in part.column("text").to_pylist():
                 found.update(pre_tokens(text) if text else ())
         found.pop("\n", None)
-        yield {"part": [p for p, _ in found.most_common(table_size)]}
+        top = found.most_common(table_size)
+        yield {"part": [p for p, _ in top], "n": [n for _, n in top]}
 
-    top = by_arrow(docs.select("text").limit(sample_rows), count, "part string").limit(table_size).collect()
+    counted = by_arrow(docs.select("text").sample(share, seed=11), count, "part string, n bigint")
+    top = counted.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(table_size).collect()
     parts = [row.part for row in top]
     lengths = Lengths(model_path, {})
     if parts:
