@@ -22,6 +22,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +91,13 @@ def scan(text: str | None, tree) -> tuple[int, list[int], list[int], list[int],
             [spans[i][0] for i in edges[::2]], [spans[i - 1][1] for i in edges[1::2]])
 
 
+def _broadcast(items: DataFrame, width: int):
+    rows = [(r.item_id, r.text) for r in items.orderBy("item_id").collect()]
+    return items.sparkSession.sparkContext.broadcast(patterns(rows, width))
+
+
 def _scanned(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(
-        patterns([(r.item_id, r.text) for r in items.orderBy("item_id").collect()], width))
+    held = _broadcast(items, width)
 
     def work(batches: Batches) -> Iterator[dict]:
         tree = automaton(held.value)
@@ -103,26 +109,44 @@ def _scanned(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     return by_arrow(docs.select("doc_id", "text"), work, _FOUND)
 
 
+def _shards(items: DataFrame, most_bytes: int) -> list[DataFrame]:
+    """The items, or if they are too large for one automaton, parts of them."""
+    items = items.select("item_id", "text").where("item_id is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // most_bytes))
+    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) for k in range(parts)]
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, *, width: int = 10, most_bytes: int = 64 << 20
 ) -> DataFrame:
     """doc_id, n_words, hit_words (their numbers), item_ids found, and the spans of
     the hit runs of words in the text (starts, ends; end exclusive)."""
-    items = items.select("item_id", "text").where("item_id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = -(-size // most_bytes)
-    if parts <= 1:
-        return _scanned(docs, items, width)
-    deal = F.pmod(F.xxhash64("item_id"), F.lit(parts))
-    found = _scanned(docs, items.where(deal == 0), width)
-    for k in range(1, parts):
-        found = found.unionByName(_scanned(docs, items.where(deal == k), width))
+    first, *rest = _shards(items, most_bytes)
+    found = _scanned(docs, first, width)
+    if not rest:
+        return found
+    for shard in rest:
+        found = found.unionByName(_scanned(docs, shard, width))
     gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     return found.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), *(gather(c) for c in ("hit_words", "item_ids", "starts", "ends")))
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without those that hold a passage, in all their columns."""
-    dirty = contamination(docs, items, **options).where(F.size("hit_words") > 0).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, items: DataFrame, *, width: int = 10, most_bytes: int = 64 << 20) -> DataFrame:
+    """The documents without those that hold a passage, in all their columns: a filter
+    of each batch for each automaton, without a shuffle."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string"
+    for shard in _shards(items, most_bytes):
+        held = _broadcast(shard, width)
+
+        def work(batches: Batches, held=held) -> Iterator[dict]:
+            tree = automaton(held.value)
+            for part in slices(batches):
+                hit = [bool(scan(t, tree)[1]) for t in part.column("text").to_pylist()]
+                left = part.filter(pa.compute.invert(pa.array(hit, pa.bool_())))
+                yield {"row": left.column("row"), "text": left.column("text")}
+
+        rows = by_arrow(rows, work, schema)
+    return rows.select("row.*")

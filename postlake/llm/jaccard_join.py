@@ -298,6 +298,8 @@ def classes(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stand for their class, in all their columns."""
+    """The documents that stand for their class, in all their columns and once each;
+    rows without doc_id cannot be told apart and stay."""
     kept = classes(docs, **options).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

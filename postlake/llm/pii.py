@@ -202,17 +202,20 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
             F.concat(done, F.array(s)))
 
     first = F.aggregate(marks.cast(mark), F.array().cast(mark), keep)
-    found = found.select("key", first.alias("_marks")).dropDuplicates(["key"])
-    names = docs.columns
-    keyed = docs.withColumn("_key", _row_key(docs)).join(found.withColumnRenamed("key", "_key"), "_key", "left")
-    ends = F.concat(F.array(F.lit(0)), F.transform("_marks", lambda s: s["end"]))
-    pieces = F.transform(F.arrays_zip(F.col("_marks").alias("m"), ends.alias("e")), lambda r: F.concat(
+    found = found.select("key", first.alias("marks")).dropDuplicates(["key"])
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, "text", _row_key(docs).alias("key")).join(found, "key", "left")
+    ends = F.concat(F.array(F.lit(0)), F.transform("marks", lambda s: s["end"]))
+    pieces = F.transform(F.arrays_zip(F.col("marks").alias("m"), ends.alias("e")), lambda r: F.concat(
         F.when(r["m"].isNull(), F.col("text").substr(r["e"] + 1, F.length("text")))
         .otherwise(F.col("text").substr(r["e"] + 1, r["m"]["start"] - r["e"])),
         F.coalesce(r["m"]["to"], F.lit(""))))
-    text = F.when(F.col("_marks").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    done = keyed.withColumn("text", text)
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.col("_marks").isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return done.select(names)
+    changed = F.col("marks").isNotNull()
+    text = F.when(changed, F.array_join(pieces, "")).otherwise(F.col("text"))
+    out = keyed.select("row", changed.alias("changed"), text.alias("clean"))
+    fields = {c: F.col("row").getField(c) for c in docs.columns}
+    fields["text"] = F.col("clean")
+    if "n_chars" in fields:
+        kind = docs.schema["n_chars"].dataType
+        fields["n_chars"] = F.when(F.col("changed"), F.length("clean").cast(kind)).otherwise(fields["n_chars"])
+    return out.select(*(c.alias(name) for name, c in fields.items()))

@@ -80,16 +80,23 @@ def statistics_of(text: str | None) -> tuple:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Counts and shares of every text."""
-    names = [part.split()[0] for part in _STATISTICS.split(", ")]
+_NAMES = [part.split()[0] for part in _STATISTICS.split(", ")][1:]
+
+
+def _measure(docs: DataFrame, carried: str, kind: str) -> DataFrame:
+    """Column `carried` of every row and the statistics of its `text`."""
 
     def work(batches: Batches) -> Iterator[dict]:
         for part in slices(batches):
             rows = [statistics_of(t) for t in part.column("text").to_pylist()]
-            yield {"doc_id": part.column("doc_id")} | {c: [r[i] for r in rows] for i, c in enumerate(names[1:])}
+            yield {carried: part.column(carried)} | {c: [r[i] for r in rows] for i, c in enumerate(_NAMES)}
+
+    return by_arrow(docs, work, f"{carried} {kind}, " + _STATISTICS.partition(", ")[2])
 
-    return by_arrow(docs.select("doc_id", "text"), work, _STATISTICS)
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """Counts and shares of every text."""
+    return _measure(docs.select("doc_id", "text"), "doc_id", "bigint")
 
 
 @dataclass(frozen=True)
@@ -173,12 +180,17 @@ def learn(
     return rules
 
 
+def chosen(labels: DataFrame, most_rows: int) -> DataFrame:
+    """(doc_id, bad) of the labelled rows to learn from; the bound lets them be
+    broadcast and collected."""
+    bad = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(
+        (F.min("quality") == 0).alias("bad"))
+    return F.broadcast(bad.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
+
+
 def fit(measured: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, **options) -> list[Rule]:
     """The rules for texts of quality 0, from a bounded number of labelled rows."""
-    bad = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    chosen = bad.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    # The bound lets the rows be broadcast and collected.
-    rows = measured.join(F.broadcast(chosen), "doc_id").select("doc_id", "bad", *FEATURES).collect()
+    rows = measured.join(chosen(labels, most_rows), "doc_id").select("doc_id", "bad", *FEATURES).collect()
     rows.sort(key=lambda r: (hash_of(r.doc_id), *r))
     x = np.array([[float(r[f]) for f in FEATURES] for r in rows]).reshape(len(rows), len(FEATURES))
     return learn(x, np.array([r.bad for r in rows], bool), **options)
@@ -213,7 +225,12 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     )
 
 
-def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, in all their columns."""
-    rejected = judged(docs, labels, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+def kept(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, **options) -> DataFrame:
+    """The documents that the rules keep, in all their columns: one pass over the
+    labelled texts to learn, one over all, and no shuffle of texts."""
+    ids = chosen(labels, most_rows).select("doc_id")
+    labelled = statistics(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    rules = fit(labelled, labels, most_rows=most_rows, **options)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    measured = _measure(rows, "row", rows.schema["row"].dataType.simpleString())
+    return measured.where(~base_failed() & (decision(rules) == 0)).select("row.*")
