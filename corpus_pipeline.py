@@ -4,25 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import decontamination
+from postlake.llm import decontamination, jaccard_join, pii, quality_rules
 from postlake.llm.common import table
 from postlake.llm.queries import encoded
 from postlake.session import scratch_path
 
 
-def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned decision list keeps."""
+    return quality_rules.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the smallest doc_id."""
+    return jaccard_join.representatives(docs)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document and digests of them and of what they decode to."""
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and disclosing terms taken out of their texts."""
+    return pii.sanitised(docs)
+
+
+def as_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of ids of each document, and digests of them and of what they decode to."""
     return encoded(docs)
 
 
-STAGES = [("decontamination", no_benchmarks), ("byte_bpe", byte_bpe)]
+STAGES = [
+    ("quality_rules", good_quality),
+    ("jaccard_join", without_near_copies),
+    ("decontamination", without_benchmarks),
+    ("pii", without_personal_data),
+    ("byte_bpe", as_ids),
+]
 
-#: The first stages learn or search by hashes, which SQL cannot express.
+#: Stages learn, search by hashes and tokenise, which SQL cannot express.
 ORACLE_SQL = None
 
 
