@@ -73,7 +73,7 @@ def mine(
     bad = rows.join(items, "row", "left").select(
         F.concat(F.coalesce("items", F.array().cast("array<string>")),
                  F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / max(total, 1)), minConfidence=confidence).fit(bad)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / max(total, 1))), minConfidence=confidence).fit(bad)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD))).select(
         "antecedent", "confidence", (F.col("support") * total).cast("bigint").alias("n_urls"))
     # An item stands for all tokens that were seen in the same URLs.
