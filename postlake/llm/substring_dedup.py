@@ -39,12 +39,12 @@ _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd factors of the two window hashes.
 _FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Characters: sent together by a map task, taken in one go, held by a reduce task.
-_SENT, _TAKEN, _HELD = 16 << 20, 8 << 20, 96 << 20
+_SENT, _TAKEN, _HELD = 12 << 20, 3 << 20, 64 << 20
 #: Documents with one minimiser that one bucket may get, by the sample's estimate.
 _CROWD = 20_000
 #: Characters of packed strings that a bucket is planned for.
-_PLANNED = 40 << 20
-_SEEN = 200_000
+_PLANNED = 24 << 20
+_SEEN = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -160,7 +160,7 @@ def _sent(docs: DataFrame, width: int, mer: int, crowded: dict[int, int], bucket
     held = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def work(batches: Batches) -> Iterator[dict]:
-        hashes, seen, spread = WordHashes(), {}, held.value
+        hashes, seen, spread = WordHashes(200_000), {}, held.value
         crowd = np.array(sorted(spread), np.int64).view(np.uint64)
         crowd.sort()
         parts_of = np.array([spread[int(k)] for k in crowd.view(np.int64)], np.uint64)
@@ -235,7 +235,7 @@ def _marks(sent: DataFrame, width: int, buckets: int) -> DataFrame:
     """Ranges to remove, and with `high` and `low` the windows still to be compared."""
 
     def work(batches: Batches) -> Iterator[dict]:
-        hashes, expand = WordHashes(), zstandard.ZstdDecompressor().decompress
+        hashes, expand = WordHashes(200_000), zstandard.ZstdDecompressor().decompress
         rows: list[tuple[np.ndarray, list[bytes]]] = []
         size, state = 0, (None, None)
 
