@@ -13,8 +13,9 @@ more differ in at most (100 - t)(a + b) / (100 + t) elements. Hence:
   hold one that its partner also chose with equal contents: the pigeonhole join.
   A document with too few blocks that are not empty gives all its blocks.
 * Documents with equal sets are one vertex, so copies are joined once. Within a block
-  each vertex meets the smallest one; links become components; only vertices of a
-  block that are still apart meet each other.
+  each vertex meets the smallest one; links become components. Vertices that are still
+  apart meet by a second pigeonhole: XOR with the centre of their cluster leaves small
+  differences, and similar vertices share a rare one (`_by_difference`).
 * Candidates whose dense sketches differ in more than D bits are dropped, the rest is
   verified on the sets. Pairs already in one component are not compared again: they
   cannot change the classes.
@@ -249,6 +250,100 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return by_arrow(met.select("sig", "text"), work, "sig bigint, elements binary")
 
 
+def _rooted(rows: DataFrame, name: str, roots: DataFrame) -> DataFrame:
+    """The rows with the component of column `name`, itself if it has no link."""
+    root = roots.select(F.col("id").alias(name), F.col("root").alias(f"root_{name}"))
+    return rows.join(root, name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
+
+
+_DIFFERENCE = "cluster bigint, element bigint, rank int, short int, apart int, sig bigint, size bigint, root bigint"
+
+
+def _by_difference(met: DataFrame, vertices: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among which are all similar ones.
+
+    Vertices that shared blocks bring together are a cluster; its centre holds the
+    elements of more than half of them. A set is now its XOR with the centre, of which
+    two have the same symmetric difference as the sets. Similar sets whose differences
+    from the centre add up to more than they may be apart share some of these
+    differences: with the rarest first, one of the first few of each, and few elements
+    are rare in more than one. The others, both close to the centre, are similar to the
+    closest set of either size.
+    """
+    cluster = components(met).select(F.col("id").alias("sig"), F.col("root").alias("cluster"))
+    rows = _rooted(vertices.join(cluster, "sig").select("sig", "size", "cluster"), "sig", roots)
+    rows = rows.withColumnRenamed("root_sig", "root")
+    open_ = rows.groupBy("cluster").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    rows = materialise(rows.join(open_.select("cluster", "n"), "cluster").join(sets, "sig"), "clusters")
+
+    def each(batches: Batches) -> Iterator[dict]:
+        for batch in batches:
+            elements = [np.frombuffer(e.as_buffer(), np.int64) for e in batch.column("elements")]
+            lengths = [len(e) for e in elements]
+            if elements:
+                yield {"cluster": np.repeat(batch.column("cluster").to_numpy(), lengths),
+                       "sig": np.repeat(batch.column("sig").to_numpy(), lengths), "element": np.concatenate(elements)}
+
+    flat = by_arrow(rows.select("cluster", "sig", "elements"), each, "cluster bigint, sig bigint, element bigint")
+    # An element that one set has needs no look-up: it can only lengthen the difference.
+    counts = materialise(flat.groupBy("cluster", "element").agg(F.count("*").alias("held")).where("held > 1").join(
+        open_.select("cluster", "n"), "cluster"), "counts")
+    centre = counts.where("2 * held > n").groupBy("cluster").agg(
+        F.collect_list(F.struct((F.col("n") - F.col("held")).alias("seen"), "element")).alias("centre"))
+    shared = flat.join(counts.where("2 * held <= n"), ["cluster", "element"]).groupBy("sig").agg(
+        F.collect_list(F.struct(F.col("held").alias("seen"), "element")).alias("shared"))
+
+    def differ(batches: Batches) -> Iterator[dict]:
+        for batch in batches:
+            columns: dict[str, list] = {c.split()[0]: [] for c in _DIFFERENCE.split(", ")}
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["elements"], np.int64)
+                middle = {e["element"]: e["seen"] for e in row["centre"] or ()}
+                inside = set(own[np.isin(own, np.fromiter(middle, np.int64, len(middle)))].tolist())
+                differing = [(seen, e) for e, seen in middle.items() if e not in inside]
+                apart = len(own) - len(inside) + len(differing)
+                differing = sorted((seen, e) for seen, e in (
+                    *differing, *((s["seen"], s["element"]) for s in row["shared"] or ())) if seen > 1)
+                most = most_apart(len(own), len(own) * 100 // percent, percent)
+                short = prefix(apart, max(apart, most - apart + 1), most)
+                long = prefix(apart, max(0, apart - most, most - apart + 1), most)
+                alone = apart - len(differing)  # elements that no other set's difference has come first
+                head = [(-1, None), *((alone + i, e) for i, (_, e) in enumerate(differing) if alone + i < long)]
+                for rank, element in head:
+                    for column, value in zip(columns.values(), (
+                            row["cluster"], element, rank, short, apart, row["sig"], row["size"], row["root"]), strict=True):
+                        column.append(value)
+            yield columns
+
+    differences = materialise(by_arrow(
+        rows.join(centre, "cluster", "left").join(shared, "sig", "left"), differ, _DIFFERENCE), "differences")
+    similar = (f"least(a_size, b_size) * 100 >= {percent} * greatest(a_size, b_size) and a_root <> b_root")
+    limit = f"{100 - percent} * (a_size + b_size) div {100 + percent}"
+    names = [c for c in differences.columns if c not in ("cluster", "element")]
+
+    def side(table: DataFrame, s: str) -> DataFrame:
+        return table.withColumnsRenamed({c: f"{s}_{c}" for c in names})
+
+    listed = differences.where("element is not null")
+    crossing = side(listed.where("rank < short"), "a").join(side(listed, "b"), ["cluster", "element"]).where(
+        f"(a_apart < b_apart or (a_apart = b_apart and a_sig < b_sig)) and b_apart - a_apart <= {limit} and {similar}")
+    close = differences.where(f"rank = -1 and apart <= {100 - percent} * (size + size * 100 div {percent}) div {100 + percent}")
+    closest = close.groupBy("cluster", "size").agg(F.min(F.struct("apart", "sig", "root")).alias("m")).select(
+        "cluster", "size", "m.*", F.lit(0).alias("rank"), F.lit(0).alias("short"))
+    central = side(close.drop("element"), "a").join(side(closest, "b"), "cluster").where(
+        f"a_apart + b_apart <= {limit} and {similar}")
+    pairs = crossing.select("a_sig", "b_sig").unionByName(central.select("a_sig", "b_sig"))
+    return materialise(pairs.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct(),
+                       "candidates")
+
+
+def prefix(size: int, other: int, most: int) -> int:
+    """Elements of a difference of `size` of which one must be shared with one of
+    `other` or more elements, if both are to be within `most`."""
+    return max(0, size - max(1, -(-(size + other - most) // 2)) + 1)
+
+
 def classes(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
     found = materialise(_grouped(_sketched(docs, n, percent)), "sketches")
@@ -260,33 +355,20 @@ def classes(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     vertices = materialise(vertices.join(met, "sig", "left_semi"), "vertices")
     sets = materialise(_sets(docs, vertices.select("doc_id", "sig"), n), "sets")
 
-    # First each vertex meets one leader, then the others that it is still apart from,
-    # then vertices of one block that are still apart meet each other.
+    # Each vertex meets one leader, then the other leaders that it is still apart from.
     first = blocks.groupBy(F.col("sig").alias("a")).agg(F.min("leader").alias("b"))
     links = materialise(_verified(_near(first, vertices, percent), sets, percent), "links")
     roots = materialise(components(links), "roots")
-
-    def rooted(rows: DataFrame, name: str) -> DataFrame:
-        root = roots.select(F.col("id").alias(name), F.col("root").alias(f"root_{name}"))
-        return rows.join(root, name, "left").withColumn(f"root_{name}", F.coalesce(f"root_{name}", name))
-
-    apart = rooted(rooted(blocks.select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct(), "a"), "b")
-    second = apart.where("root_a <> root_b").select("a", "b").join(first, ["a", "b"], "left_anti")
-    links_2 = materialise(_verified(_near(second, vertices, percent), sets, percent), "links")
-    links = links.unionByName(links_2)
+    met = materialise(blocks.select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct(), "met")
+    apart = _rooted(_rooted(met, "a", roots), "b", roots).where("root_a <> root_b").select("a", "b")
+    second = apart.join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(materialise(_verified(_near(second, vertices, percent), sets, percent), "links"))
     roots = materialise(components(links), "roots")
 
-    led = rooted(rooted(blocks.withColumnsRenamed({"sig": "a", "leader": "b"}), "a"), "b")
-    open_keys = led.groupBy("key").agg(
-        F.min(F.least("root_a", "root_b")).alias("low"), F.max(F.greatest("root_a", "root_b")).alias("high")
-    ).where("low <> high").select("key")
-    left = led.join(open_keys, "key", "left_semi").select("key", "a", "root_a").distinct()
-    third = (
-        left.join(left.withColumnsRenamed({"a": "b", "root_a": "root_b"}), "key")
-        .where("a < b and root_a <> root_b").select("a", "b").distinct()
-    )
-    links_3 = materialise(_verified(_near(third, vertices, percent), sets, percent), "links")
-    roots = components(links.unionByName(links_3))
+    # Then vertices that blocks hold together, but links do not, meet each other.
+    third = _by_difference(met, vertices, sets, roots, percent)
+    links = links.unionByName(materialise(_verified(_near(third, vertices, percent), sets, percent), "links"))
+    roots = components(links)
 
     least = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     placed = least.join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
