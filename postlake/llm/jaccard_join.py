@@ -327,7 +327,9 @@ def _by_difference(met: DataFrame, vertices: DataFrame, sets: DataFrame, roots:
 
     listed = differences.where("element is not null")
     crossing = side(listed.where("rank < short"), "a").join(side(listed, "b"), ["cluster", "element"]).where(
-        f"(a_apart < b_apart or (a_apart = b_apart and a_sig < b_sig)) and b_apart - a_apart <= {limit} and {similar}")
+        f"(a_apart < b_apart or (a_apart = b_apart and a_sig < b_sig)) and b_apart - a_apart <= {limit} and {similar}"
+        # As many as are left from here on have to be shared, if this is the first.
+        f" and 2 * least(a_apart - a_rank, b_apart - b_rank) >= a_apart + b_apart - {limit}")
     close = differences.where(f"rank = -1 and apart <= {100 - percent} * (size + size * 100 div {percent}) div {100 + percent}")
     closest = close.groupBy("cluster", "size").agg(F.min(F.struct("apart", "sig", "root")).alias("m")).select(
         "cluster", "size", "m.*", F.lit(0).alias("rank"), F.lit(0).alias("short"))
