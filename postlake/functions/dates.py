@@ -29,7 +29,7 @@ _MONTH_TAIL = (
 )
 _DAY_FIRST = rf"^{_WEEKDAY}(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{4}}|\d{{2}}){_TIME}$"
 _YEAR_FIRST = rf"^{_WEEKDAY}(\d{{4}})[./-](\d{{1,2}})[./-](\d{{1,2}}){_TIME}$"
-_DAY_MONTH = rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[ -]{_MONTH}{_MONTH_TAIL}\.?,?[ -](\d{{4}}){_TIME}$"
+_DAY_MONTH = rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[ -]{_MONTH}{_MONTH_TAIL}\.?,?[ -](\d{{4}}|\d{{2}}){_TIME}$"
 _MONTH_DAY = rf"^{_WEEKDAY}{_MONTH}{_MONTH_TAIL}\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}){_TIME}$"
 
 # English month names in order, and where two-digit years turn.
@@ -59,12 +59,16 @@ def _week_date(text: Column) -> Column:
     return F.when(legal, F.date_format(date, "yyyy-MM-dd"))
 
 
-def _day_first(text: Column) -> Column:
-    a, b, year = _parts(text, _DAY_FIRST)
+def _full_year(year: Column) -> Column:
     short = year.try_cast("int")
-    century = F.when(F.length(year) == 4, year).otherwise(
+    return F.when(F.length(year) == 4, year).otherwise(
         F.when(short < _YEAR_TURN, short + 2000).otherwise(short + 1900).cast("string")
     )
+
+
+def _day_first(text: Column) -> Column:
+    a, b, year = _parts(text, _DAY_FIRST)
+    century = _full_year(year)
     swapped = (b.try_cast("int") > 12) & (a.try_cast("int") <= 12)
     return F.when(swapped, _iso(century, a, b)).otherwise(_iso(century, b, a))
 
@@ -80,7 +84,7 @@ def _named(text: Column, pattern: str, day_group: int, month_group: int) -> Colu
     month = F.lit(None).cast("string")
     for number, name in enumerate(_MONTHS.split(), start=1):
         month = F.when(parts[month_group - 1] == name, F.lit(str(number))).otherwise(month)
-    return _iso(parts[2], month, parts[day_group - 1])
+    return _iso(_full_year(parts[2]), month, parts[day_group - 1])
 
 
 def read_date(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import clean_text, let, strip
 
@@ -81,8 +82,21 @@ def percent(value: Column) -> Column:
     return clamp_percent(to_float(value))
 
 
-def workload_range(value: Column) -> Column:
-    """(min, max) percent from free text: digit runs of up to three, 0..100."""
+def plain_text(value: Column, kind: T.DataType) -> Column:
+    """Any value as text; a large number without an exponent."""
+    text = value.cast("string")
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return text
+    written = F.regexp_replace(value.try_cast("decimal(38,9)").cast("string"), r"\.?0+$", "")
+    return F.when(F.abs(value) >= 1e7, F.coalesce(written, text)).otherwise(text)
+
+
+def workload_range(value: Column, kind: T.DataType | None = None) -> Column:
+    """(min, max) percent. A number is both bounds, rounded half to even; free text
+    gives its digit runs of up to three, 0..100."""
+    if isinstance(kind, T.NumericType):
+        number = whole(_finite(value.cast("double")))
+        return F.struct(number.alias("min"), number.alias("max"))
     runs = F.regexp_extract_all(
         F.coalesce(clean_text(value), F.lit("")), F.lit(r"\d{1,3}"), F.lit(0)
     )

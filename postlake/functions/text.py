@@ -76,8 +76,9 @@ def _character(code: Column) -> Column:
 
 def _entity_value(entity: Column) -> Column:
     inner = F.regexp_replace(entity, "^&|;$", "")
-    digits = F.substring(inner, 2, 9)
-    hexed = F.substring(inner, 3, 9)
+    # Leading zeros say nothing; what is too long for a number is no character.
+    digits = F.regexp_extract(inner, "^#0*([0-9]+)$", 1)
+    hexed = F.regexp_extract(inner, "^#[xX]0*([0-9A-Fa-f]+)$", 1)
     number = (
         F.when(inner.rlike("^#[xX]"), F.conv(hexed, 16, 10).try_cast("bigint"))
         .when(inner.startswith("#"), digits.try_cast("bigint"))
@@ -126,12 +127,23 @@ def strip_lines(value: Column) -> Column:
     return F.nullif(strip(F.array_join(lines, "\n")), F.lit(""))
 
 
+# Elements whose end is the end of a line, the one that breaks a line
+# and the one that begins an entry of a list.
+_LINE_ENDS = ("p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")
+_BREAK, _ENTRY = "br", "li"
+
+
+def _tag(*names: str, closing: bool = False, rest: str = "") -> str:
+    """Pattern of a tag with one of the names, in any case, blanks around them."""
+    return rf"(?iU)<{'/' if closing else ''}\s*(?:{'|'.join(names)}){rest}>"
+
+
 def html_to_text(value: Column) -> Column:
     """Readable text of an HTML fragment; block ends become line breaks."""
     text = value.cast("string")
-    text = F.regexp_replace(text, r"(?iU)<\s*br\s*/?\s*>", "\n")
-    text = F.regexp_replace(text, r"(?iU)</\s*(?:p|div|li|tr|h[1-6])\s*>", "\n")
-    text = F.regexp_replace(text, r"(?iU)<\s*li[^>]*>", "\n- ")
+    text = F.regexp_replace(text, _tag(_BREAK, rest=r"\s*/?\s*"), "\n")
+    text = F.regexp_replace(text, _tag(*_LINE_ENDS, closing=True, rest=r"\s*"), "\n")
+    text = F.regexp_replace(text, _tag(_ENTRY, rest="[^>]*"), "\n- ")
     text = F.regexp_replace(text, r"</?[^ >/][^>]*>", "")
     text = decode_entities(text)
     text = F.regexp_replace(text, f"{BLANK}+", " ")

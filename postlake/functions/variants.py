@@ -10,7 +10,6 @@ from .text import let
 
 # Keys that hold the text of a value object, first present wins.
 TEXT_KEYS = ("name", "value", "@value", "text")
-_DEPTH = 3
 
 
 def member(value: Column, key: str) -> Column:
@@ -60,17 +59,38 @@ def _has_text(text: Column) -> Column:
     return F.regexp_replace(text, "&nbsp;?|&#160;?", "").rlike(r"(?U)\S")
 
 
-def text_of(value: Column, depth: int = _DEPTH) -> Column:
+def _deep_text(value: Column) -> Column:
+    """Text of a nested value, however deep: the values still to be looked at are kept
+    in a list whose first entry is replaced by what it holds, until one has text."""
+    rest = "array<variant>"
+    # Every step takes one value; there are no more of them than openings and commas.
+    bare = F.regexp_replace(F.to_json(value), r'"(?:[^"\\\\]++|\\\\.)*+"', "")
+    steps = F.sequence(F.lit(0), F.length(F.regexp_replace(bare, r"[^\[{,]", "")) + 1)
+
+    def step(done: Column, _: Column) -> Column:
+        def taken(head: Column) -> Column:
+            child = F.coalesce(*[F.try_element_at(members(head), F.lit(key)) for key in TEXT_KEYS])
+            inner = (
+                F.when(elements(head).isNotNull(), elements(head))
+                .when(members(head).isNotNull() & child.isNotNull(), F.array(child))
+                .otherwise(F.array().cast(rest))
+            )
+            nested = elements(head).isNotNull() | members(head).isNotNull()
+            text = F.when(~nested, scalar_text(head))
+            return F.struct(
+                F.concat(inner, F.slice(done["rest"], F.lit(2), F.size(done["rest"]))).alias("rest"),
+                F.when(_has_text(text), text).alias("text"),
+            )
+
+        over = done["text"].isNotNull() | (F.size(done["rest"]) == 0)
+        return F.when(over, done).otherwise(let(F.get(done["rest"], F.lit(0)), taken))
+
+    start = F.struct(F.array(value).alias("rest"), F.lit(None).cast("string").alias("text"))
+    return F.aggregate(steps, start, step, lambda done: done["text"])
+
+
+def text_of(value: Column) -> Column:
     """Uncleaned text: of an object, that of its first present text key; of a
-    list, that of the first entry that has any. Looks `depth` levels down."""
-    if not depth:
-        nested = members(value).isNotNull() | elements(value).isNotNull()
-        return F.when(~nested, scalar_text(value))
-
-    def of_object(held: Column) -> Column:
-        found = F.coalesce(*[F.try_element_at(held, F.lit(key)) for key in TEXT_KEYS])
-        return F.when(held.isNotNull(), text_of(found, depth - 1)).otherwise(scalar_text(value))
-
-    texts = F.transform(elements(value), lambda e: text_of(e, depth - 1))
-    first = F.get(F.filter(texts, _has_text), F.lit(0))
-    return F.when(texts.isNotNull(), first).otherwise(let(members(value), of_object))
+    list, that of the first entry that has any; at any depth."""
+    nested = members(value).isNotNull() | elements(value).isNotNull()
+    return F.when(nested, _deep_text(value)).otherwise(scalar_text(value))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import read_date
-from ..functions.numbers import clamp_percent, salary_range, to_float, workload_range
+from ..functions.numbers import clamp_percent, plain_text, salary_range, to_float, workload_range
 from ..functions.places import read_country
 from ..functions.text import clean_text, strip, strip_lines, with_each
 from ..schema import CLEAN_TEXT_FIELDS, LIST_FIELDS, POSTING_FIELDS, RUN_COLUMNS, conform
@@ -67,16 +68,20 @@ def normalise(df: DataFrame, run_time: str | Column) -> DataFrame:
 
 
 def with_workload(df: DataFrame, column: str) -> DataFrame:
-    """`workload_min` and `workload_max` read from a free-text column."""
-    return df.withColumn("_r", workload_range(F.col(column))).withColumns(
+    """`workload_min` and `workload_max` read from a column of text or numbers."""
+    return df.withColumn("_r", workload_range(F.col(column), df.schema[column].dataType)).withColumns(
         {"workload_min": F.col("_r.min"), "workload_max": F.col("_r.max")}
     ).drop("_r")
 
 
 def with_salary(df: DataFrame, column: str, currency_hint: str | None = None) -> DataFrame:
-    """`salary_min`, `salary_max` and `salary_currency` from a free-text column."""
+    """`salary_min`, `salary_max` and `salary_currency` from a column of text or numbers."""
     hint = F.col(currency_hint) if currency_hint else None
-    return df.withColumn("_r", salary_range(F.col(column), hint)).withColumns(
+    kind = df.schema[column].dataType
+    # Amounts have two decimals; more of them would read as groups of thousands.
+    amount = F.round(F.col(column), 2) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(column)
+    text = plain_text(amount, kind)
+    return df.withColumn("_r", salary_range(text, hint)).withColumns(
         {
             "salary_min": F.col("_r.min"),
             "salary_max": F.col("_r.max"),
@@ -92,5 +97,5 @@ def coverage(df: DataFrame, low: str, high: str) -> DataFrame:
         F.count(low).alias("parsed"),
         F.min(low).alias("lowest"),
         F.max(high).alias("highest"),
-        F.percentile_approx(low, 0.5, 10000).alias("median_low"),
+        F.percentile(low, 0.5).alias("median_low"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.numbers import plain_text
+
 _TEXT, _REAL, _WHOLE = T.StringType(), T.DoubleType(), T.IntegerType()
 _WORDS = T.ArrayType(T.StringType())
 
@@ -68,7 +70,7 @@ def conform(df: DataFrame, keep: tuple[str, ...] = tuple(RUN_COLUMNS)) -> DataFr
             if not isinstance(present[name], T.ArrayType):
                 value = F.when(value.isNotNull(), F.array(value.cast("string")))
             return value.cast(_WORDS).alias(name)
-        return F.col(name).cast("string").alias(name)
+        return plain_text(F.col(name), present[name]).alias(name)
 
     columns = [column(f.name, f.dataType) for f in RAW_SCHEMA.fields]
     return df.select(*columns, *[F.col(c) for c in keep if c in present])
