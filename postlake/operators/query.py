@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,8 +17,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPERATORS = ("AND", "OR", "NOT")
-_SPECIAL = re.compile(r'[":^*(){}\[\]]')
-_PIECE = re.compile(r'"[^"]*"|\S+')
+# Characters of a box that mean nothing in themselves.
+_BLANKED = dict.fromkeys(map(ord, '":^*(){}[]'), " ")
+_SCAN = re.compile(r'"(?P<quoted>[^"]*)"|(?P<plain>\S+?)(?P<star>\*?)(?=\s|\Z)')
 
 
 @dataclass(frozen=True)
@@ -44,19 +46,21 @@ def _phrase(text: str, prefix: bool) -> Phrase:
     return Phrase(tuple(w for w in words if w), prefix)
 
 
+def _scanned(text: str) -> Iterator[tuple[str, bool, bool]]:
+    """What a box holds, one after the other: words, whether quoted, whether a prefix."""
+    for found in _SCAN.finditer(text):
+        quoted = found["quoted"] is not None
+        words = (found["quoted"] if quoted else found["plain"]).translate(_BLANKED).strip()
+        if words:
+            yield words, quoted, bool(found["star"])
+
+
 def read_box(text: str | None) -> list[Phrase | str]:
     """Phrases and operator names in the order typed; empty means: browse."""
-    parts: list[Phrase | str] = []
-    for piece in _PIECE.findall(text or ""):
-        quoted = len(piece) > 2 and piece[0] == piece[-1] == '"'
-        plain = _SPECIAL.sub(" ", piece[1:-1] if quoted else piece).strip()
-        if not plain:
-            continue
-        if not quoted and plain.upper() in OPERATORS:
-            parts.append(plain.upper())
-        else:
-            parts.append(_phrase(plain, prefix=not quoted and piece.endswith("*")))
-    return parts
+    return [
+        words.upper() if not quoted and words.upper() in OPERATORS else _phrase(words, prefix)
+        for words, quoted, prefix in _scanned(text or "")
+    ]
 
 
 def _split(parts: list, operator: str) -> list[list]:

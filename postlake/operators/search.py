@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import once, tokens
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from .filters import condition, seen_day
 from .query import Box, Phrase
 
@@ -28,8 +28,6 @@ FIELD_WEIGHTS = {
 # Fixed values of the BM25 ranking function.
 _K1, _B = 1.2, 0.75
 _LEAST_IDF = 1e-6
-# Up to this many result rows are sent to every task when they are joined back.
-_SMALL_PAGE = 10_000
 
 
 @dataclass(frozen=True)
@@ -58,6 +56,12 @@ def with_tokens(df: DataFrame, *keep: str) -> DataFrame:
     return read.withColumn("doc_tokens", F.size(F.flatten("t")))
 
 
+def token_count(df: DataFrame) -> Column:
+    """Tokens of all indexed fields of a posting."""
+    texts = F.array(*[field_text(df, f) for f in FIELD_WEIGHTS])
+    return F.size(F.flatten(F.transform(texts, tokens)))
+
+
 def matches(term: Column, phrase: Phrase, place: int) -> Column:
     """Whether a term fits the phrase's term at `place`."""
     wanted = phrase.terms[place]
@@ -149,25 +153,46 @@ def rank_texts(state: DataFrame, box: Box, **filters) -> DataFrame:
 
 
 def page_of(state: DataFrame, ranked: DataFrame, limit: int | None, offset: int) -> DataFrame:
-    """The wanted page of results with all columns of the state, best first."""
-    best = ranked.orderBy("rank", "fingerprint")
-    if limit is not None:
-        best = best.offset(offset).limit(limit) if offset else best.limit(limit)
-        if limit <= _SMALL_PAGE:
-            best = F.broadcast(best)
-    elif offset:
-        best = best.offset(offset)
-    return state.join(best, "fingerprint").select(
-        *state.columns, "rank"
-    ).orderBy("rank", "fingerprint")
+    """The wanted results with all columns of the state, best first. The keys of a page
+    come to the driver, at most `limit` of them, and are asked of the state by value,
+    so that files and row groups without them are skipped; `limit=None` joins all."""
+    if limit is None:
+        wanted = skip(ranked, offset, "rank", "fingerprint") if offset else ranked
+        rows = state
+    else:
+        page = ranked.orderBy("rank", "fingerprint").offset(offset).limit(limit).collect()
+        wanted = F.broadcast(state.sparkSession.createDataFrame(page, ranked.schema))
+        rows = state.filter(F.col("fingerprint").isin([r.fingerprint for r in page]))
+    return rows.join(wanted, "fingerprint").select(*state.columns, "rank").orderBy("rank", "fingerprint")
+
+
+def skip(keys: DataFrame, offset: int, *order: Column | str) -> DataFrame:
+    """Narrow rows without the first `offset` in an order. They are sorted over all
+    tasks and written; the sizes of the sorted parts tell where to begin."""
+    placed = keys.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
+    written = materialise(placed, "sorted")
+    part = F.shiftright("_place", 33).alias("part")
+    sizes = sorted((r.part, r.n) for r in written.groupBy(part).agg(F.count("*").alias("n")).collect())
+    begin = None
+    for number, size in sizes:
+        if offset < size:
+            begin = (number << 33) + offset
+            break
+        offset -= size
+    left = written.filter(F.lit(False)) if begin is None else written.filter(F.col("_place") >= begin)
+    return left.drop("_place")
 
 
 def browse(state: DataFrame, limit: int | None, offset: int, **filters) -> DataFrame:
     """Without a query: newest first, `rank` NULL."""
-    rows = state.filter(condition(**filters)).withColumn("rank", F.lit(None).cast("double"))
-    rows = rows.orderBy(seen_day().desc_nulls_last(), "fingerprint")
-    rows = rows.offset(offset) if offset else rows
-    return rows if limit is None else rows.limit(limit)
+    newest = (seen_day().desc_nulls_last(), F.col("fingerprint"))
+    rows = state.filter(condition(**filters))
+    if offset and limit is None:
+        keys = rows.select("fingerprint", seen_day().alias("_day"))
+        later = skip(keys, offset, F.col("_day").desc_nulls_last(), "fingerprint")
+        rows = rows.join(later.select("fingerprint"), "fingerprint", "left_semi").select(*state.columns)
+    rows = rows.withColumn("rank", F.lit(None).cast("double")).orderBy(*newest)
+    return rows if limit is None else rows.offset(offset).limit(limit)
 
 
 def search(
