@@ -2,41 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_KEY = ("run_id", "source", "fingerprint")
 
 
+def _losers(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Key and `ingest_seq` of the rows that come after the first of their key. Only
+    these narrow columns are shuffled, combined before it; a key of very many rows
+    sends one row per task and is joined back by its own numbers."""
+    narrow = df.select(*key, "ingest_seq").filter(F.coalesce("fingerprint", F.lit("")) != "")
+    first = narrow.groupBy(*key).agg(F.min("ingest_seq").alias("_first"), F.count("*").alias("_n"))
+    repeated = first.filter("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in key], "_first")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return narrow.join(repeated, same).filter("ingest_seq > _first").select(*key, "ingest_seq")
+
+
+def _placed(df: DataFrame, key: tuple[str, ...], how: str) -> DataFrame:
+    losers = _losers(df, key)
+    names = (*key, "ingest_seq")
+    losers = losers.select(*[F.col(c).alias(f"_{c}") for c in names])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+    return df.join(losers, same, how)
+
+
 def first_per_fingerprint(df: DataFrame, key: tuple[str, ...] = RUN_KEY) -> DataFrame:
-    """The earliest row (`ingest_seq`) per key; rows without a fingerprint pass.
-
-    Each map task keeps only its own earliest row per key before the shuffle
-    (the rank limit is pushed below it), so a key that holds a large share of
-    the rows sends at most one row per task.
-    """
-    # A row without a fingerprint is its own group.
-    alone = F.concat(F.lit("#"), F.col("ingest_seq").cast("string"))
-    group = [c for c in key if c != "fingerprint"]
-    keyed = df.withColumn("_key", F.coalesce(F.nullif("fingerprint", F.lit("")), alone))
-    order = Window.partitionBy(*group, "_key").orderBy("ingest_seq")
-    return (
-        keyed.withColumn("_rank", F.row_number().over(order))
-        .filter("_rank = 1")
-        .drop("_key", "_rank")
-    )
+    """The earliest row (`ingest_seq`, unique within a key) per key; rows without a
+    fingerprint pass. The rows themselves are in no window and no aggregate."""
+    return _placed(df, key, "left_anti")
 
 
 def duplicates(df: DataFrame, key: tuple[str, ...] = RUN_KEY) -> DataFrame:
-    """The rows `first_per_fingerprint` leaves out. Needs a unique `ingest_seq`.
-
-    The winners are found by a pre-aggregated minimum; what is joined back is one
-    unique number per row, so no group gathers in one task.
-    """
-    fingerprinted = F.coalesce("fingerprint", F.lit("")) != ""
-    candidates = df.filter(fingerprinted)
-    winners = candidates.groupBy(*key).agg(F.min("ingest_seq").alias("ingest_seq"))
-    return candidates.join(winners.select("ingest_seq"), "ingest_seq", "left_anti")
+    """The rows `first_per_fingerprint` leaves out."""
+    return _placed(df, key, "left_semi")
 
 
 def duplicate_counts(df: DataFrame, key: tuple[str, ...] = RUN_KEY) -> DataFrame:

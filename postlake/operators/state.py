@@ -72,24 +72,19 @@ def overlay_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
     return untouched.select(*columns).unionByName(renewed.select(*columns))
 
 
-def fold_states(states: DataFrame, order: str = "version") -> DataFrame:
-    """Several states of the same postings, by version, as one: content of the
-    newest, first sight of the oldest."""
-    content = [c for c in CONTENT if c in states.columns]
-    last = F.max_by(F.struct(*content, "last_seen_at"), order)
-    folded = states.groupBy("fingerprint").agg(
-        last.alias("_last"), F.min_by("first_seen_at", order).alias("first_seen_at")
-    )
-    return folded.select("fingerprint", "_last.*", "first_seen_at")
-
-
 def as_batch(postings: DataFrame, seen_at: str) -> DataFrame:
-    """Postings of one run as an upsert batch: folded, one `seen_at` for all."""
+    """Postings of one run as an upsert batch: one row per key, one `seen_at` for all.
+    Only keys that several rows have are folded; the others pass as they are."""
     ordered = postings
     for name in ("run_seq", "ingest_seq"):
         if name not in ordered.columns:
             ordered = ordered.withColumn(name, F.lit(0).cast("bigint"))
-    return fold(ordered.withColumn("seen_at", F.lit(seen_at)))
+    several = ordered.groupBy("fingerprint").agg(F.count("*").alias("_n")).filter("_n > 1").select("fingerprint")
+    stamped = ordered.withColumn("seen_at", F.lit(seen_at))
+    folded = fold(stamped.join(several, "fingerprint", "left_semi"))
+    alone = stamped.join(several, "fingerprint", "left_anti").withColumns(
+        {"first_seen_at": F.col("seen_at"), "last_seen_at": F.col("seen_at")})
+    return alone.select(*folded.columns).unionByName(folded)
 
 
 def upsert_counts(upserted: DataFrame) -> DataFrame:
@@ -110,7 +105,7 @@ def publication_duration(state: DataFrame, group: str = "source") -> DataFrame:
         F.min(days).alias("shortest"),
         F.max(days).alias("longest"),
         F.sum(days).cast("bigint").alias("total_days"),
-        F.percentile_approx(days, 0.5, 10000).alias("median_days"),
+        F.percentile(days, 0.5).alias("median_days"),
     )
 
 
