@@ -16,15 +16,12 @@ from pyspark.sql import functions as F
 from ..operators.dedup import duplicates, first_per_fingerprint
 from ..operators.enrich import ERRORS, Step, enrich
 from ..operators.normalise import normalise
-from ..operators.state import as_batch, overlay_changes
+from ..operators.state import as_batch
 from ..operators.validate import BAD_URL, DUPLICATE, INCOMPLETE, accepted, judge, rejects
 from ..schema import POSTING_FIELDS, RUN_COLUMNS
 from ..session import materialise, prepare
 from ..sources.archive import append_archive
-from .store import BASE, DELTA, Store
-
-# A full snapshot replaces the chain of deltas after so many runs.
-COMPACT_EVERY = 16
+from .store import Store
 
 
 @dataclass
@@ -58,22 +55,36 @@ def stage(raw: DataFrame, run: Run) -> tuple[DataFrame, dict[str, int]]:
     return staged, dict(seen.get)
 
 
-def ingest(raw: DataFrame, store: Store, run: Run) -> dict[str, int]:
-    """Process one run into the store and return its counters. Running it again
-    with the same `run_seq` rewrites the same state version."""
+def ingest(
+    raw: DataFrame, store: Store, run: Run, seen_before: DataFrame | None = None,
+    mark: tuple[str, int] | None = None,
+) -> dict[str, int]:
+    """Process one run into the store and return its counters. The same run again
+    right after itself replaces what it wrote. `seen_before` holds (source, fingerprint)
+    of postings that an earlier part of the run kept: they are duplicates here. `mark`
+    names a stream and its batch."""
     spark = prepare(store.spark)
     staged, counters = stage(raw, run)
     valid = accepted(staged)
-
-    dropped = duplicates(valid).withColumns(
+    kept_rows, dropped = first_per_fingerprint(valid), duplicates(valid)
+    if seen_before is not None:
+        known = seen_before.select(F.col("source").alias("_s"), F.col("fingerprint").alias("_f"))
+        same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("fingerprint") == F.col("_f"))
+        dropped = dropped.unionByName(kept_rows.join(known, same, "left_semi"))
+        kept_rows = kept_rows.join(known, same, "left_anti")
+
+    dropped = dropped.withColumns(
         {"reject_reason": F.lit(DUPLICATE), "missing_fields": F.array().cast("array<string>")}
     )
     out = rejects(staged).unionByName(dropped.select(*staged.columns))
-    out.write.mode("overwrite").parquet(store.folder(f"rejects/run={run.run_seq}"))
+    (
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id").parquet(store.folder("rejects"))
+    )
 
     kept = Observation()
     steps = list(run.steps)
-    enriched = enrich(first_per_fingerprint(valid), steps)
+    enriched = enrich(kept_rows, steps)
     failed = [
         F.count_if(F.array_contains(ERRORS, name)).alias(f"enrich_failed/{name}")
         for name, _ in steps
@@ -88,39 +99,11 @@ def ingest(raw: DataFrame, store: Store, run: Run) -> dict[str, int]:
     if run.archive:
         append_archive(postings, store.folder("archive"))
 
-    counters |= apply_batch(store, as_batch(postings, run.seen_at), run.run_seq, run.seen_at)
+    counters |= store.upsert(as_batch(postings, run.seen_at), f"{run.run_id}/{run.run_seq}", mark)
     store.add_metrics(run.run_id, counters)
     return counters
 
 
-def apply_batch(
-    store: Store, batch: DataFrame, version: int, seen_at: str, compact_every: int = COMPACT_EVERY
-) -> dict[str, int]:
-    """Upsert a folded batch into the state before `version`, as that version.
-
-    The batch is written as a delta; the older state is only asked which of its
-    keys are known. Every `compact_every` deltas, and for the first run, a full
-    snapshot is written instead of a growing chain.
-    """
-    commits = store.commits(before=version)
-    bases = [v for v, kind in commits if kind == BASE]
-    if not bases:
-        store.write_base(batch, version, seen_at)
-        return {"new": store.base(version).count(), "updated": 0}
-    store.write_delta(batch, version, seen_at)
-    newer = [v for v, kind in commits if kind == DELTA and v > bases[-1]]
-    written = store.changes([version])
-    keys = store.base(bases[-1]).select("fingerprint")
-    if newer:
-        keys = keys.unionByName(store.changes(newer).select("fingerprint"))
-    total = written.count()
-    updated = written.join(keys, "fingerprint", "left_semi").count()
-    if len(newer) + 1 >= compact_every:
-        full = overlay_changes(store.base(bases[-1]), store.changes([*newer, version]))
-        store.write_base(full, version, seen_at)
-    return {"new": total - updated, "updated": updated}
-
-
 def replay(store: Store, target: Store, runs: Iterable[Run]) -> None:
     """Process landed raw rows again, run by run, into another store: after a
     parser was corrected, without asking any site again."""

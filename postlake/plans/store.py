@@ -1,45 +1,87 @@
-"""Where a corpus lives: raw landing, archive, rejects, run metrics and the
-current state.
-
-The state is a full snapshot and the deltas of the runs since. A run writes only
-its own postings; now and then a run also writes a new snapshot. Everything goes
-to a folder of its own and is then named in a small commit log, so readers never
-see half a write, and a version that is written again changes nothing.
+"""Where a corpus lives: raw landing, archive, rejects, run metrics and the current
+state.
+
+The state is a plain table in `buckets` folders by key. A run rewrites the buckets it
+touches into a new folder, which no reader has open, and then publishes a short list
+that names the folder of every bucket. Runs are applied in the order in which they are
+published, whatever they are numbered: the last write of a posting wins and none is
+lost. A reader opens the newest list and scans the folders it names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.index import Index, corpus_of, read_index, refresh_index, write_index
-from ..operators.search import Corpus
-from ..operators.state import fold_states, overlay_changes
+from ..operators.index import Index, read_index, refresh_index, write_index
+from ..operators.search import Corpus, token_count
+from ..operators.state import overlay_changes
 from ..schema import POSTING_FIELDS, RAW_SCHEMA, RUN_COLUMNS, STATE_COLUMNS, conform
+from ..session import materialise
 
-_COMMIT = "version bigint, kind string, seen_at string"
-BASE, DELTA = "base", "delta"
-_STATE_SCHEMA = T.StructType(
-    [T.StructField(c, POSTING_FIELDS.get(c, T.StringType())) for c in STATE_COLUMNS]
-)
+#: Columns the store keeps beside a posting: when it was written, how long it is.
+_KEPT = {"version": T.LongType(), "doc_tokens": T.IntegerType()}
+_STATE_SCHEMA = T.StructType([T.StructField(c, POSTING_FIELDS.get(c, T.StringType())) for c in STATE_COLUMNS])
+_STORED_SCHEMA = T.StructType([*_STATE_SCHEMA.fields, *[T.StructField(n, k) for n, k in _KEPT.items()]])
+_GONE = "fingerprint string, version bigint"
 METRICS = "run_id string, counter string, n bigint"
 
 
+@dataclass(frozen=True)
+class Published:
+    """One state of the store: the folder of each bucket, and what led to it. `marks`
+    holds for each stream its last batch and that batch's counters."""
+
+    version: int
+    run: str
+    before: int | None
+    folders: dict[str, str] = field(default_factory=dict)
+    marks: dict[str, dict] = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
     path: str
+    buckets: int = 64
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def _exists(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        system = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return system.exists(place)
+    def _file(self, name: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(name))
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _read(self, name: str) -> str | None:
+        system, place = self._file(name)
+        if not system.exists(place):
+            return None
+        stream = system.open(place)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _write(self, name: str, text: str, overwrite: bool) -> bool:
+        """Whether the file could be written; without `overwrite` the first one stays."""
+        system, place = self._file(name)
+        if not overwrite and system.exists(place):
+            return False
+        try:
+            stream = system.create(place, overwrite)
+        except Exception as failure:
+            if not overwrite and system.exists(place):
+                return False
+            raise failure
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
 
     # -- raw landing -------------------------------------------------------
 
@@ -62,83 +104,139 @@ class Store:
 
     # -- state -------------------------------------------------------------
 
-    def commits(self, before: int | None = None) -> list[tuple[int, str]]:
-        """Committed (version, kind) pairs, oldest first: one short row per run."""
-        log = self.folder("commits")
-        if not self._exists(log):
-            return []
-        rows = self.spark.read.schema(_COMMIT).json(log).distinct().collect()
-        return sorted((r.version, r.kind) for r in rows if before is None or r.version < before)
+    def published(self, version: int) -> Published | None:
+        text = self._read(f"published/{version}.json")
+        return Published(**json.loads(text)) if text else None
+
+    def newest(self) -> Published | None:
+        """The newest state: from the one last noted on, as far as there are any."""
+        noted = self._read("published/noted")
+        found, at = None, int(noted) if noted else 0
+        while (later := self.published(at)) is not None:
+            found, at = later, at + 1
+        return found
 
-    def latest_version(self, before: int | None = None) -> int | None:
-        return max((v for v, _ in self.commits(before)), default=None)
+    def latest_version(self) -> int | None:
+        head = self.newest()
+        return head.version if head else None
 
     def empty_state(self) -> DataFrame:
         return self.spark.createDataFrame([], _STATE_SCHEMA)
 
-    def base(self, version: int) -> DataFrame:
-        return self.spark.read.schema(_STATE_SCHEMA).parquet(self.folder(f"state/version={version}"))
-
-    def deltas(self, after: int, upto: int) -> list[int]:
-        return [v for v, kind in self.commits() if kind == DELTA and after < v <= upto]
-
-    def changes(self, versions: list[int]) -> DataFrame:
-        """What the given deltas wrote, one row per posting."""
-        schema = T.StructType([*_STATE_SCHEMA.fields, T.StructField("version", T.LongType())])
-        read = self.spark.read.schema(schema).option("basePath", self.folder("deltas"))
-        return fold_states(read.parquet(*[self.folder(f"deltas/version={v}") for v in versions]))
+    def rows(self, state: Published | None, touched: list[int] | None = None) -> DataFrame:
+        """Rows of a published state with what the store keeps; only some buckets."""
+        folders = state.folders if state else {}
+        paths = [f"{self.folder(place)}/bucket={bucket}" for bucket, place in sorted(folders.items())
+                 if touched is None or int(bucket) in touched]
+        if not paths:
+            return self.spark.createDataFrame([], _STORED_SCHEMA)
+        return self.spark.read.schema(_STORED_SCHEMA).parquet(*paths)
 
     def state(self, version: int | None = None) -> DataFrame:
-        """The state as of a version, the newest one by default: the last full
-        snapshot with the changes since laid over it."""
-        commits = self.commits()
-        chosen = max((v for v, _ in commits), default=None) if version is None else version
-        bases = [v for v, kind in commits if kind == BASE and chosen is not None and v <= chosen]
-        if not bases:
-            return self.empty_state()
-        newer = [v for v, kind in commits if kind == DELTA and bases[-1] < v <= chosen]
-        base = self.base(bases[-1])
-        return overlay_changes(base, self.changes(newer)) if newer else base
-
-    def _write(self, rows: DataFrame, folder: str, version: int) -> None:
-        # Sorted by key within files: a look-up skips most row groups.
-        (
-            rows.select(*STATE_COLUMNS).sortWithinPartitions("fingerprint")
-            .write.mode("overwrite").parquet(self.folder(f"{folder}/version={version}"))
-        )
-
-    def write_base(self, state: DataFrame, version: int, seen_at: str) -> None:
-        self._write(state, "state", version)
-        self._commit(version, BASE, seen_at)
-
-    def write_delta(self, batch: DataFrame, version: int, seen_at: str) -> None:
-        self._write(batch, "deltas", version)
-        self._commit(version, DELTA, seen_at)
-
-    def _commit(self, version: int, kind: str, seen_at: str) -> None:
-        entry = self.spark.createDataFrame([(version, kind, seen_at)], _COMMIT)
-        entry.coalesce(1).write.mode("append").json(self.folder("commits"))
+        """The state as of a version, the newest one by default."""
+        chosen = self.newest() if version is None else self.published(version)
+        return self.rows(chosen).select(*STATE_COLUMNS)
+
+    def bucket_of(self) -> F.Column:
+        return F.pmod(F.xxhash64("fingerprint"), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        """Buckets of some keys: at most as many numbers as there are buckets."""
+        return sorted(r.b for r in keys.select(self.bucket_of().alias("b")).distinct().collect())
+
+    def _commit(
+        self, run: str, touched: list[int], change: Callable[[DataFrame, int], DataFrame],
+        mark: tuple[str, int] | None, counters: Callable[[DataFrame], dict[str, int]],
+    ) -> dict[str, int]:
+        """Rewrite the touched buckets and publish. When another run publishes first,
+        this one starts again from what that one published. The same run once more in
+        a row replaces itself; a batch that a stream has published is left alone."""
+        while True:
+            head = self.newest()
+            done = head.marks.get(mark[0]) if head and mark else None
+            if done and done["batch"] >= mark[1]:
+                return done["counters"]
+            base = head
+            if head and head.run == run:
+                base = None if head.before is None else self.published(head.before)
+            version = head.version + 1 if head else 0
+            old = self.rows(base, touched)
+            counted = counters(old)
+            place = f"state/{uuid.uuid4().hex}"
+            (
+                change(old, version).withColumn("bucket", self.bucket_of())
+                .sortWithinPartitions("bucket", "fingerprint")
+                .write.partitionBy("bucket").parquet(self.folder(place))
+            )
+            folders = dict(base.folders) if base else {}
+            for bucket in touched:
+                system, written = self._file(f"{place}/bucket={bucket}")
+                if system.exists(written):
+                    folders[str(bucket)] = place
+                else:  # nothing is left in it
+                    folders.pop(str(bucket), None)
+            marks = dict(head.marks) if head else {}
+            if mark:
+                marks[mark[0]] = {"batch": mark[1], "counters": counted}
+            entry = Published(version, run, base.version if base else None, folders, marks)
+            if self._write(f"published/{version}.json", json.dumps(asdict(entry)), overwrite=False):
+                self._write("published/noted", str(version), overwrite=True)
+                return counted
+
+    def upsert(self, batch: DataFrame, run: str, mark: tuple[str, int] | None = None) -> dict[str, int]:
+        """Write a folded batch over the state. While it is small enough to be sent to
+        every task, the rows it does not touch are neither shuffled nor sorted. `mark`
+        names a stream and its batch. Returns how many postings were new and updated."""
+        sized = batch.select(*STATE_COLUMNS).withColumn("doc_tokens", token_count(batch))
+        written = materialise(sized, "batch")
+
+        def change(old: DataFrame, version: int) -> DataFrame:
+            changes = written.withColumn("version", F.lit(version).cast("bigint")).select(*_STORED_SCHEMA.names)
+            return overlay_changes(old, changes)
+
+        def counters(old: DataFrame) -> dict[str, int]:
+            total = written.count()
+            updated = written.select("fingerprint").join(old.select("fingerprint"), "fingerprint", "left_semi").count()
+            return {"new": total - updated, "updated": updated}
+
+        return self._commit(run, self._touched(written), change, mark, counters)
+
+    def remove(self, fingerprints: DataFrame, run: str) -> None:
+        """Take postings out of the state, and so out of every index brought up to it."""
+        gone = materialise(fingerprints.select("fingerprint").distinct(), "gone")
+        at: list[int] = []
+
+        def change(old: DataFrame, version: int) -> DataFrame:
+            at.append(version)
+            return old.join(gone, "fingerprint", "left_anti")
+
+        self._commit(run, self._touched(gone), change, None, lambda old: {})
+        stamped = gone.withColumn("version", F.lit(at[-1]).cast("bigint"))
+        stamped.write.mode("append").parquet(self.folder("removed"))
 
     # -- index -------------------------------------------------------------
 
     def write_index(self, version: int | None = None) -> int:
-        """Index a committed state in full; `index` keeps it current."""
+        """Index a published state in full; `index` keeps it current."""
         chosen = self.latest_version() if version is None else version
         write_index(self.state(chosen), self.folder(f"index/version={chosen}"))
         return chosen
 
     def index(self, built: int, version: int | None = None) -> Index:
         """The index built for version `built`, brought to `version` (the newest by
-        default): only postings written since are read again."""
+        default): only the texts of postings written since are read, and the figures
+        of the corpus come from the lengths that the state keeps."""
         index = read_index(self.spark, self.folder(f"index/version={built}"))
-        chosen = self.latest_version() if version is None else version
-        newer = self.deltas(built, chosen)
-        if not newer:
-            return index
-        changed = self.changes(newer)
-        replaced = index.rows.join(changed.select("fingerprint"), "fingerprint", "left_semi").count()
-        tokens = index.corpus.tokens - replaced + corpus_of(changed).tokens
-        return refresh_index(index, changed, Corpus(self.state(chosen).count(), tokens))
+        chosen = self.published(self.latest_version() if version is None else version)
+        rows = self.rows(chosen)
+        changed = rows.filter(F.col("version") > built)
+        figures = rows.agg(F.count("*").alias("n"), F.sum("doc_tokens").alias("tokens")).first()
+        system, place = self._file("removed")
+        gone = None
+        if system.exists(place):
+            gone = self.spark.read.schema(_GONE).parquet(self.folder("removed")).filter(
+                F.col("version").between(built + 1, chosen.version)).select("fingerprint").distinct()
+        return refresh_index(index, changed.select(*STATE_COLUMNS), Corpus(figures.n, figures.tokens or 0), gone)
 
     # -- metrics -----------------------------------------------------------
 

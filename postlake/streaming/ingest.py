@@ -1,13 +1,14 @@
-"""Postings that keep arriving: landing folder to state, micro-batch by
-micro-batch.
+"""Postings that keep arriving: landing folder to state, micro-batch by micro-batch.
 
-Each micro-batch is one run of the batch job and one state version. A batch that
-is repeated after a failure rewrites the same version from the same older state,
-so the result is the same as if it had run once.
+A stream is one run: of a posting that occurs several times in it, in one micro-batch
+or in several, the first record wins and the others are duplicates. The state counts
+the micro-batches of a stream, so one that is repeated after a failure changes nothing,
+and several streams, or a stream and batch runs, write the same store.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
 from datetime import UTC, datetime
 
@@ -20,6 +21,9 @@ from ..operators.enrich import Step
 from ..plans.ingest import Run, ingest
 from ..plans.store import Store
 from ..schema import RAW_SCHEMA, RUN_COLUMNS
+from ..sources.archive import read_archive
+
+_KEYS = "source string, fingerprint string, batch int"
 
 
 def utc_now() -> str:
@@ -59,15 +63,28 @@ def start(
     available_now: bool = True,
 ) -> StreamingQuery:
     """Feed a landing stream into the store. `clock` gives a micro-batch its
-    `seen_at`. A micro-batch writes its own postings, not the state."""
+    `seen_at`. The keys a micro-batch has kept are written beside the state, a folder
+    for each, and are what later ones drop duplicates by."""
     steps = list(steps)
 
     def run_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        # A new checkpoint is a new stream, whose batches are numbered from 0 again.
+        identity = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        name = hashlib.sha1(identity.encode()).hexdigest()[:12]
         seen_at = clock(number) if clock else utc_now()
         unordered = F.monotonically_increasing_id()
         raw = batch.withColumn("ingest_seq", F.coalesce("ingest_seq", unordered))
-        run = Run(f"batch-{number:09d}", number, seen_at, steps=steps)
-        ingest(raw, store, run)
+        run = Run(f"{name}-{number:09d}", number, seen_at, steps=steps)
+        keys = store.folder(f"stream_keys/{name}")
+        earlier = None
+        if number:
+            # Not the folder of this batch: it may have been written before a failure.
+            earlier = spark.read.schema(_KEYS).option("basePath", keys).parquet(keys).filter(F.col("batch") < number)
+        ingest(raw, store, run, earlier, (name, number))
+        kept = read_archive(spark, store.folder("archive")).filter(F.col("run_id") == run.run_id)
+        kept.select(F.nullif("source", F.lit("")).alias("source"), "fingerprint").write.mode("overwrite").parquet(
+            f"{keys}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
