@@ -1,34 +1,13 @@
-"""Plain run configuration: which sources there are and which are ready."""
+"""Which sources of a run can be asked."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
 
-ACCESS_MODES = ("api", "html", "sitemap", "mixed")
 
-
-@dataclass(frozen=True)
-class Source:
-    name: str
-    access: str = "api"
-    country: str | None = None
-    domains: tuple[str, ...] = ()
-    enabled: bool = True
-    notes: str = ""
-    requires_env: tuple[str, ...] = ()
-
-    def __post_init__(self) -> None:
-        if self.access not in ACCESS_MODES:
-            raise ValueError(f"unknown access mode {self.access!r}")
-
-    def missing_env(self, env: Mapping[str, str] | None = None) -> list[str]:
-        env = os.environ if env is None else env
-        return [name for name in self.requires_env if not env.get(name)]
-
-
-def ready_sources(sources: Iterable[Source], env: Mapping[str, str] | None = None) -> list[Source]:
-    """Enabled sources whose environment is complete, by name."""
-    ready = [s for s in sources if s.enabled and not s.missing_env(env)]
-    return sorted(ready, key=lambda s: s.name)
+def ready(needs: Mapping[str, Iterable[str]], env: Mapping[str, str] | None = None) -> list[str]:
+    """Names of the sources all of whose environment variables are set, sorted.
+    `needs` gives the variables of each source that a run is to ask."""
+    given = os.environ if env is None else env
+    return sorted(name for name, wanted in needs.items() if all(map(given.get, wanted)))

@@ -42,15 +42,20 @@ def listing_links(pages: DataFrame, keep: str = "") -> DataFrame:
 def read_sitemaps(
     spark: SparkSession, path: str, keep: str = "", limit: int | None = None
 ) -> DataFrame:
-    """`<url>` entries of landed sitemaps, compressed ones included, in the order
-    of their location; only those matching `keep`, cut at `limit`."""
+    """`<url>` entries of landed sitemaps, compressed ones included, that match `keep`.
+    `limit` is a quota of entries in the order of the files, by name, and within each;
+    it is taken before `keep` is asked."""
     entries = (
-        spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string")
-        .load(path)
-        .select(F.trim("loc").alias("loc"), F.trim("lastmod").alias("lastmod"))
-        .filter(F.col("loc").isNotNull() & F.col("loc").rlike(keep or ""))
+        spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
+        .select(F.trim("loc").alias("loc"), F.trim("lastmod").alias("lastmod"),
+                F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_place"))
+        .filter(F.col("loc").isNotNull())
     )
-    return entries.orderBy("loc").limit(limit) if limit else entries
+    if limit:
+        # Within a split the number grows with the place in the file.
+        entries = entries.orderBy("_file", "_block", "_place").limit(limit)
+    return entries.filter(F.col("loc").rlike(keep or "")).select("loc", "lastmod")
 
 
 def read_sitemap_indexes(spark: SparkSession, path: str) -> DataFrame:

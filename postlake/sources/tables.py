@@ -17,16 +17,6 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than cores.
-
-    Meant for CPU-heavy work straight on a scan. A large input has far more
-    splits than the cluster has cores and comes back as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def stamp(df: DataFrame, source: str, scraped_at: str | Column) -> DataFrame:
     """Source name and scrape time where a record does not carry them."""
     return df.withColumns(
