@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.normalise import fingerprint
-from ..sources.tables import read_table, spread
+from ..sources.tables import read_table
 
 SEEN_AT = "2026-08-31T00:00:00Z"
 
-COMPANIES = ("Acme SA", "Banque XY", "Conseil Étoile", "Müller AG", "ÉCLAIR SARL", "Nordwind GmbH", None)
+COMPANIES = ("Orma SA", "Quai Douze", "Atelier Étoile", "Müller AG", "ÉCLAIR SARL", "Nordwind GmbH", None)
 PLACES = (
-    ("Genève", "GE", "CH"), ("Zürich", "ZH", "CH"), ("Lyon", "69", "FR"),
-    ("Lausanne", "VD", "CH"), ("GENÈVE", "GE", "CH"),
+    ("Neuchâtel", "NE", "CH"), ("Köln", "NW", "DE"), ("Nîmes", "30", "FR"),
+    ("Sion", "VS", "CH"), ("NEUCHÂTEL", "NE", "CH"),
 )
 SKILLS = ("python", "spark", "sql", "django", "agile", "kubernetes", "go")
 CONTRACTS = ("permanent", "fixed_term", "full_time", None)
 
-RAW_COUNTRIES = ("Suisse", " schweiz ", "FRANCE", "Belgique.", "us", "Zimbabwe", None, "Deutschland", "It&agrave;lie")
-RAW_NUMBERS = ("47.405", "-1.5", "80'000", "1 234", "55,5", "CHF 1'250.50", "nan", "n/a", None, "1.234.567,8")
-RAW_WORKLOADS = ("100%", "80 - 100%", "60%-80%", "plein temps", "1000%", None, "taux 40 &agrave; 50 %")
+RAW_COUNTRIES = ("Germany", " svizzera ", "LUXEMBOURG", "Belgium.", "pt", "Atlantis", None, "Switzerland", "Fr&agrave;nce")
+RAW_NUMBERS = ("46.52", "-0.75", "12'500", "9 870", "33,25", "ca. 2'750.40", "NaN", "offen", None, "3.141.592,6")
+RAW_WORKLOADS = ("90 %", "50 bis 70%", "30%/60%", "Vollzeit", "2500%", None, "Pensum 20 &ndash; 40 Prozent")
 RAW_HINTS = (None, "CHF", None, "EUR")
 MONTHS = ("Jan", "Feb", "March", "apr", "May", "June", "Jul", "August", "Sept", "Oct", "November", "Dec")
 
@@ -30,16 +30,15 @@ def pick(values: tuple, number: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), number)
 
 
-def documents(spark: SparkSession, folder: str, *columns: str, heavy: bool = True) -> DataFrame:
-    df = read_table(spark, folder, "documents", *columns)
-    return spread(df, "doc_id") if heavy else df
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return read_table(spark, folder, "documents", *columns)
 
 
-def postings(spark: SparkSession, folder: str, heavy: bool = True) -> DataFrame:
+def postings(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a clean posting of the current state; the text as its
     description, the first line as its title."""
     k = F.col("doc_id").cast("int")
-    docs = documents(spark, folder, "doc_id", "text", "lang", "source", heavy=heavy)
+    docs = documents(spark, folder, "doc_id", "text", "lang", "source")
     low = F.when(k % 5 != 0, 40 + (k % 7) * 10)
     pay = F.when(k % 4 != 0, (50000 + (k % 40) * 1000).cast("double"))
     skills = F.slice(F.array(*[F.lit(s) for s in SKILLS * 2]), k % 7 + 1, k % 4)
@@ -87,7 +86,7 @@ def _loose_date(k: Column) -> Column:
         F.concat(pick(MONTHS, k % 12), F.lit(" "), day, F.lit(", "), year),
         F.concat(year, two(month), two(day)),
         F.concat_ws("-", year, two(month), F.lit("31")),
-        F.lit("n'importe quoi"),
+        F.lit("bald möglichst"),
         F.concat_ws("/", month, F.lit("27"), year),
     )
     return F.get(F.array(*forms), k % 11)
@@ -135,14 +134,14 @@ def pay_texts(spark: SparkSession, folder: str) -> DataFrame:
         return F.concat(low.cast("string"), F.lit(mark))
 
     texts = (
-        F.concat(low.cast("string"), F.lit(" - "), high.cast("string"), F.lit(" k€ brut annuel")),
-        F.concat(F.lit("CHF "), written("'000 - "), high.cast("string"), F.lit("'000")),
-        F.concat(F.lit("Salaire : "), written(" 000 € par an")),
-        F.lit("selon exp&eacute;rience"),
-        F.concat(F.lit("Poste ouvert en 20"), (10 + k % 80).cast("string"), F.lit(", taux 100%")),
-        F.concat(F.lit("Salary 2026: $ "), written(".000,50")),
-        F.concat(F.lit("entre "), written("&nbsp;000 et "), high.cast("string"), F.lit("&nbsp;000")),
-        F.concat(F.lit("Brutto Gehalt EUR "), written("00 oder CHF")),
+        F.concat(written("k€ bis "), high.cast("string"), F.lit("k€")),
+        F.concat(F.lit("Lohn "), written("'000 / "), high.cast("string"), F.lit("'000 Fr.")),
+        F.concat(F.lit("Annual compensation: "), written(" 500 £")),
+        F.lit("nach Verabr&eacute;dung"),
+        F.concat(F.lit("Beginn 20"), (10 + k % 80).cast("string"), F.lit(", Pensum 80%")),
+        F.concat(F.lit("Gehalt 2031 ab $ "), written(".250,75")),
+        F.concat(F.lit("zwischen "), written("&nbsp;900 und "), high.cast("string"), F.lit("&nbsp;900")),
+        F.concat(F.lit("Salary EUR "), written("00 or frs")),
     )
     return documents(spark, folder, "doc_id", "source", "text").select(
         "doc_id", "source",
@@ -163,7 +162,7 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
             F.when(k % 2 == 0, pick(tuple(p[0] for p in PLACES), k % 5)).alias("addressLocality"),
             pick(tuple(p[1] for p in PLACES), k % 5).alias("addressRegion"),
             (1000 + k % 9000).alias("postalCode"),
-            F.struct(F.lit("Country").alias("@type"), pick(("Suisse", "FRANCE", "Peru"), k % 3).alias("name")).alias("addressCountry"),
+            F.struct(F.lit("Country").alias("@type"), pick(("Svizzera", "BELGIUM", "Peru"), k % 3).alias("name")).alias("addressCountry"),
         ).alias("address"),
         F.struct(F.lit("46.2").alias("latitude"), (k % 90).alias("longitude")).alias("geo"),
     ))
@@ -187,9 +186,9 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(ident.alias("value")).alias("identifier"),
         F.concat(F.lit("2026-08-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"),
                  F.lit("T00:02:37+02:00")).alias("datePosted"),
-        F.array(F.lit(""), pick(("durée indéterminée", "FULL_TIME", "Some Odd-Label", "Praktikum"), k % 4))
+        F.array(F.lit(""), pick(("Unbefristet", "TEMPS_PARTIEL", "Night-Shift Only", "Lehrstelle"), k % 4))
         .alias("employmentType"),
-        F.array(F.struct(F.lit(" Acme &amp; Co ").alias("name"))).alias("hiringOrganization"),
+        F.array(F.struct(F.lit(" Fig &amp; Sons ").alias("name"))).alias("hiringOrganization"),
         F.when(k % 5 == 0, F.lit("telecommute")).alias("jobLocationType"),
     ))
     posting = F.concat(
@@ -202,7 +201,7 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
     tag = F.lit('<script type="application/ld+json">')
     close = F.lit("</script>")
     html = F.concat(
-        F.lit("<html><head>"), tag, F.lit("{ceci n'est pas du json}"), close,
+        F.lit("<html><head>"), tag, F.lit("{no object"), close,
         F.when(k % 10 == 9, F.lit("")).otherwise(F.concat(tag, body, close)),
         F.lit("</head></html>"),
     )
@@ -216,6 +215,42 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def written_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """The date of every order, written in one of many ways."""
+    day = F.to_date("o_orderdate")
+
+    def shown(pattern: str) -> Column:
+        return F.date_format(day, pattern)
+
+    forms = (
+        shown("yyyy-MM-dd"), shown("dd.MM.yyyy"), shown("d/M/yyyy"), shown("yyyyMMdd"), shown("d MMM yyyy"),
+        shown("MMMM d, yyyy"), shown("d-MMM-yy"), F.concat(shown("d MMM yy"), F.lit(" 10:00")),
+        F.concat(shown("EEE, d MMM yyyy"), F.lit(" 23:59:59 GMT")), F.concat(shown("yyyy-MM-dd"), F.lit("T23:59:59-11:00")),
+        shown("d MMM"),
+    )
+    return read_table(spark, folder, "orders", "o_orderkey", "o_orderdate").select(
+        "o_orderkey", day.alias("day"), F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int")).alias("written"))
+
+
+def written_amounts(spark: SparkSession, folder: str) -> DataFrame:
+    """The price of every line item, written in one of many ways."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    whole, part = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
+    grouped = F.format_number(whole, 0)
+
+    def with_marks(thousands: str, decimal: str) -> Column:
+        return F.concat(F.translate(grouped, ",", thousands), F.lit(decimal), part)
+
+    forms = (
+        with_marks("'", "."), with_marks(" ", ","), with_marks(".", ","), with_marks("\u00a0", "."), with_marks(",", "."),
+        F.concat(F.lit("CHF "), with_marks("’", ".")), F.concat(whole.cast("string"), F.lit("."), part),
+        F.concat(F.lit("- ab "), with_marks("\u202f", ","), F.lit(" Euro")),
+    )
+    place = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % len(forms)
+    return read_table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").select(
+        "l_orderkey", "l_linenumber", "l_quantity", cents.alias("cents"), F.get(F.array(*forms), place.cast("int")).alias("written"))
+
+
 def sightings(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a sighting of the posting its type and user stand for."""
     return read_table(spark, folder, "events").select(

@@ -137,6 +137,16 @@ for _name in INDEXED:
 ORACLES["search_page"] = _search_sql(
     "the of", {}, tail="ORDER BY -score, fingerprint LIMIT 20 OFFSET 20"
 )
+ORACLES["search_offset"] = _search_sql("the of", {}, tail="ORDER BY -score, fingerprint OFFSET 11")
+ORACLES["search_full_rows"] = _search_sql("the of", {}, tail="ORDER BY -score, fingerprint LIMIT 20").replace(
+    "SELECT external_id, round(-score, 6) AS rank FROM",
+    "SELECT postings.* REPLACE (CAST(lat AS DOUBLE) AS lat, array_to_string(keywords, '|') AS keywords, array_to_string(skills, '|') AS skills),"
+    f" {_lit(corpus.SEEN_AT)} AS last_seen_at, round(-score, 6) AS rank FROM")
+ORACLES["browse_offset"] = f"""WITH {POSTINGS} SELECT external_id, posted_at FROM postings WHERE lang = 'en'
+ORDER BY coalesce(posted_at, first_seen_at) DESC, fingerprint OFFSET 37"""
+ORACLES["index_refresh_all"] = _search_sql("zyxnew OR zyxkept", {}, source="living").replace(
+    f"{POSTINGS},", f"{POSTINGS}, living AS (SELECT * REPLACE (CASE doc_id % 4 WHEN 0 THEN 'zyxnew' ELSE 'zyxkept' END"
+    " AS title) FROM postings WHERE doc_id % 4 <> 1),")
 ORACLES["search_count"] = _search_sql(
     "the NOT of", {"country": "CH", "workload_min": 70}, counted=True
 )
@@ -147,7 +157,7 @@ ORACLES["index_refresh"] = _search_sql("thatin der", {}, source="living").replac
 )
 ORACLES["search_browse"] = f"""WITH {POSTINGS}
 SELECT external_id, CAST(NULL AS DOUBLE) AS rank, city, posted_at FROM postings
-WHERE translate(city, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%genève%'
+WHERE translate(city, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%neuch%'
   AND translate(company, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%a_m%%'
   AND coalesce(posted_at, first_seen_at) >= '2026-03-01'
 ORDER BY coalesce(posted_at, first_seen_at) DESC, fingerprint LIMIT 50"""
@@ -213,7 +223,7 @@ ORACLES["normalise_text"] = rf"""SELECT doc_id, {_clean(_RAW_TITLE)} AS title,
   CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS external_id,
   '2026-09-01T00:00:00Z' AS scraped_at FROM documents"""
 # What each written number stands for.
-_NUMBERS = ("47.405", "-1.5", "80000", "1234", "55.5", "1250.5", None, None, None, "1234567.8")
+_NUMBERS = ("46.52", "-0.75", "12500", "9870", "33.25", "2750.4", None, None, None, "3141592.6")
 
 
 def _number(index: str) -> str:
@@ -238,26 +248,26 @@ ORACLES["normalise_lists"] = f"""SELECT doc_id, array_to_string(list_filter(
     THEN {_pick(corpus.SKILLS, 'doc_id % 7')} END], lambda x: x IS NOT NULL), '|') AS skills,
   CAST(0 AS INT) AS n_keywords FROM documents"""
 ORACLES["normalise_country"] = """SELECT doc_id,
-  ['CH', 'CH', 'FR', 'BE', 'US', NULL, NULL, 'DE', 'IT'][CAST(doc_id % 9 AS INT) + 1] AS country FROM documents"""
+  ['DE', 'CH', 'LU', 'BE', 'PT', NULL, NULL, 'CH', 'FR'][CAST(doc_id % 9 AS INT) + 1] AS country FROM documents"""
 ORACLES["normalise_fingerprint"] = f"SELECT doc_id, {_RAW_FINGERPRINT} AS fingerprint FROM documents"
 
 _PAY = """pay AS (SELECT doc_id, source, 40 + doc_id % 50 AS a, 60 + doc_id % 70 AS b, 10 + doc_id % 80 AS yy,
   CASE doc_id % 4 WHEN 1 THEN 'CHF' WHEN 3 THEN 'EUR' END AS hint FROM documents),
 texts AS (SELECT *, CASE doc_id % 8
-  WHEN 0 THEN a || ' - ' || b || ' k€ brut annuel'
-  WHEN 1 THEN 'CHF ' || a || '''000 - ' || b || '''000'
-  WHEN 2 THEN 'Salaire : ' || a || ' 000 € par an'
-  WHEN 3 THEN 'selon expérience'
-  WHEN 4 THEN 'Poste ouvert en 20' || yy || ', taux 100%'
-  WHEN 5 THEN 'Salary 2026: $ ' || a || '.000,50'
-  WHEN 6 THEN 'entre ' || a || ' 000 et ' || b || ' 000'
-  ELSE 'Brutto Gehalt EUR ' || a || '00 oder CHF' END AS t FROM pay),
+  WHEN 0 THEN a || 'k€ bis ' || b || 'k€'
+  WHEN 1 THEN 'Lohn ' || a || '''000 / ' || b || '''000 Fr.'
+  WHEN 2 THEN 'Annual compensation: ' || a || ' 500 £'
+  WHEN 3 THEN 'nach Verabrédung'
+  WHEN 4 THEN 'Beginn 20' || yy || ', Pensum 80%'
+  WHEN 5 THEN 'Gehalt 2031 ab $ ' || a || '.250,75'
+  WHEN 6 THEN 'zwischen ' || a || ' 900 und ' || b || ' 900'
+  ELSE 'Salary EUR ' || a || '00 or frs' END AS t FROM pay),
 seen AS (SELECT *, coalesce(CASE
   WHEN regexp_matches(t, '(?i)\\bCHF\\b|\\bFr\\.|\\bfrs\\b') THEN 'CHF'
   WHEN regexp_matches(t, '(?i)€|\\bEUR\\b|\\beuros?\\b') THEN 'EUR'
   WHEN regexp_matches(t, '(?i)\\bGBP\\b|£') THEN 'GBP'
   WHEN regexp_matches(t, '(?i)\\bUSD\\b|\\$') THEN 'USD' END, hint) AS cur,
-  regexp_matches(t, '(?i)\\bsalaire|\\bbrut\\b|\\bgehalt|\\bsalary\\b|\\bannuel|\\bpar an\\b') AS spoken,
+  regexp_matches(t, '(?i)\\blohn\\b|\\bcompensation\\b|\\bgehalt|\\bsalary\\b') AS spoken,
   CASE WHEN regexp_matches(t, '\\d\\s*[kK]\\b|\\d\\s*[kK][€$]') THEN 1000.0 ELSE 1.0 END AS k FROM texts),
 runs AS (SELECT *, list_transform(regexp_extract_all(t, '\\d[\\d\\s.,''’]*'), lambda r: trim(r)) AS raws FROM seen),
 nums AS (SELECT *, list_transform(list_filter(raws, lambda r: NOT (k = 1.0
@@ -272,18 +282,30 @@ paid AS (SELECT doc_id, source,
   cur AS salary_currency FROM nums)""".replace("\\\\", "\\")
 ORACLES["salary_extract"] = f"WITH {_PAY} SELECT doc_id, salary_min, salary_max, salary_currency FROM paid"
 _COVERAGE = """SELECT source, count(*) AS total, count({low}) AS parsed, min({low}) AS lowest,
-  max({high}) AS highest FROM {table} GROUP BY 1"""
+  max({high}) AS highest, CAST(median({low}) AS DOUBLE) AS median_low FROM {table} GROUP BY 1"""
 ORACLES["salary_coverage"] = f"WITH {_PAY} " + _COVERAGE.format(
     low="salary_min", high="salary_max", table="paid"
 )
 ORACLES["workload_extract"] = """SELECT doc_id,
-  CAST([100, 80, 60, NULL, 0, NULL, 40][CAST(doc_id % 7 AS INT) + 1] AS INT) AS workload_min,
-  CAST([100, 100, 80, NULL, 100, NULL, 50][CAST(doc_id % 7 AS INT) + 1] AS INT) AS workload_max FROM documents"""
+  CAST([90, 50, 30, NULL, 0, NULL, 20][CAST(doc_id % 7 AS INT) + 1] AS INT) AS workload_min,
+  CAST([90, 70, 60, NULL, 0, NULL, 40][CAST(doc_id % 7 AS INT) + 1] AS INT) AS workload_max FROM documents"""
 ORACLES["workload_in_texts"] = r"""WITH r AS (SELECT source, list_filter(list_transform(
   regexp_extract_all(text, '\d{1,3}'), lambda x: CAST(x AS INT)), lambda x: x <= 100) AS ns FROM documents),
 w AS (SELECT source, list_min(ns) AS lo, list_max(ns) AS hi FROM r) """ + _COVERAGE.format(
     low="lo", high="hi", table="w"
 )
+ORACLES["dates_written"] = """SELECT o_orderkey,
+  CASE WHEN o_orderkey % 11 <> 10 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"""
+ORACLES["amounts_written"] = """SELECT l_orderkey, l_linenumber,
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem"""
+ORACLES["workload_numbers"] = """SELECT l_orderkey, l_linenumber, CAST(round_even(l_quantity + 0.5, 0) AS INT) AS workload_min,
+  CAST(round_even(l_quantity + 0.5, 0) AS INT) AS workload_max, round(l_extendedprice * 1000, 1) AS salary_min,
+  'CHF' AS salary_currency FROM lineitem"""
+ORACLES["entities_numeric"] = """SELECT doc_id, hex(encode(CASE WHEN doc_id % 1000 + 33 BETWEEN 128 AND 159
+  THEN list_extract(['€', '', '‚', 'ƒ', '„', '…', '†', '‡', 'ˆ', '‰', 'Š', '‹', 'Œ', '', 'Ž', '',
+    '', '‘', '’', '“', '”', '•', '–', '—', '˜', '™', 'š', '›', 'œ', '', 'ž', 'Ÿ'], CAST(doc_id % 1000 + 33 - 127 AS INT))
+  ELSE chr(CAST(doc_id % 1000 + 33 AS INT)) END)) AS one FROM documents""".replace(
+    "SELECT doc_id, hex(", "SELECT doc_id, one || one AS bytes FROM (SELECT doc_id, hex(") + ")"
 ORACLES["slugs"] = """SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug
 FROM documents"""
 
@@ -317,18 +339,18 @@ ORACLES["page_links"] = _links("")
 ORACLES["page_links_kept"] = _links("^/(the|and|de)")
 
 _CITY = f"CASE WHEN doc_id % 2 = 0 THEN {_pick([p[0] for p in corpus.PLACES], 'doc_id % 5')} ELSE {_pick([p[1] for p in corpus.PLACES], 'doc_id % 5')} END"
-_CONTRACT = "['permanent', 'full_time', 'some_odd_label', 'internship'][CAST(doc_id % 4 AS INT) + 1]"
+_CONTRACT = "['permanent', 'part_time', 'night_shift_only', 'apprenticeship'][CAST(doc_id % 4 AS INT) + 1]"
 _ONE_LINE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 ORACLES["jsonld_postings"] = rf"""SELECT {_ONE_LINE.format("split_part(text, chr(10), 1)")} AS title,
   array_to_string(list_filter(list_transform(string_split(text, chr(10)),
     lambda x: {_ONE_LINE.format('x')}), lambda x: x <> ''), chr(10)) AS description,
   CAST(doc_id AS VARCHAR) AS external_id, {_URL} AS url,
   printf('2026-08-%02d', doc_id % 28 + 1) AS posted_at, CAST(NULL AS VARCHAR) AS expires_at,
-  {_CONTRACT} AS contract_type, {_URL} AS apply_url, 'Acme & Co' AS company,
+  {_CONTRACT} AS contract_type, {_URL} AS apply_url, 'Fig & Sons' AS company,
   CASE WHEN doc_id % 5 = 0 THEN 'remote' END AS remote_policy, {_CITY} AS city,
   CASE WHEN doc_id % 2 = 0 THEN {_pick([p[1] for p in corpus.PLACES], 'doc_id % 5')} END AS region,
   CAST(1000 + doc_id % 9000 AS VARCHAR) AS postal_code,
-  CASE doc_id % 3 WHEN 0 THEN 'CH' WHEN 1 THEN 'FR' END AS country,
+  CASE doc_id % 3 WHEN 0 THEN 'CH' WHEN 1 THEN 'BE' END AS country,
   (1000 + doc_id % 9000) || ', ' || {_CITY} AS location_raw,
   CAST(46.2 AS DOUBLE) AS lat, CAST(doc_id % 90 AS DOUBLE) AS lon,
   CAST(CASE doc_id % 3 WHEN 0 THEN 50000 + doc_id % 1000 WHEN 1 THEN 80000 END AS DOUBLE) AS salary_min,
@@ -340,6 +362,11 @@ ORACLES["jsonld_blocks"] = """WITH b AS (
     unnest(CASE WHEN doc_id % 3 < 2 THEN [0, 1] ELSE [0] END) AS block_pos
   FROM documents WHERE doc_id % 10 <> 9)
 SELECT source, block_pos, is_posting, count(*) AS n FROM b GROUP BY 1, 2, 3"""
+ORACLES["jsonld_deep"] = """SELECT doc_id, CASE
+  WHEN doc_id % 12 + 1 < 3 THEN split_part(text, chr(10), 1)
+  WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'late' ELSE split_part(text, chr(10), 1) END AS text FROM documents"""
+ORACLES["sources_stamped"] = """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE 'stamped' END AS source, lang,
+  '2026-09-0' || (doc_id % 9 + 1) AS scraped_at FROM documents"""
 ORACLES["detail_overlay"] = rf"""SELECT {_URL} AS url, CASE WHEN doc_id % 10 <> 9 THEN
   {_ONE_LINE.format("split_part(text, chr(10), 1)")} END AS title, source AS company,
   CAST(NULL AS VARCHAR) AS city, {_CONTRACT} AS contract_type
@@ -401,14 +428,35 @@ folded AS (SELECT z.fingerprint, z.source, z.title, z.salary_min, a.seen_at AS f
   z.seen_at AS last_seen_at FROM ordered z JOIN ordered a USING (fingerprint) WHERE z.down = 1 AND a.up = 1)"""
 ORACLES["state_fold"] = f"WITH {_SEEN} SELECT * FROM folded"
 ORACLES["state_snapshots"] = ORACLES["state_fold"]
+
+
+def _in_order(rank: str, keep: str = "true", content: str = "") -> str:
+    """The state after runs applied by `rank`: within a run by its own order; content
+    and last sight of the last, first sight of the first one."""
+    return f"""WITH {_SEEN}, runs AS (SELECT *, CASE WHEN day < '2024-01-09' THEN 0 WHEN day < '2024-01-17' THEN 1
+  WHEN day < '2024-01-25' THEN 2 ELSE 3 END AS week FROM seen), ranked AS (SELECT *, {rank} AS r FROM runs WHERE {keep}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY r, run_seq, event_id) AS up,
+  row_number() OVER (PARTITION BY fingerprint ORDER BY r DESC, run_seq DESC, event_id DESC) AS down FROM ranked)
+SELECT z.fingerprint, z.source, z.title, z.salary_min, a.seen_at AS first_seen_at, z.seen_at AS last_seen_at
+FROM placed z JOIN placed a USING (fingerprint) WHERE z.down = 1 AND a.up = 1"""
+
+
+ORACLES["state_late_run"] = _in_order("CASE week WHEN 3 THEN 0 WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 3 END")
+ORACLES["state_two_sources"] = _in_order("0")
+ORACLES["state_rerun"] = f"""WITH once AS ({_in_order('week', 'week < 3')}),
+again AS ({_in_order('week', 'week = 1')})
+SELECT fingerprint, coalesce(g.source, o.source) AS source, CASE WHEN g.fingerprint IS NULL THEN o.title ELSE g.title END AS title,
+  CASE WHEN g.fingerprint IS NULL THEN o.salary_min ELSE g.salary_min END AS salary_min, o.first_seen_at,
+  coalesce(g.last_seen_at, o.last_seen_at) AS last_seen_at FROM once o LEFT JOIN again g USING (fingerprint)"""
+ORACLES["state_removed"] = _in_order("week", "week < 3 AND (week = 2 OR source NOT LIKE 'c%')")
 _IS_NEW = "CASE WHEN substr(last_seen_at, 1, 10) >= '2024-01-16' THEN substr(first_seen_at, 1, 10) >= '2024-01-16' END"
 ORACLES["state_upsert"] = f"WITH {_SEEN} SELECT *, {_IS_NEW} AS is_new FROM folded"
 ORACLES["upsert_new_updated"] = f"""WITH {_SEEN}, f AS (SELECT {_IS_NEW} AS is_new FROM folded)
 SELECT count(*) FILTER (is_new) AS new, count(*) FILTER (NOT is_new) AS updated FROM f"""
 ORACLES["publication_duration"] = f"""WITH {_SEEN}, d AS (SELECT source, CAST(date_diff('day',
   CAST(substr(first_seen_at, 1, 10) AS DATE), CAST(substr(last_seen_at, 1, 10) AS DATE)) AS INT) AS n FROM folded)
-SELECT source, count(*) AS postings, min(n) AS shortest, max(n) AS longest, CAST(sum(n) AS BIGINT) AS total_days
-FROM d GROUP BY 1"""
+SELECT source, count(*) AS postings, min(n) AS shortest, max(n) AS longest, CAST(sum(n) AS BIGINT) AS total_days,
+  CAST(median(n) AS DOUBLE) AS median_days FROM d GROUP BY 1"""
 ORACLES["state_removal"] = f"""WITH {POSTINGS} SELECT external_id, fingerprint FROM postings
 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
 
@@ -437,6 +485,11 @@ SELECT external_id, array_to_string(list_filter([{', '.join(tests)}], lambda x:
 
 ORACLES["skill_tagging"] = _tagging()
 ORACLES["skill_tagging_joined"] = _tagging()
+ORACLES["skill_tagging_signs"] = r"""SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN doc_id % 3 = 0 THEN 'cpp' END, CASE WHEN doc_id % 3 <> 1 THEN 'csharp' END,
+  CASE WHEN doc_id % 3 = 2 THEN 'dotnet' END,
+  CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{N}+#])%%%($|[^\p{L}\p{N}+#])') THEN 'symbols' END],
+  lambda x: x IS NOT NULL), '|') AS skills FROM documents""".replace("\\\\", "\\")
 ORACLES["enrich_chain"] = f"""WITH {POSTINGS} SELECT external_id,
   CASE WHEN company = 'Müller AG' THEN 'senior' END AS seniority,
   CASE WHEN company = 'Müller AG' THEN 'remote' END AS remote_policy,
@@ -459,6 +512,14 @@ ORACLES["stream_ingest"] = ORACLES["ingest_state"]
 _REASONS = f"""{_RUN}, r AS (SELECT reason AS reject_reason FROM judged WHERE reason IS NOT NULL
   UNION ALL SELECT 'duplicate' FROM valid WHERE rn > 1)"""
 ORACLES["ingest_rejects"] = f"WITH {_REASONS} SELECT reject_reason, count(*) AS n FROM r GROUP BY 1"
+ORACLES["ingest_overlapping"] = f"""WITH {_RUN}, r AS (SELECT source, reason FROM judged WHERE reason IS NOT NULL
+  UNION ALL SELECT source, 'duplicate' FROM valid WHERE rn > 1)
+SELECT source, reason AS reject_reason, count(*) AS n FROM r WHERE source IS NOT NULL GROUP BY 1, 2"""
+_STREAMED = f"""{_RUN}, streamed AS (SELECT *, doc_id % 4 AS part,
+  row_number() OVER (PARTITION BY fingerprint ORDER BY doc_id % 4, doc_id) AS k FROM valid)"""
+ORACLES["stream_many_batches"] = f"""WITH {_STREAMED} SELECT fingerprint, source, external_id, title,
+  '2026-09-0' || (part + 1) || 'T00:00:00Z' AS first_seen_at, '2026-09-0' || (part + 1) || 'T00:00:00Z' AS last_seen_at
+FROM streamed WHERE k = 1"""
 ORACLES["ingest_counters"] = f"""WITH {_REASONS}
 SELECT 'dropped/' || k AS counter, (SELECT count(*) FROM r WHERE reject_reason = k) AS n
   FROM (VALUES ('incomplete'), ('bad_url'), ('duplicate')) v(k)
@@ -472,3 +533,4 @@ SELECT fingerprint, arg_max(source, run) AS source, arg_max(title, run) AS title
   CASE min(run) WHEN 0 THEN '2026-09-01T00:00:00Z' ELSE '2026-09-02T00:00:00Z' END AS first_seen_at,
   CASE max(run) WHEN 0 THEN '2026-09-01T00:00:00Z' ELSE '2026-09-02T00:00:00Z' END AS last_seen_at
 FROM kept GROUP BY fingerprint"""
+ORACLES["stream_many_counters"] = ORACLES["ingest_counters"].replace("'updated', 0", "'updated', CAST(0 AS BIGINT)")

@@ -8,17 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import html_to_text, slug, tokens
+from ..functions.dates import to_iso_date
+from ..functions.numbers import to_float
+from ..functions.text import decode_entities, html_to_text, slug, tokens
+from ..functions.variants import text_of
 from ..operators import (
     dedup, enrich, index, jsonld, normalise as norm, reports, search, state as st, validate,
 )
 from ..schema import RAW_SCHEMA
 from ..session import materialise, prepare, scratch_path
 from ..sources import api, archive, pages
-from ..sources.tables import quota_per_source, read_table, spread, union_sources
+from ..sources.tables import quota_per_source, read_table, stamp, union_sources
 from ..streaming import ingest as stream
 from . import corpus
-from .ingest import Run, apply_batch, ingest, replay
+from .ingest import Run, ingest, replay
 from .store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +33,9 @@ SEARCHES: dict[str, tuple[str, dict]] = {
     "search_phrase": ('"of the" "in that"', {}),
     "search_prefix": ("erkei* und", {}),
     "search_boolean": ("der and die NOT thatin OR the of not que", {}),
-    "search_accents": ("GENEVE für OR Étoile", {}),
+    "search_accents": ("NEUCHATEL für OR Étoile", {}),
     "search_filtered": (
-        "the", {"region": "GE", "skills": ["python", "spark"], "workload_min": 60,
+        "the", {"region": "NE", "skills": ["python", "spark"], "workload_min": 60,
                 "salary_min": 60000.0, "lang": "en"},
     ),
 }
@@ -73,7 +76,7 @@ def _register_searches() -> None:
             state = corpus.postings(spark, folder)
             path = scratch_path(spark, "index")
             index.write_index(state, path)
-            light = corpus.postings(spark, folder, heavy=False)
+            light = corpus.postings(spark, folder)
             stored = index.read_index(spark, path)
             return _ranks(index.search_index(stored, light, text, limit=None, **filters))
 
@@ -98,10 +101,31 @@ def search_page(spark, folder):
     return _ranks(found)
 
 
+@query
+def search_full_rows(spark, folder):
+    """A page with all columns of its postings."""
+    found = search.search(corpus.postings(spark, folder), "the of", limit=20)
+    return found.withColumns({
+        "rank": F.round("rank", 6), "keywords": F.array_join("keywords", "|"), "skills": F.array_join("skills", "|")})
+
+
+@query
+def browse_offset(spark, folder):
+    """Everything after the first hits, without a limit."""
+    found = search.search(corpus.postings(spark, folder), None, limit=None, offset=37, lang="en")
+    return found.select("external_id", "posted_at")
+
+
+@query
+def search_offset(spark, folder):
+    found = search.search(corpus.postings(spark, folder), "the of", limit=None, offset=11)
+    return _ranks(found)
+
+
 @query
 def search_browse(spark, folder):
     found = search.search(
-        corpus.postings(spark, folder, heavy=False), "  ", limit=50, city="genève", company="a_m%",
+        corpus.postings(spark, folder), "  ", limit=50, city="neuch", company="a_m%",
         posted_since="2026-03-01",
     )
     return found.select("external_id", "rank", "city", "posted_at")
@@ -132,9 +156,23 @@ def index_refresh(spark, folder):
     return _ranks(index.search_index(fresh, now, "thatin der", limit=None))
 
 
+@query
+def index_refresh_all(spark, folder):
+    """Hits in changed, unchanged and no longer in removed postings, by kind."""
+    state = corpus.postings(spark, folder)
+    k = F.col("doc_id") % 4
+    old = state.withColumn("title", F.when(k == 0, F.lit("zyxold")).when(k == 1, F.lit("zyxgone")).otherwise(F.lit("zyxkept")))
+    now = state.filter(k != 1).withColumn("title", F.when(k == 0, F.lit("zyxnew")).otherwise(F.lit("zyxkept")))
+    path = scratch_path(spark, "index")
+    index.write_index(old, path)
+    fresh = index.refresh_index(
+        index.read_index(spark, path), now.filter(k == 0), index.corpus_of(now), old.filter(k == 1).select("fingerprint"))
+    return _ranks(index.search_index(fresh, now, "zyxold OR zyxgone OR zyxnew OR zyxkept", limit=None))
+
+
 @query
 def get_by_fingerprint(spark, folder):
-    found = search.get(corpus.postings(spark, folder, heavy=False), WANTED)
+    found = search.get(corpus.postings(spark, folder), WANTED)
     return found.select("fingerprint", "external_id", "url", "title", "description")
 
 
@@ -142,7 +180,7 @@ def get_by_fingerprint(spark, folder):
 
 
 def _light(spark, folder):
-    return corpus.postings(spark, folder, heavy=False)
+    return corpus.postings(spark, folder)
 
 
 @query
@@ -264,8 +302,7 @@ def salary_extract(spark, folder):
 @query
 def salary_coverage(spark, folder):
     df = norm.with_salary(corpus.pay_texts(spark, folder), "pay", "hint")
-    covered = norm.coverage(df, "salary_min", "salary_max")
-    return covered.select("source", "total", "parsed", "lowest", "highest")
+    return norm.coverage(df, "salary_min", "salary_max")
 
 
 @query
@@ -279,8 +316,44 @@ def workload_extract(spark, folder):
 def workload_in_texts(spark, folder):
     """Workload reading over whole texts, with its coverage."""
     df = norm.with_workload(corpus.pay_texts(spark, folder), "text")
-    covered = norm.coverage(df, "workload_min", "workload_max")
-    return covered.select("source", "total", "parsed", "lowest", "highest")
+    return norm.coverage(df, "workload_min", "workload_max")
+
+
+@query
+def dates_written(spark, folder):
+    """Order dates in all spellings, a partial one among them."""
+    df = corpus.written_dates(spark, folder)
+    return df.select("o_orderkey", to_iso_date(F.col("written")).alias("day"))
+
+
+@query
+def amounts_written(spark, folder):
+    """Prices in all spellings."""
+    df = corpus.written_amounts(spark, folder)
+    cents = F.round(to_float(F.col("written")) * 100).cast("bigint")
+    return df.select("l_orderkey", "l_linenumber", cents.alias("cents"))
+
+
+@query
+def workload_numbers(spark, folder):
+    """Numeric columns as workload and as salary."""
+    df = read_table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    df = df.withColumns({"half": F.col("l_quantity") + 0.5, "pay": F.col("l_extendedprice") * 1000})
+    df = norm.with_salary(norm.with_workload(df, "half"), "pay").drop("salary_max", "salary_currency")
+    hinted = norm.with_salary(df.withColumn("hint", F.lit("CHF")), "pay", "hint")
+    return hinted.select("l_orderkey", "l_linenumber", "workload_min", "workload_max",
+                         F.round("salary_min", 1).alias("salary_min"), "salary_currency")
+
+
+@query
+def entities_numeric(spark, folder):
+    """Every number as a decimal and a hexadecimal reference behind leading zeros."""
+    k = F.col("doc_id") % 1000 + 33
+    text = F.concat(
+        F.lit("&#"), F.lpad(k.cast("string"), 14, "0"), F.lit(";&#x"), F.lpad(F.hex(k), 17, "0"), F.lit(";&#"),
+        F.lpad(k.cast("string"), 25, "9"), F.lit(";"))
+    docs = corpus.documents(spark, folder, "doc_id")
+    return docs.select("doc_id", F.hex(F.encode(decode_entities(text), "UTF-8")).alias("bytes"))
 
 
 @query
@@ -291,7 +364,7 @@ def slugs(spark, folder):
 
 @query
 def pages_to_text(spark, folder):
-    df = spread(read_table(spark, folder, "pages", "page_id", "html"), "page_id")
+    df = read_table(spark, folder, "pages", "page_id", "html")
     return df.select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
@@ -300,13 +373,13 @@ def pages_to_text(spark, folder):
 
 @query
 def page_links(spark, folder):
-    df = spread(read_table(spark, folder, "pages", "page_id", "url", "html"), "page_id")
+    df = read_table(spark, folder, "pages", "page_id", "url", "html")
     return pages.listing_links(df).select("page_id", "link_pos", "link")
 
 
 @query
 def page_links_kept(spark, folder):
-    df = spread(read_table(spark, folder, "pages", "page_id", "url", "html"), "page_id")
+    df = read_table(spark, folder, "pages", "page_id", "url", "html")
     return pages.listing_links(df, r"^/(the|and|de)").select("page_id", "link_pos", "link")
 
 
@@ -323,6 +396,26 @@ def jsonld_blocks(spark, folder):
     return kinds.groupBy("source", "block_pos", "is_posting").agg(F.count("*").alias("n"))
 
 
+@query
+def jsonld_deep(spark, folder):
+    """The text of values nested as deep as the document's number says."""
+    k = F.col("doc_id") % 12
+    docs = corpus.documents(spark, folder, "doc_id", "text")
+    line = F.to_json(F.struct(F.split_part("text", F.lit("\n"), F.lit(1)).alias("name")))
+    deep = F.aggregate(F.sequence(F.lit(1), k + 1), line, lambda inner, i: F.when(
+        i % 3 == 0, F.concat(F.lit('[null,"",{"other":"no"},'), inner, F.lit(',"late"]'))
+    ).otherwise(F.concat(F.lit('{"text":"no","value":'), inner, F.lit("}"))))
+    return docs.select("doc_id", text_of(F.try_parse_json(deep)).alias("text"))
+
+
+@query
+def sources_stamped(spark, folder):
+    """Source and time where a row has none of its own."""
+    docs = read_table(spark, folder, "documents", "doc_id", "source", "lang").withColumn(
+        "source", F.when(F.col("doc_id") % 3 > 0, F.col("source")))
+    return stamp(docs, "stamped", F.concat(F.lit("2026-09-0"), (F.col("doc_id") % 9 + 1).cast("string")))
+
+
 @query
 def detail_overlay(spark, folder):
     """A site's own columns win over the embedded ones, with NULL as well."""
@@ -347,7 +440,7 @@ def _dumps(spark, folder):
     body = (
         F.when(p % 7 == 6, F.lit("<html>busy</html>"))
         .when(p % 7 == 5, F.concat(F.lit('{"rows":'), F.col("body"), F.lit("}")))
-        .otherwise(F.concat(F.lit("[null,7,"), F.substring("body", 2, 1 << 30)))
+        .otherwise(F.concat(F.lit("[null,7,"), F.expr("substr(body, 2)")))
     )
     return lists.select(F.concat(F.lit("api"), (p % 2).cast("string")).alias("source"), "page",
                         body.alias("body"))
@@ -491,30 +584,71 @@ def upsert_new_updated(spark, folder):
     return st.upsert_counts(st.upsert(*_halves(spark, folder), content=_SIGHTED))
 
 
+def _batch(store: Store, seen: DataFrame, bounds: str) -> DataFrame:
+    """The sightings within some bounds as the batch of one run."""
+    part = seen.filter(bounds).select("*", *[
+        F.lit(None).cast(f.dataType).alias(f.name)
+        for f in store.empty_state().schema.fields
+        if f.name not in (*_SIGHTED, "fingerprint", "first_seen_at", "last_seen_at")
+    ])
+    return st.fold(part)
+
+
+def _applied(spark, folder, runs: list[tuple[str, str]]) -> DataFrame:
+    """The state after runs (name, bounds) in the order given."""
+    store = Store(spark, scratch_path(spark, "store"), buckets=8)
+    seen = corpus.sightings(spark, folder)
+    for name, bounds in runs:
+        store.upsert(_batch(store, seen, bounds), name)
+    return store.state().select("fingerprint", *_SIGHTED, "first_seen_at", "last_seen_at")
+
+
+_WEEKS = ("day < '2024-01-09'", "day >= '2024-01-09' and day < '2024-01-17'",
+          "day >= '2024-01-17' and day < '2024-01-25'", "day >= '2024-01-25'")
+
+
 @query
 def state_snapshots(spark, folder):
-    """Run by run through committed snapshots and deltas."""
-    store = Store(spark, scratch_path(spark, "store"))
+    """Run by run through the stored state."""
+    return _applied(spark, folder, [(f"r/{i}", bounds) for i, bounds in enumerate(_WEEKS)])
+
+
+@query
+def state_late_run(spark, folder):
+    """The run with the largest number first: the order of writing counts."""
+    return _applied(spark, folder, [(f"r/{i}", _WEEKS[i]) for i in (3, 0, 2, 1)])
+
+
+@query
+def state_two_sources(spark, folder):
+    """Runs of several sources under one number."""
+    kinds = ("source < 'd'", "source >= 'd' and source < 'r'", "source >= 'r'")
+    return _applied(spark, folder, [(f"r{i}/1", bounds) for i, bounds in enumerate(kinds)])
+
+
+@query
+def state_rerun(spark, folder):
+    """A run that is repeated at once, and one that is repeated later."""
+    runs = [(f"r/{i}", bounds) for i, bounds in enumerate(_WEEKS[:3])]
+    return _applied(spark, folder, [runs[0], runs[1], runs[1], runs[2], runs[2], runs[1]])
+
+
+@query
+def state_removed(spark, folder):
+    """Postings that were taken out, and one group of them written again."""
+    store = Store(spark, scratch_path(spark, "store"), buckets=8)
     seen = corpus.sightings(spark, folder)
-    for version, bounds in enumerate(
-        ("day < '2024-01-09'", "day >= '2024-01-09' and day < '2024-01-17'",
-         "day >= '2024-01-17' and day < '2024-01-25'", "day >= '2024-01-25'")
-    ):
-        part = seen.filter(bounds).select("*", *[
-            F.lit(None).cast(f.dataType).alias(f.name)
-            for f in store.empty_state().schema.fields
-            if f.name not in (*_SIGHTED, "fingerprint", "first_seen_at", "last_seen_at")
-        ])
-        apply_batch(store, st.fold(part), version, "", compact_every=2)
+    for i, bounds in enumerate(_WEEKS[:2]):
+        store.upsert(_batch(store, seen, bounds), f"r/{i}")
+    store.remove(seen.filter("source like 'c%'"), "removal")
+    store.upsert(_batch(store, seen, _WEEKS[2]), "r/2")
     return store.state().select("fingerprint", *_SIGHTED, "first_seen_at", "last_seen_at")
 
 
 @query
 def publication_duration(spark, folder):
     folded = st.fold(corpus.sightings(spark, folder), content=_SIGHTED)
-    return st.publication_duration(folded).select(
-        "source", "postings", "shortest", "longest", "total_days"
-    )
+    return st.publication_duration(folded)
 
 
 @query
@@ -528,24 +662,34 @@ def state_removal(spark, folder):
 # -- enrichment -----------------------------------------------------------
 
 
-def _tagged(spark, folder, inline=True):
+def _tagged(spark, folder, fingerprint):
     state = corpus.postings(spark, folder).withColumn("skills", F.array().cast("array<string>"))
     step = enrich.tag_skills(TAXONOMY)
-    if not inline:
-        pairs = sorted({(a, s) for s, names in TAXONOMY.items()
-                        for a in (s.replace("-", " "), *(enrich.fold_term(n) for n in names))})
-        step = enrich._tag_by_join(pairs, "skills", tuple(search.FIELD_WEIGHTS))
-    return step(state).select("external_id", F.array_join("skills", "|").alias("skills"))
+    return step(state.withColumn("fingerprint", fingerprint)).select(
+        "external_id", F.array_join("skills", "|").alias("skills"))
 
 
 @query
 def skill_tagging(spark, folder):
-    return _tagged(spark, folder)
+    return _tagged(spark, folder, F.col("fingerprint"))
 
 
 @query
 def skill_tagging_joined(spark, folder):
-    return _tagged(spark, folder, inline=False)
+    """Rows that share a fingerprint, or have none, are tagged by themselves."""
+    return _tagged(spark, folder, F.when(F.col("doc_id") % 3 > 0, F.col("source")))
+
+
+@query
+def skill_tagging_signs(spark, folder):
+    """Aliases with signs of their own, in texts as they are and with signs added."""
+    docs = corpus.documents(spark, folder, "doc_id", "text").withColumns({
+        "skills": F.array().cast("array<string>"),
+        "title": F.when(F.col("doc_id") % 3 == 0, F.lit("C++, c# & the rest")).when(
+            F.col("doc_id") % 3 == 1, F.lit("vitamin c, c+ and nets")).otherwise(F.lit("some .NET/C#")),
+        "description": F.col("text")})
+    step = enrich.tag_skills({"cpp": ["C++"], "csharp": ["C#"], "dotnet": [".net"], "symbols": ["%%%", "???"]})
+    return step(docs).select("doc_id", F.array_join("skills", "|").alias("skills"))
 
 
 def _seniority(row: dict) -> dict | None:
@@ -555,15 +699,15 @@ def _seniority(row: dict) -> dict | None:
 
 @query
 def enrich_chain(spark, folder):
-    chain = enrich.active_steps([
-        enrich.Enricher("seniority", lambda: enrich.python_step(
-            "seniority", _seniority, "seniority string"), order=200),
-        enrich.Enricher("remote", lambda: lambda df: df.withColumn(
+    chain = enrich.build_chain([
+        enrich.StepPlan("seniority", lambda: enrich.python_step(
+            "seniority", _seniority, ["company"], "seniority string"), place=200),
+        enrich.StepPlan("remote", lambda: lambda df: df.withColumn(
             "remote_policy", F.when(F.col("seniority") == "senior", F.lit("remote")))),
-        enrich.Enricher("absent", lambda: None, requires_env=("POSTLAKE_UNSET_VARIABLE",)),
+        enrich.StepPlan("absent", lambda: None, needs=("POSTLAKE_UNSET_VARIABLE",)),
     ])
     narrow = _light(spark, folder).select("external_id", "company", "source")
-    return enrich.enrich(narrow, chain).select(
+    return enrich.enrich(narrow, chain.steps).select(
         "external_id", "seniority", "remote_policy",
         F.array_join(enrich.ERRORS, "|").alias("failed"),
     )
@@ -606,6 +750,15 @@ def ingest_rejects(spark, folder):
     return _ingested(spark, folder).rejects().groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
+@query
+def ingest_overlapping(spark, folder):
+    """Rejects of a run whose sources number their rows alike."""
+    raw = _two_sources(spark, folder).withColumn("ingest_seq", F.expr("ingest_seq div 3"))
+    store = Store(spark, scratch_path(spark, "store"))
+    ingest(raw.filter("source is not null"), store, Run("r1", 1, "2026-09-01T00:00:00Z"))
+    return store.rejects().groupBy("source", "reject_reason").agg(F.count("*").alias("n"))
+
+
 @query
 def replayed_state(spark, folder):
     """Raw rows landed in two runs and processed from the landing."""
@@ -637,3 +790,32 @@ def stream_ingest(spark, folder):
     return store.state().select(
         "fingerprint", "source", "external_id", "title", "posted_at", "first_seen_at"
     )
+
+
+def _many_batches(spark, folder) -> Store:
+    """The postings in four files, one micro-batch each; repeats fall into others."""
+    raw = _two_sources(spark, folder)
+    landing = scratch_path(spark, "landing")
+    columns = [*[c for c in RAW_SCHEMA.names if c in raw.columns], "ingest_seq"]
+    for part in range(4):
+        raw.filter(F.col("ingest_seq") % 4 == part).select(*columns).coalesce(1).write.mode("append").json(landing)
+    store = Store(spark, scratch_path(spark, "streamed"))
+    started = stream.start(
+        stream.read_landing(spark, landing, files_per_batch=1), store, scratch_path(spark, "stream"),
+        clock=lambda number: f"2026-09-0{number + 1}T00:00:00Z",
+    )
+    started.awaitTermination()
+    if started.exception():
+        raise started.exception()
+    return store
+
+
+@query
+def stream_many_batches(spark, folder):
+    return _many_batches(spark, folder).state().select(
+        "fingerprint", "source", "external_id", "title", "first_seen_at", "last_seen_at")
+
+
+@query
+def stream_many_counters(spark, folder):
+    return _many_batches(spark, folder).metrics().groupBy("counter").agg(F.sum("n").alias("n"))
