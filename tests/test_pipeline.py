@@ -10,7 +10,7 @@ from postlake.operators.normalise import normalise
 from postlake.operators.index import search_index
 from postlake.operators.search import search
 from postlake.operators.state import as_batch
-from postlake.plans.ingest import Run, apply_batch, ingest, replay
+from postlake.plans.ingest import Run, ingest, replay
 from postlake.plans.store import Store
 from postlake.schema import POSTING_SCHEMA, RAW_SCHEMA, STATE_COLUMNS
 from postlake.session import scratch_path
@@ -76,77 +76,82 @@ def test_validation_gives_one_reason(spark):
 def test_first_record_wins_whatever_the_order(spark):
     df = spark.createDataFrame(
         [("r", "s", "a", i, f"t{i}") for i in range(50)]
-        + [("r", "s", None, 100, "n1"), ("r", "s", "", 101, "n2"), ("r", "u", "a", 102, "u"), ("q", "s", "a", 103, "q")],
+        + [("r", "s", None, 100, "n1"), ("r", "s", "", 101, "n2"), ("r", "u", "a", 0, "u"), ("r", "u", "a", 7, "u7"),
+           ("q", "s", "a", 103, "q"), ("r", None, "a", 5, "w"), ("r", None, "a", 6, "w6")],
         "run_id string, source string, fingerprint string, ingest_seq long, title string",
     ).orderBy(F.rand(3))
     kept = dedup.first_per_fingerprint(df)
-    assert sorted(r.title for r in kept.collect()) == ["n1", "n2", "q", "t0", "u"]
-    assert dedup.duplicates(df).count() == 49
-    assert sum(r.duplicates for r in dedup.duplicate_counts(df).collect()) == 49
-    # A key with many rows is cut down before the shuffle.
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("WindowGroupLimit", plan.index("Exchange")) > 0
+    assert sorted(r.title for r in kept.collect()) == ["n1", "n2", "q", "t0", "u", "w"]
+    dropped = dedup.duplicates(df)
+    assert sorted(r.title for r in dropped.collect()) == sorted([f"t{i}" for i in range(1, 50)] + ["u7", "w6"])
+    assert sum(r.duplicates for r in dedup.duplicate_counts(df).collect()) == 51
+    # No window, and no aggregate over what a posting holds.
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and not any("title" in line for line in plan.splitlines() if "Aggregate" in line)
 
 
-def test_enricher_order_selection_and_missing_environment():
+def test_chain_of_steps():
     def build(**options):
         return lambda df: df
 
     def broken(**options):
-        raise RuntimeError("boum")
+        raise RuntimeError("no")
 
-    chain = [
-        enrich.Enricher("b", build), enrich.Enricher("a", build), enrich.Enricher("z", build, order=1),
-        enrich.Enricher("env", build, requires_env=("NEEDED",)), enrich.Enricher("bad", broken),
+    plans = [
+        enrich.StepPlan("mid", build), enrich.StepPlan("end", build, place=900), enrich.StepPlan("alpha", build),
+        enrich.StepPlan("keyed", build, needs=("SECRET_A", "SECRET_B")), enrich.StepPlan("faulty", broken, place=1),
     ]
-    assert [n for n, _ in enrich.active_steps(chain, env={})] == ["z", "a", "b"]
-    assert [n for n, _ in enrich.active_steps(chain, selected=["a", "env"], env={"NEEDED": "1"})] == ["a", "env"]
-    seen = {}
-    opts = [enrich.Enricher("o", lambda **kw: seen.update(kw) or build(), default_config={"x": 1, "y": 1})]
-    enrich.active_steps(opts, config={"o": {"y": 2}})
-    assert seen == {"x": 1, "y": 2}
+    chain = enrich.build_chain(plans, env={"SECRET_A": "x"})
+    assert [n for n, _ in chain.steps] == ["alpha", "mid", "end"]
+    assert chain.left_out == {"keyed": "needs SECRET_B", "faulty": "RuntimeError: no"}
+    only = enrich.build_chain(plans, only=["end", "keyed"], env={"SECRET_A": "x", "SECRET_B": "y"})
+    assert [n for n, _ in only.steps] == ["keyed", "end"] and not only.left_out
+    given = {}
+    declared = [enrich.StepPlan("s", lambda **kw: given.update(kw) or build(), options={"low": 1, "high": 2})]
+    enrich.build_chain(declared, options={"s": {"high": 9}, "other": {"low": 5}})
+    assert given == {"low": 1, "high": 9}
 
 
 def test_a_failing_step_keeps_the_row(spark):
     def fails(row):
-        if row["title"] == "bad":
-            raise RuntimeError("boum")
-        if row["title"] == "wrong":
+        assert set(row) == {"title", "workload_min"}
+        if row["title"] == "breaks":
+            raise RuntimeError
+        if row["title"] == "mistyped":
             return {"seniority": "junior", "workload_max": "many"}
-        assert row["workload_min"] == 80 and row["lat"] is None and row["skills"] == []
+        if row["title"] == "silent":
+            return None
         return {"seniority": "senior", "workload_max": row["workload_min"] + 5, "ignored": 1}
 
     df = normalise(raw(
-        spark, {"title": "bad", "skills": ["a"], "workload_min": "7"}, {"title": "good", "workload_min": "80"},
-        {"title": "wrong"},
+        spark, {"title": "breaks", "skills": ["a"], "workload_max": "7"}, {"title": "works", "workload_min": "80"},
+        {"title": "mistyped", "workload_max": "9"}, {"title": "silent", "seniority": "old"},
     ), NOW)
-    step = enrich.python_step("casse", fails, "seniority string, workload_max int")
-    out = enrich.enrich(df, [("casse", step)])
+    step = enrich.python_step("step", fails, ["title", "workload_min"], "seniority string, workload_max int")
+    out = enrich.enrich(df, [("step", step)])
     rows = {r.title: r for r in out.collect()}
-    assert rows["bad"].seniority is None and rows["bad"]._enrich_errors == ["casse"]
-    assert rows["bad"].skills == ["a"] and rows["bad"].workload_min == 7
-    assert rows["good"].seniority == "senior" and rows["good"]._enrich_errors == []
-    assert rows["good"].workload_max == 85
-    assert rows["wrong"].seniority is None and rows["wrong"]._enrich_errors == ["casse"]
-    assert [tuple(r) for r in enrich.failure_counts(out).collect()] == [("casse", 2)]
+    assert rows["breaks"].seniority is None and rows["breaks"]._enrich_errors == ["step"]
+    assert rows["breaks"].skills == ["a"] and rows["breaks"].workload_max == 7
+    assert rows["works"].seniority == "senior" and rows["works"]._enrich_errors == []
+    assert rows["works"].workload_max == 85
+    assert rows["mistyped"].seniority is None and rows["mistyped"].workload_max == 9
+    assert rows["silent"].seniority == "old" and rows["silent"]._enrich_errors == []
+    assert [tuple(r) for r in enrich.failure_counts(out).collect()] == [("step", 2)]
 
 
-def test_tagging_both_ways(spark):
-    taxonomy = {"python": [], "data-eng": ["data engineer", "ingénieur données"], "c": ["C++"]}
+def test_tagging(spark):
+    taxonomy = {"python": [], "data-eng": ["data engineer", "ingénieur données"], "c": [], "cpp": ["C++"], "net": [".NET"]}
     df = normalise(raw(
-        spark, {"title": "Data Engineer C", "skills": ["zeta"]},
-        {"url": "https://x/2", "description": "INGENIEUR\nDONNEES, Pythonic"}, {"url": "https://x/3"},
+        spark, {"title": "Data-Engineer C", "skills": ["zeta"]},
+        {"url": "https://x/2", "description": "INGENIEUR\nDONNEES, Pythonic, c++11"}, {"url": "https://x/3"},
+        {"url": "https://x/4", "title": "C++/.Net", "description": "salaire net"}, {"url": "https://x/5", "title": "c+"},
     ), NOW)
-    inline = enrich.tag_skills(taxonomy)(df)
-    old = enrich._INLINE_ALIASES
-    enrich._INLINE_ALIASES = 0
-    try:
-        joined = enrich.tag_skills(taxonomy)(df)
-    finally:
-        enrich._INLINE_ALIASES = old
-    for out in (inline, joined):
-        assert [r.skills for r in out.orderBy("ingest_seq").collect()] == [
-            ["c", "data-eng", "zeta"], ["data-eng"], []]
+    tag = enrich.tag_skills(taxonomy)
+    want = [["c", "data-eng", "zeta"], ["c", "data-eng"], [], ["c", "cpp", "net"], ["c"]]
+    for keyed in (df, df.withColumn("fingerprint", F.when(F.col("ingest_seq") > 1, F.lit("same")))):
+        got = [r.skills for r in tag(keyed).orderBy("ingest_seq").collect()]
+        assert got[0] == want[0] and got[2] == [] and got[3] == want[3]
+        assert "data-eng" in got[1] and "cpp" not in got[1] and "cpp" not in got[4]
 
 
 def test_a_run_end_to_end_and_again(spark):
@@ -154,12 +159,12 @@ def test_a_run_end_to_end_and_again(spark):
     def fails(row):
         raise RuntimeError
 
-    steps = [("casse", enrich.python_step("casse", fails, "seniority string"))]
+    steps = [("step", enrich.python_step("step", fails, ["title"], "seniority string"))]
     rows = [{"external_id": "1"}, {"external_id": "1", "title": "late"}, {"external_id": "2"},
             {"source": None}, {"url": "ftp://x"}]
     first = ingest(raw(spark, *rows), store, Run("r1", 1, NOW, steps=steps))
     assert first == {"valid": 3, "dropped/incomplete": 1, "dropped/bad_url": 1, "dropped/duplicate": 1,
-                     "enrich_failed/casse": 2, "new": 2, "updated": 0}
+                     "enrich_failed/step": 2, "new": 2, "updated": 0}
     later = "2026-10-01T00:00:00Z"
     second = [{"external_id": "2", "title": "changed"}, {"external_id": "3"}]
     for _ in range(2):
@@ -176,39 +181,68 @@ def test_a_run_end_to_end_and_again(spark):
         assert archived.count() == 4
         assert store.metrics().filter("run_id = 'r2'").count() == 6
     assert store.rejects().count() == 3
-    assert store.commits() == [(1, "base"), (2, "delta")]
-    assert store.state(1).count() == 2
+    assert store.latest_version() == 2 and store.state(0).count() == 2
+    # The run that was repeated was taken back first: both times it stood on version 0.
+    assert [store.published(v).before for v in range(3)] == [None, 0, 0]
 
 
-def test_deltas_snapshots_and_index(spark):
-    """Many runs, a snapshot every third delta: the state of one fold, and an
-    index that was built early finds the newest content."""
-    store = Store(spark, scratch_path(spark, "runs"))
-    built = None
-    sightings = []
+def batch_of(spark, run, keys, **fields):
+    rows = [{"external_id": str(k), "title": f"run{run} word{k}", "url": "https://x/u", **fields} for k in keys]
+    return as_batch(normalise(raw(spark, *rows), NOW), f"2026-0{run}-01")
+
+
+def test_state_of_many_runs_removal_and_index(spark):
+    """An index that was built early finds the newest content and nothing that went."""
+    store = Store(spark, scratch_path(spark, "runs"), buckets=4)
+    built, written = None, {}
     for run in range(1, 8):
-        rows = [{"external_id": str(k), "title": f"run{run} word{k}", "url": "https://x/u",
-                 "company": None if run % 2 else "c"} for k in range(run, run + 3)]
-        batch = as_batch(normalise(raw(spark, *rows), NOW), f"2026-0{run}-01")
-        sightings += [(str(k), f"run{run} word{k}", run) for k in range(run, run + 3)]
-        counts = apply_batch(store, batch, run, f"2026-0{run}-01", compact_every=3)
+        keys = range(run, run + 3)
+        counts = store.upsert(batch_of(spark, run, keys, company=None if run % 2 else "c"), f"r{run}")
         assert counts == ({"new": 3, "updated": 0} if run == 1 else {"new": 1, "updated": 2})
+        for k in keys:
+            written.setdefault(str(k), []).append(run)
         if run == 3:
             built = store.write_index()
-    kinds = [kind for _, kind in store.commits()]
-    assert kinds.count("base") == 3 and kinds.count("delta") == 6
     got = {r.external_id: r for r in store.state().collect()}
-    for key in {k for k, _, _ in sightings}:
-        mine = [(title, run) for k, title, run in sightings if k == key]
-        assert got[key].title == mine[-1][0]
-        assert got[key].company == (None if mine[-1][1] % 2 else "c")
-        assert got[key].first_seen_at == f"2026-0{mine[0][1]}-01"
-        assert got[key].last_seen_at == f"2026-0{mine[-1][1]}-01"
-    assert len(got) == 9 and store.state(2).count() == 4
-    found = search_index(store.index(built), store.state(), "run7 OR word3")
-    want = search(store.state(), "run7 OR word3")
-    pick = lambda df: [tuple(r) for r in df.select("fingerprint", "rank").collect()]
-    assert pick(found) == pick(want) and len(pick(found)) == 4
+    assert set(got) == set(written) and store.state(1).count() == 4
+    for key, runs in written.items():
+        assert got[key].title == f"run{runs[-1]} word{key}" and got[key].company == (None if runs[-1] % 2 else "c")
+        assert (got[key].first_seen_at, got[key].last_seen_at) == (f"2026-0{runs[0]}-01", f"2026-0{runs[-1]}-01")
+    store.remove(store.state().filter("external_id in ('3', '9')"), "gone")
+    assert {r.external_id for r in store.state().collect()} == set(written) - {"3", "9"}
+    store.upsert(batch_of(spark, 8, [9]), "r8")
+
+    def pick(df):
+        return [tuple(r) for r in df.select("fingerprint", F.round("rank", 9)).collect()]
+
+    for typed in ("run7 OR word3", "run8 OR word9", "word1"):
+        assert pick(search_index(store.index(built), store.state(), typed)) == pick(search(store.state(), typed))
+    assert len(pick(search(store.state(), "run7 OR word3"))) == 2
+
+
+def test_no_run_is_lost(spark):
+    store = Store(spark, scratch_path(spark, "late"), buckets=4)
+    store.upsert(batch_of(spark, 5, [1, 2]), "5")
+    store.upsert(batch_of(spark, 3, [2, 3]), "3")
+    store.upsert(batch_of(spark, 3, [4]), "3, other source")
+    got = {r.external_id: r for r in store.state().collect()}
+    assert set(got) == {"1", "2", "3", "4"} and got["2"].title == "run3 word2"
+    # A run that another one overtook starts again from what that one published.
+    slow = Store(spark, store.path, buckets=4)
+    commit, stale = slow.newest, [slow.newest()]
+    object.__setattr__(slow, "newest", lambda: stale.pop() if stale else commit())
+    store.upsert(batch_of(spark, 6, [5]), "6")
+    slow.upsert(batch_of(spark, 7, [6]), "7")
+    assert {r.external_id for r in store.state().collect()} == {"1", "2", "3", "4", "5", "6"}
+
+
+def test_a_report_scans_only_its_columns(spark):
+    store = Store(spark, scratch_path(spark, "plain"), buckets=4)
+    for run in (1, 2):
+        store.upsert(batch_of(spark, run, [run]), str(run))
+    plan = store.state().select("source")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+    assert "ReadSchema: struct<source:string>" in plan
 
 
 def test_replay_from_landing(spark):
@@ -239,6 +273,30 @@ def test_stream_equals_batch(spark):
         map(str, batch.state().select(content).collect()))
 
 
+def test_streams_do_not_hide_each_other(spark):
+    store = Store(spark, scratch_path(spark, "both"))
+    for key in ("A", "B"):
+        landing = scratch_path(spark, "landing")
+        for title in ("first", "second"):
+            raw(spark, {"external_id": key, "title": f"{title} {key}"}).coalesce(1).write.mode("append").json(landing)
+        query = stream.start(stream.read_landing(spark, landing, files_per_batch=1), store, scratch_path(spark, "ck"),
+                             clock=lambda n: NOW)
+        query.awaitTermination()
+        assert query.exception() is None
+    assert sorted(r.title for r in store.state().collect()) == ["first A", "first B"]
+    counters = {r.counter: r.n for r in store.metrics().groupBy("counter").agg(F.sum("n").alias("n")).collect()}
+    assert (counters["new"], counters["updated"], counters["dropped/duplicate"]) == (2, 0, 2)
+
+
+def test_a_batch_that_was_published_is_left_alone(spark):
+    store = Store(spark, scratch_path(spark, "again"))
+    given = raw(spark, {"external_id": "1"}, {"external_id": "2"})
+    first = ingest(given, store, Run("s-0", 0, NOW), mark=("s", 0))
+    store.upsert(batch_of(spark, 2, [2], source="x"), "other")
+    assert ingest(given, store, Run("s-0", 0, "2030"), mark=("s", 0)) == first
+    assert {r.external_id: r.title for r in store.state().collect()} == {"1": "T", "2": "run2 word2"}
+
+
 def test_stream_dedup_within_watermark(spark):
     rows = [{"external_id": "1", "scraped_at": NOW}, {"external_id": "1", "scraped_at": NOW},
             {"external_id": "2", "scraped_at": NOW}]

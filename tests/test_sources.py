@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlake.operators import jsonld, state as st
 from postlake.sources import api, pages, tables
-from postlake.sources.config import Source, ready_sources
+from postlake.sources.config import ready
 from postlake.session import scratch_path
 
 
@@ -122,7 +122,10 @@ def test_sitemaps(spark, tmp_path):
     (tmp_path / "b.xml").write_text("<urlset><url><loc>https://x/job/1</loc></url></urlset>")
     assert sorted(r["loc"] for r in pages.read_sitemaps(spark, str(tmp_path), "/job/").collect()) == [
         "https://x/job/1", "https://x/job/2"]
-    assert [r["loc"] for r in pages.read_sitemaps(spark, str(tmp_path), "/job/", limit=1).collect()] == ["https://x/job/1"]
+    assert [r["loc"] for r in pages.read_sitemaps(spark, str(tmp_path), "/job/", limit=1).collect()] == ["https://x/job/2"]
+    # The quota counts entries before the rule: the second one is no job.
+    assert len(pages.read_sitemaps(spark, str(tmp_path), "/job/", limit=2).collect()) == 1
+    assert len(pages.read_sitemaps(spark, str(tmp_path), "/job/", limit=3).collect()) == 2
     (tmp_path / "i").mkdir()
     (tmp_path / "i" / "i.xml").write_text("<sitemapindex><sitemap><loc>https://x/s.xml</loc></sitemap></sitemapindex>")
     assert pages.read_sitemap_indexes(spark, str(tmp_path / "i")).first()["loc"] == "https://x/s.xml"
@@ -144,12 +147,10 @@ def test_quota(spark, limit):
         assert got[source] == (len(mine), mine[-1])
 
 
-def test_sources_ready(monkeypatch):
-    found = ready_sources([Source("b"), Source("a", requires_env=("KEY",)), Source("c", enabled=False)], {"KEY": "1"})
-    assert [s.name for s in found] == ["a", "b"]
-    assert [s.name for s in ready_sources([Source("a", requires_env=("KEY",))], {})] == []
-    with pytest.raises(ValueError):
-        Source("x", access="ftp")
+def test_sources_ready():
+    needs = {"second": (), "first": ("TOKEN",), "third": ("TOKEN", "SECRET")}
+    assert ready(needs, {"TOKEN": "t"}) == ["first", "second"]
+    assert ready(needs, {}) == ["second"] and ready({}, {}) == []
 
 
 def test_union_and_stamp(spark):
