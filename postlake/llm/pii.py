@@ -10,9 +10,8 @@ near e it becomes a class word; from `remove` times IC(e) on it is removed. Copi
 their surroundings and count once.
 
 Only DataFrame functions: no Python runs in tasks. Surroundings are shuffled by (entity,
-term), words by term after they are counted map-side; only terms that passed `support`
-are counted, by a broadcast if there are at most `most_broadcast` of them, else by a
-join.
+term), words by term after they are counted map-side; the counts then meet the terms that
+passed `support`, by a broadcast if there are at most `most_broadcast` of them.
 
 Null texts count as empty and have no spans; rows are told apart by doc_id and a hash of
 the text, so repeated rows get equal results; an empty table gives no rows; other
@@ -140,9 +139,9 @@ def disclosing(
     if few:
         each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
             F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
-        if few <= most_broadcast:
-            each = each.join(F.broadcast(terms), "term", "left_semi")
-        held = each.groupBy("term").agg(F.count("*").alias("n_term"))
+        # Words are counted before they meet the terms: a row for each word, not each place.
+        counted = each.groupBy("term").agg(F.count("*").alias("n_term"))
+        held = counted.join(F.broadcast(terms) if few <= most_broadcast else terms, "term", "left_semi")
     else:
         held = terms.withColumn("n_term", F.lit(1).cast("bigint"))
     n = F.lit(float(max(total, 1)))
