@@ -1,17 +1,20 @@
 """Personal data: patterns, and terms of the corpus that give protected entities away.
 
 Pattern spans: e-mail and IP addresses, card and phone numbers. Each distinct value is
-a protected entity e. Words near it (`reach` code points on either side) are compared
-with the whole corpus: PMI(t; e) = log2(p(t | e) / p(t)), where p(t | e) is the share of
-the different surroundings of e that hold t, and p(t) the share of documents. IC(e) =
--log2 p(e) is all there is to know about e. A term that is seen in `support` different
-surroundings of e or more, and whose PMI reaches `generalise` times IC(e), discloses e:
-near e it becomes a class word; from `remove` times IC(e) on it is removed. Copies share
-their surroundings and count once.
-
-Only DataFrame functions: no Python runs in tasks. Surroundings are shuffled by (entity,
-term), words by term after they are counted map-side; the counts then meet the terms that
-passed `support`, by a broadcast if there are at most `most_broadcast` of them.
+a protected entity e. The words of the texts that hold it are compared with the whole
+corpus: PMI(t; e) = log2(p(t | e) / p(t)), where p(t | e) is the share of the texts with e
+that hold t outside of spans, and p(t) the share of all texts. IC(e) = -log2 p(e) is all
+there is to know about e. A term whose PMI reaches `generalise` times IC(e) discloses e,
+if it does not meet e by chance: were the n texts of e drawn from the corpus, that k of
+them hold t has a chance of at most exp(-n KL(k/n || p(t))), and this times the number of
+terms of these texts must stay within `chance`. So an entity of one text has terms if the
+corpus is large beside the text. In all texts of e every place of such a term becomes a
+class word; from `remove` times IC(e) on it is removed. Texts are counted once, however
+many copies there are.
+
+Only DataFrame functions: no Python runs in tasks. Entities that stand in the same texts
+have the same counts and are counted as one. Distinct texts are found by a hash; rules
+meet the texts by a broadcast if there are at most `most_broadcast` of them.
 
 Null texts count as empty and have no spans; rows are told apart by doc_id and a hash of
 the text, so repeated rows get equal results; an empty table gives no rows; other
@@ -34,13 +37,15 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"[\p{L}\p{N}]+"
+_HEAD, _TAIL = r"^[\p{L}\p{N}]++", r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++\z"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """(start, end, value) of each match in order, in code points."""
+    pattern = F.lit(pattern)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
 
     def step(done: Column, row: Column) -> Column:
         start = done["at"] + row["gap"]
@@ -87,100 +92,114 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def base(docs: DataFrame, reach: int) -> DataFrame:
-    """key, doc_id and the pattern spans of every row, with what stands around them."""
+def base(docs: DataFrame) -> DataFrame:
+    """key, doc_id, a hash of the text and the pattern spans of every row, and the text
+    where there are any."""
     text = F.coalesce(docs["text"], F.lit(""))
-    near = F.transform(pattern_spans(text), lambda s: F.struct(
-        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-        text.substr(F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach))).alias("before"),
-        text.substr(s["end"] + 1, F.lit(reach)).alias("after")))
-    return docs.select(_row_key(docs).alias("key"), "doc_id", near.alias("spans"))
-
-
-def _surroundings(found: DataFrame, reach: int) -> DataFrame:
-    """A row for each word near an entity: key, entity, a hash of its surroundings, and
-    the word's place; words that the cut may have hit and those in spans are left out."""
-    places = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    rows = found.select("key", places.alias("spans"), F.explode("spans").alias("span")).select(
-        "key", "spans", F.lower("span.value").alias("entity"), "span.before", "span.after",
-        F.greatest(F.col("span.start") - reach, F.lit(0)).alias("from"), F.col("span.end").alias("to"),
-    )
-    # The end of a cut word stands at the edge of its side.
-    before = F.filter(located(F.col("before"), _WORD), lambda s: (s["start"] > 0) | (F.col("from") == 0))
-    after = F.filter(located(F.col("after"), _WORD), lambda s: (s["end"] < F.length("after")) | (F.length("after") < reach))
+    rows = docs.select(_row_key(docs).alias("key"), "doc_id", F.xxhash64(text).alias("body"),
+                       text.alias("text"), pattern_spans(text).alias("spans"))
+    return rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
+
+
+def _terms(text: Column) -> Column:
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without its spans and the words that overlap them."""
+    ends = F.transform(spans, lambda s: s["end"])
+
+    def before(s: Column, i: Column) -> Column:
+        # One more character on either side tells whether a word goes on into the span.
+        end = F.array_max(F.slice(ends, F.lit(1), i))
+        start = F.coalesce(end - 1, F.lit(0))
+        piece = F.regexp_replace(text.substr(start + 1, F.greatest(s["start"] + 1 - start, F.lit(0))), _TAIL, "")
+        return F.when(end.isNull(), piece).otherwise(F.regexp_replace(piece, _HEAD, ""))
 
-    def place(shift: str):
-        return lambda s: F.struct((s["start"] + F.col(shift)).alias("start"), (s["end"] + F.col(shift)).alias("end"),
-                                  s["value"].alias("value"))
+    last = F.regexp_replace(text.substr(F.array_max(ends), F.length(text)), _HEAD, "")
+    return F.array_join(F.concat(F.transform(spans, before), F.array(last)), "\n")
 
-    words = F.concat(F.transform(before, place("from")), F.transform(after, place("to")))
-    return rows.select(
-        "key", "entity", "spans", F.xxhash64("before", "after").alias("around"), F.explode(words).alias("word")
-    ).where(
-        (F.length("word.value") >= 3)
-        & ~F.exists("spans", lambda s: (s["start"] < F.col("word.end")) & (s["end"] > F.col("word.start")))
-    ).select("key", "entity", "around", F.col("word.start").alias("start"), F.col("word.end").alias("end"),
-             F.col("word.value").alias("value"), F.lower("word.value").alias("term"))
+
+def _groups(held: DataFrame) -> DataFrame:
+    """body, group, n_texts: entities of the same texts are one group."""
+    pairs = held.select("body", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
+    sets = pairs.groupBy("entity").agg(
+        F.count("*").alias("n_texts"), F.bit_xor("body").alias("x"), F.bit_xor(F.xxhash64("body")).alias("y"))
+    leaders = sets.groupBy("n_texts", "x", "y").agg(F.min("entity").alias("entity"))
+    return pairs.join(leaders, "entity").select("body", F.xxhash64("n_texts", "x", "y").alias("group"), "n_texts")
 
 
 def disclosing(
-    docs: DataFrame, found: DataFrame, words: DataFrame, support: int, generalise: float, most_broadcast: int
+    docs: DataFrame, found: DataFrame, held: DataFrame, groups: DataFrame, generalise: float, chance: float
 ) -> DataFrame:
-    """(entity, term, disclosure): PMI as a share of IC, where it reaches `generalise`."""
-    joint = words.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(
-        F.count("*").alias("n_joint")).where(F.col("n_joint") >= support)
-    joint = materialise(joint, "pii-joint")
-    terms = joint.select("term").distinct()
-    few = terms.count()
-    total = docs.count()
-    entities = found.select("key", F.explode("spans.value").alias("value")).select(
-        "key", F.lower("value").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_docs"))
-    around = words.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_around"))
-    if few:
-        each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
-            F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
-        # Words are counted before they meet the terms: a row for each word, not each place.
-        counted = each.groupBy("term").agg(F.count("*").alias("n_term"))
-        held = counted.join(F.broadcast(terms) if few <= most_broadcast else terms, "term", "left_semi")
-    else:
-        held = terms.withColumn("n_term", F.lit(1).cast("bigint"))
+    """(group, term, disclosure): PMI as a share of IC, where it reaches `generalise`
+    and is no chance."""
+    own = groups.groupBy("body").agg(F.collect_list(F.struct("group", "n_texts")).alias("groups"))
+    words = held.select("body", _terms(_outside(F.col("text"), F.col("spans"))).alias("terms"))
+    joint = materialise(
+        words.join(own, "body").select(F.explode("groups").alias("g"), "terms")
+        .select("g.group", "g.n_texts", F.explode("terms").alias("term"))
+        .groupBy("group", "n_texts", "term").agg(F.count("*").alias("n_joint")), "pii-joint")
+    tried = joint.groupBy("group").agg(F.count("*").alias("n_tried"))
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text").dropDuplicates(["body"])
+    total = found.select("body").distinct().count()
+    # Words are counted before they meet the terms: a row for each word, not each place.
+    counted = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(max(total, 1)))
-    gain = F.log2(F.col("n_joint") / F.col("n_around")) - F.log2(F.col("n_term") / n)
-    content = -F.log2(F.col("n_docs") / n)
+    share, common = F.col("n_joint") / F.col("n_texts"), F.col("n_term") / n
+    content = -F.log2(F.col("n_texts") / n)
+    apart = share * F.ln(share / common) + F.when(
+        share < 1, (1 - share) * F.ln((1 - share) / (1 - common))).otherwise(F.lit(0.0))
     return (
-        joint.join(entities, "entity").join(around, "entity").join(held, "term")
-        .select("entity", "term", F.when(content > 0, gain / content).otherwise(F.lit(0.0)).alias("disclosure"))
+        joint.join(counted, "term").where(common < share).join(tried, "group")
+        .where(F.col("n_texts") * apart >= F.ln(F.col("n_tried") / F.lit(chance)))
+        .select("group", "term", F.when(content > 0, F.log2(share / common) / content).otherwise(F.lit(0.0)).alias("disclosure"))
         .where(F.col("disclosure") >= generalise)
     )
 
 
+def _places(held: DataFrame, groups: DataFrame, rules: DataFrame, remove: float, most_broadcast: int) -> DataFrame:
+    """body and the places of all disclosing terms of its entities outside of spans."""
+    few = rules.count() <= most_broadcast
+    told = groups.join(F.broadcast(rules) if few else rules, "group").groupBy("body", "term").agg(
+        F.max("disclosure").alias("disclosure")
+    ).groupBy("body").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
+    mine = F.filter(words, lambda w: F.map_contains_key("told", F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("mine", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    free = F.filter(located(F.col("text"), pattern), lambda w: ~F.exists(
+        "spans", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+
+    def shape(w: Column) -> Column:
+        return (
+            F.when(F.element_at("told", F.lower(w["value"])) >= remove, F.lit(""))
+            .when(w["value"].rlike("[0-9]"), F.lit("[NUMBER]"))
+            .when(w["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]"))
+            .otherwise(F.lit("[TERM]"))
+        )
+
+    return held.join(told, "body").withColumn("mine", mine).where(F.size("mine") > 0).select(
+        "body", F.transform(free, lambda w: F.struct(
+            w["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), w["end"].alias("end"),
+            w["value"].alias("value"), shape(w).alias("replacement"))).alias("terms"))
+
+
 def spans(
-    docs: DataFrame, *, reach: int = 100, support: int = 3, generalise: float = 0.5, remove: float = 0.9,
-    most_broadcast: int = 50_000,
+    docs: DataFrame, *, generalise: float = 0.5, remove: float = 0.9, chance: float = 0.05, most_broadcast: int = 50_000
 ) -> DataFrame:
     """key, doc_id, and for every row its pattern spans and its terms (start, kind,
     end, value, replacement), where kind is a place in KINDS."""
-    found = materialise(base(docs, reach), "pii-base")
+    found = materialise(base(docs), "pii-base")
     some = found.where(F.size("spans") > 0)
-    words = materialise(_surroundings(some, reach), "pii-words")
-    rules = disclosing(docs, some, words, support, generalise, most_broadcast)
-    shape = (
-        F.when(F.col("disclosure") >= remove, F.lit(""))
-        .when(F.col("value").rlike("[0-9]"), F.lit("[NUMBER]"))
-        .when(F.col("value").rlike(r"^\p{Lu}"), F.lit("[NAME]"))
-        .otherwise(F.lit("[TERM]"))
-    )
-    terms = (
-        words.join(rules, ["entity", "term"])
-        .groupBy("key", "start", "end", "value").agg(F.max("disclosure").alias("disclosure"))
-        .select("key", F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", "value",
-                                shape.alias("replacement")).alias("term"))
-        .groupBy("key").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-    )
+    held = materialise(some.select("body", "text", "spans").dropDuplicates(["body"]), "pii-held")
+    groups = materialise(_groups(held), "pii-groups")
+    rules = materialise(disclosing(docs, found, held, groups, generalise, chance), "pii-rules")
+    terms = _places(held, groups, rules, remove, most_broadcast)
     kind = "array<struct<start:int,kind:int,end:int,value:string,replacement:string>>"
-    plain = F.transform("spans", lambda s: s.dropFields("before", "after"))
-    return found.join(terms, "key", "left").select(
-        "key", "doc_id", plain.alias("spans"), F.coalesce("terms", F.array().cast(kind)).alias("terms"))
+    none = F.array().cast(kind)
+    told = some.join(terms, "body", "left").select("key", "doc_id", "spans", F.coalesce("terms", none).alias("terms"))
+    return told.unionByName(found.where(F.size("spans") == 0).select("key", "doc_id", "spans", none.alias("terms")))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:

@@ -86,3 +86,23 @@ def test_no_python_in_tasks_and_digests(spark, tmp_path):
         told = ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b, _ in brute(TEXTS[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and r.spans == told
         assert r.n_email == sum(k == 0 for _, k, _, _ in brute(TEXTS[r.doc_id]))
+
+
+def test_terms_of_rare_entities_anywhere_in_their_texts(spark):
+    """One text, or two: a name far from the address, one of two letters, each place."""
+    far = "everyone knows that much was said here " * 8
+    rows = [(1, f"Quillon {far}ask one@host.org {far}signed QUILLON"), (2, f"Ng {far}ask two@host.org again"),
+            (3, f"from ng and two@host.org {far}"), (4, f"{far}ask again from and signed")]
+    rows += [(10 + i, f"{far}ask again from and signed {i}") for i in range(500)]
+    found = {r.doc_id: r for r in pii.spans(docs(spark, rows)).collect()}
+    got = {i: [(t.start, t.end, t.value) for t in r.terms] for i, r in found.items()}
+    places = {i: [m.span() + (m.group(),) for m in re.finditer(r"(?i)\b(quillon|ng)\b", t)] for i, t in rows}
+    assert got == places and sum(map(len, got.values())) == 4
+    assert found[1].terms[1].start > found[1].spans[0].end + 100
+
+
+def test_words_that_run_into_spans_are_no_terms(spark):
+    rows = [(i, f"zed\u00e9a{i % 2}@b.org\u00e9 1.1.1.1 {'+41 22 123 45 67'}x host \u00e9{i}") for i in range(2)]
+    rows += [(10 + i, f"plain text number {i}") for i in range(400)]
+    found = {r.doc_id: [t.value for t in r.terms] for r in pii.spans(docs(spark, rows)).collect()}
+    assert found[0] == ["host", "\u00e90"] and found[1] == ["host", "\u00e91"]
