@@ -7,13 +7,13 @@ text is scanned once; the words that a match covers are mapped back to the code
 points of the original text.
 
 The automaton is broadcast. The size of the items is summed first: beyond
-`most_bytes` the items are dealt to several automata, whose findings are put
-together by doc_id.
+`most_bytes` the items are dealt to several automata, which scan each row one after
+another and carry its hits along.
 
 Null texts and texts without words have no words and are clean; items without words
-have no pattern; equal items are all reported; with several automata, rows of one
-doc_id are put together, else every row of the documents gives one row. Other
-columns of both tables are not looked at.
+have no pattern; items without an id mark words and are not named in item_ids; equal
+items are all reported; every row of the documents gives one row, whatever the number
+of automata. Other columns of both tables are not looked at.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ _NORMAL = bytes(
     for b in range(256)
 )
 _ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_CARRIED = "doc_id bigint, text string, hit_words array<int>, item_ids array<bigint>"
 _FOUND = "doc_id bigint, n_words bigint, hit_words array<int>, item_ids array<bigint>, starts array<int>, ends array<int>"
 
 
@@ -42,7 +43,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_NORMAL).split()
 
 
-def patterns(items: list[tuple[int, str | None]], width: int) -> dict[str, tuple[int, list[int]]]:
+def patterns(items: list[tuple[int | None, str | None]], width: int) -> dict[str, tuple[int, list[int]]]:
     """Each pattern with its number of words and the items that have it. Bytes are
     written as one character each, on both sides."""
     found: dict[str, tuple[int, list[int]]] = {}
@@ -52,7 +53,7 @@ def patterns(items: list[tuple[int, str | None]], width: int) -> dict[str, tuple
         for at in range(len(own) - size + 1 if own else 0):
             key = (b" " + b" ".join(own[at : at + size]) + b" ").decode("latin-1")
             owners = found.setdefault(key, (size, []))[1]
-            if not owners or owners[-1] != item:
+            if item is not None and (not owners or owners[-1] != item):
                 owners.append(item)
     return found
 
@@ -68,26 +69,26 @@ def automaton(found: dict[str, tuple[int, list[int]]]):
     return tree
 
 
-def scan(text: str | None, tree) -> tuple[int, list[int], list[int], list[int], list[int]]:
-    """Number of words, those hit, the items found, and the spans of hit words."""
+def scan(text: str | None, tree, hit=(), items=()) -> tuple[int, list[int], list[int], list[int], list[int]]:
+    """Number of words, those hit, the items found, and the spans of hit words; `hit` and
+    `items` are what other automata found in the text."""
     own = words(text)
-    if not own or not len(tree):
-        return len(own), [], [], [], []
-    matches = list(tree.iter((b" " + b" ".join(own) + b" ").decode("latin-1")))
-    if not matches:
+    matches = list(tree.iter((b" " + b" ".join(own) + b" ").decode("latin-1"))) if own and len(tree) else []
+    if not matches and not hit:
         return len(own), [], [], [], []
     first = np.cumsum([1, *(len(w) + 1 for w in own)])
     covered = np.zeros(len(own) + 1, np.int32)
-    items: set[int] = set()
+    found = set(items)
     for end, (length, size, owners) in matches:
         at = int(np.searchsorted(first, end - length + 2))
         covered[at] += 1
         covered[at + size] -= 1
-        items.update(owners)
-    hit = np.cumsum(covered[:-1]) > 0
+        found.update(owners)
+    marked = np.cumsum(covered[:-1]) > 0
+    marked[list(hit)] = True
     spans = [m.span() for m in _ORIGINAL_WORD.finditer(text)]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-    return (len(own), np.flatnonzero(hit).tolist(), sorted(items),
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], marked, [False])).astype(np.int8)))
+    return (len(own), np.flatnonzero(marked).tolist(), sorted(found),
             [spans[i][0] for i in edges[::2]], [spans[i - 1][1] for i in edges[1::2]])
 
 
@@ -96,25 +97,28 @@ def _broadcast(items: DataFrame, width: int):
     return items.sparkSession.sparkContext.broadcast(patterns(rows, width))
 
 
-def _scanned(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+def _scanned(rows: DataFrame, items: DataFrame, width: int, schema: str) -> DataFrame:
     held = _broadcast(items, width)
 
     def work(batches: Batches) -> Iterator[dict]:
         tree = automaton(held.value)
         for part in slices(batches):
-            rows = [scan(t, tree) for t in part.column("text").to_pylist()]
+            texts = part.column("text").to_pylist()
+            before = [part.column(c).to_pylist() if c in part.schema.names else [()] * len(texts)
+                      for c in ("hit_words", "item_ids")]
+            rows = [scan(t, tree, *b) for t, *b in zip(texts, *before, strict=True)]
             names = ("n_words", "hit_words", "item_ids", "starts", "ends")
-            yield {"doc_id": part.column("doc_id")} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
+            yield {c: part.column(c) for c in ("doc_id", "text")} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
-    return by_arrow(docs.select("doc_id", "text"), work, _FOUND)
+    return by_arrow(rows, work, schema)
 
 
 def _shards(items: DataFrame, most_bytes: int) -> list[DataFrame]:
     """The items, or if they are too large for one automaton, parts of them."""
-    items = items.select("item_id", "text").where("item_id is not null and text is not null")
+    items = items.select("item_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // most_bytes))
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) for k in range(parts)]
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
 def contamination(
@@ -122,15 +126,11 @@ def contamination(
 ) -> DataFrame:
     """doc_id, n_words, hit_words (their numbers), item_ids found, and the spans of
     the hit runs of words in the text (starts, ends; end exclusive)."""
-    first, *rest = _shards(items, most_bytes)
-    found = _scanned(docs, first, width)
-    if not rest:
-        return found
-    for shard in rest:
-        found = found.unionByName(_scanned(docs, shard, width))
-    gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), *(gather(c) for c in ("hit_words", "item_ids", "starts", "ends")))
+    *others, last = _shards(items, most_bytes)
+    rows = docs.select("doc_id", "text")
+    for shard in others:
+        rows = _scanned(rows, shard, width, _CARRIED)
+    return _scanned(rows, last, width, _FOUND)
 
 
 def clean(docs: DataFrame, items: DataFrame, *, width: int = 10, most_bytes: int = 64 << 20) -> DataFrame:

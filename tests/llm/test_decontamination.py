@@ -67,3 +67,25 @@ def test_awkward_and_empty_tables(spark):
     assert decontamination.contamination(awkward(spark), benchmark).count() == 11
     assert decontamination.clean(awkward(spark), benchmark.limit(0)).count() == 11
     assert decontamination.contamination(empty(spark), benchmark).count() == 0
+
+
+def test_every_row_gives_one_row_whatever_the_number_of_automata(spark):
+    texts, items = case()
+    long = prose(1, 30)
+    # Items that overlap in a text, and rows without an id or with the same one.
+    items = [*items, *((10 + k, " ".join(long[k : k + 12])) for k in range(15))]
+    texts = [*texts, (None, "a short item"), (None, "nothing"), (None, " ".join(long)), (7, "short item"), (7, "none")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    one, several = (
+        sorted(map(str, decontamination.contamination(docs(spark, texts), benchmark, most_bytes=most).collect()))
+        for most in (1 << 20, 150))
+    assert one == several and len(one) == len(texts)
+
+
+def test_items_without_an_id_mark_words(spark):
+    texts, items = [(1, "a short item"), (2, "one other thing"), (3, "clean")], [(None, "short item"), (None, "other thing"), (5, "Other thing")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (1 << 20, 10):
+        rows = decontamination.contamination(docs(spark, texts), benchmark, most_bytes=most).collect()
+        assert sorted((r.doc_id, r.hit_words, r.item_ids) for r in rows) == [(1, [1, 2], []), (2, [1, 2], [5]), (3, [], [])]
+        assert [r.doc_id for r in decontamination.clean(docs(spark, texts), benchmark, most_bytes=most).collect()] == [3]
