@@ -64,7 +64,7 @@ def _deep_text(value: Column) -> Column:
     in a list whose first entry is replaced by what it holds, until one has text."""
     rest = "array<variant>"
     # Every step takes one value; there are no more of them than openings and commas.
-    bare = F.regexp_replace(F.to_json(value), r'"(?:[^"\\\\]++|\\\\.)*+"', "")
+    bare = F.regexp_replace(F.to_json(value), r'"(?:[^"\\]++|\\.)*+"', "")
     steps = F.sequence(F.lit(0), F.length(F.regexp_replace(bare, r"[^\[{,]", "")) + 1)
 
     def step(done: Column, _: Column) -> Column:

@@ -61,6 +61,14 @@ def test_envelopes_and_kinds(spark):
         "external_id": "12", "company": "Acme"}.items()
 
 
+def test_deep_text_beside_strings_with_backslashes_and_quotes(spark):
+    for text in ("\\", "a\\", "\\\\", '"', '\\"', '[{,"\\'):
+        deep = {"@type": "JobPosting", "title": {"a": text, "name": [[[[[["", text, "ok"]]]]]], "b": text}}
+        assert fields(spark, deep)["title"] == text
+        deep["title"] = {"a": text, "name": [[[[[["", {"other": text}, {"name": [["ok"]]}]]]]]], "b": text}
+        assert fields(spark, deep)["title"] == "ok"
+
+
 @pytest.mark.parametrize("salary,want", [
     ({"currency": "CHF", "value": {"minValue": 1000, "maxValue": "2'000"}}, (1000.0, 2000.0, "CHF")),
     ([{"currencyCode": "EUR", "value": {"value": "55 000"}}], (55000.0, 55000.0, "EUR")),
