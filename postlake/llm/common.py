@@ -23,9 +23,9 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_arrow(df: DataFrame, work: Callable[[Batches], Iterator[dict]], schema: str) -> DataFrame:
+def by_arrow(df: DataFrame, work: Callable[[Batches], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """Run `work` over the Arrow batches of each partition; it yields columns by name."""
-    spec: StructType = _parse_datatype_string(schema)
+    spec = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(spec)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:

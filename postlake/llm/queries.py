@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from . import (
     byte_bpe,
     chat_format,
+    conversation_repair,
     decontamination,
     html_extraction,
     jaccard_join,
+    lattice_hash,
     pii,
     quality_rules,
+    spelling_groups,
     substring_dedup,
     token_counts,
     url_filters,
@@ -110,9 +113,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op11_lattice_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_hash.classes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.digested(conversation_repair.damaged(rows)).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.grouped(spelling_groups.vocabulary(table(spark, sf_dir, "documents"), slips=199))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_quality_rules, op3_substring_dedup, op4_html_extraction, op5_pii, op6_token_counts,
-    op7_decontamination, op8_byte_bpe, op9_jaccard_join, op10_chat_format,
+    op7_decontamination, op8_byte_bpe, op9_jaccard_join, op10_chat_format, op11_lattice_hash,
+    op12_conversation_repair, op13_spelling_groups,
 )}
 #: None of the operators can be said in SQL: they learn, hash or tokenise.
 ORACLES: dict[str, str] = {}
