@@ -1,4 +1,7 @@
 import html
+import time
+
+import pytest
 
 from postlake.llm import html_extraction, url_filters
 
@@ -107,3 +110,29 @@ def test_best_run_against_all_runs():
         assert scores[start:end].sum() == max(best, 0.0)
 
 
+
+
+def test_class_names_and_ids_count(spark):
+    body = " ".join(f"word{i}" for i in range(30))
+    page = ('<div class="page"><article data-class="ad"><p>{b}</p><div class="box advert"><p>buy this now</p></div>'
+            "<p>{b}</p><ul id=comments><li>first!<li>second</ul><p title='a > b'>{b}</p></article></div>").format(b=body)
+    found = html_extraction.extracted(pages(spark, [("u", page)])).collect()[0].text
+    assert found == " ".join([body] * 3)
+
+
+def test_markup_is_read_as_far_as_it_goes():
+    words = [w for k, _, w in html_extraction.tokens("a <b class='x>y <i>z</i> < 3 <p title='k>m'>n<q") if k == "word"]
+    assert words == ["a", "y", "z", "<", "3", "n", "<", "q"]
+    blocks = [s[0] for s, w, *_ in html_extraction.walk("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><th>e</table><p>f<p>g") if w]
+    assert blocks == [f"word in {b}" for b in ("li", "li", "td", "td", "th", "p", "p")]
+
+
+@pytest.mark.parametrize("unit", ["<p>word text", '<a "x', "<a 'x>\"<b y", "<div>", "</b><b>", "<", "<!-- x", '<a x=">', "<a class='", "</"])
+def test_broken_pages_are_read_in_linear_time(unit):
+    def seconds(size):
+        page = unit * (size // len(unit))
+        begun = time.process_time()
+        html_extraction.main_text(page, html_extraction.DEFAULT_WEIGHTS)
+        return time.process_time() - begun
+
+    assert seconds(2_000_000) < 20
