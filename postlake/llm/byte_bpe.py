@@ -23,7 +23,7 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from .common import Batches, by_arrow, slices
+from .common import Batches, by_arrow, kept_by_worker, slices
 
 
 def byte_characters() -> list[str]:
@@ -123,12 +123,17 @@ class Codec:
         return ",".join(map(self._digits.__getitem__, ids))
 
 
+def codec_of(ranks_path: str, pattern: str) -> Codec:
+    """The codec of a worker, made once."""
+    return kept_by_worker(("codec", (ranks_path, pattern)), lambda: Codec(read_ranks(ranks_path), pattern))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, offsets: bool = True) -> DataFrame:
     """doc_id, ids and, if asked for, the start and end of each id in the text."""
     schema = "doc_id bigint, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
 
     def work(batches: Batches) -> Iterator[dict]:
-        codec = Codec(read_ranks(ranks_path), pattern)
+        codec = codec_of(ranks_path, pattern)
         for part in slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             if offsets:
@@ -145,7 +150,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, the decoded bytes, and their text (U+FFFD where a character is cut)."""
 
     def work(batches: Batches) -> Iterator[dict]:
-        codec = Codec(read_ranks(ranks_path), pattern)
+        codec = codec_of(ranks_path, pattern)
         for batch in batches:
             data = [codec.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield {"doc_id": batch.column("doc_id"), "data": data,
@@ -158,7 +163,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to."""
 
     def work(batches: Batches) -> Iterator[dict]:
-        codec = Codec(read_ranks(ranks_path), pattern)
+        codec = codec_of(ranks_path, pattern)
         for part in slices(batches):
             found = codec.encode([t or "" for t in part.column("text").to_pylist()])
             yield {

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -55,6 +56,25 @@ def slices(batches: Batches) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start)
 
 
+_KEPT: dict = {}
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What `make` gives, made once by each Python worker and used by its next tasks too.
+    A worker keeps one thing of a kind: the first part of `key` names the kind."""
+    kind, which = key
+    if kind not in _KEPT or _KEPT[kind][0] != which:
+        _KEPT.pop(kind, None)
+        _KEPT[kind] = which, make()
+    return _KEPT[kind][1]
+
+
+def whole_rows(df: DataFrame, name: str):
+    """All columns, whatever their names, as one struct `name`."""
+    quoted = (f"`{c.replace('`', '``')}`" for c in df.columns)
+    return F.struct(*map(F.col, quoted)).alias(name)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, kept per worker; emptied when it holds `most` words."""
 

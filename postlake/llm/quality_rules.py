@@ -28,10 +28,11 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from postlake.session import materialise
 
-from .common import Batches, by_arrow, slices
+from .common import Batches, by_arrow, slices, whole_rows
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]")
@@ -83,7 +84,7 @@ def statistics_of(text: str | None) -> tuple:
 _NAMES = [part.split()[0] for part in _STATISTICS.split(", ")][1:]
 
 
-def _measure(docs: DataFrame, carried: str, kind: str) -> DataFrame:
+def _measure(docs: DataFrame, carried: str) -> DataFrame:
     """Column `carried` of every row and the statistics of its `text`."""
 
     def work(batches: Batches) -> Iterator[dict]:
@@ -91,12 +92,13 @@ def _measure(docs: DataFrame, carried: str, kind: str) -> DataFrame:
             rows = [statistics_of(t) for t in part.column("text").to_pylist()]
             yield {carried: part.column(carried)} | {c: [r[i] for r in rows] for i, c in enumerate(_NAMES)}
 
-    return by_arrow(docs, work, f"{carried} {kind}, " + _STATISTICS.partition(", ")[2])
+    told = _parse_datatype_string(_STATISTICS)
+    return by_arrow(docs, work, StructType([docs.schema[carried], *told.fields[1:]]))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """Counts and shares of every text."""
-    return _measure(docs.select("doc_id", "text"), "doc_id", "bigint")
+    return _measure(docs.select(F.col("doc_id").cast("bigint"), "text"), "doc_id")
 
 
 @dataclass(frozen=True)
@@ -190,7 +192,10 @@ def chosen(labels: DataFrame, most_rows: int) -> DataFrame:
 
 def fit(measured: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, **options) -> list[Rule]:
     """The rules for texts of quality 0, from a bounded number of labelled rows."""
-    rows = measured.join(chosen(labels, most_rows), "doc_id").select("doc_id", "bad", *FEATURES).collect()
+    met = measured.join(chosen(labels, most_rows), "doc_id")
+    # One row for each labelled id: of several texts the one of the least statistics.
+    least = met.groupBy("doc_id", "bad").agg(F.min(F.struct(*FEATURES)).alias("least"))
+    rows = least.select("doc_id", "bad", "least.*").collect()
     rows.sort(key=lambda r: (hash_of(r.doc_id), *r))
     x = np.array([[float(r[f]) for f in FEATURES] for r in rows]).reshape(len(rows), len(FEATURES))
     return learn(x, np.array([r.bad for r in rows], bool), **options)
@@ -231,6 +236,5 @@ def kept(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_000, **optio
     ids = chosen(labels, most_rows).select("doc_id")
     labelled = statistics(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
     rules = fit(labelled, labels, most_rows=most_rows, **options)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    measured = _measure(rows, "row", rows.schema["row"].dataType.simpleString())
+    measured = _measure(docs.select(whole_rows(docs, "row"), "text"), "row")
     return measured.where(~base_failed() & (decision(rules) == 0)).select("row.*")

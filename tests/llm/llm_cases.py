@@ -5,7 +5,7 @@ import random
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Names that operators use inside, as extra columns of their input.
-CLASHING = ("key", "sig", "size", "spans", "row", "marks", "rule", "n_words", "component_id", "bad", "tokens")
+CLASHING = ("key", "sig", "size", "spans", "row", "marks", "rule", "n_words", "component_id", "bad", "tokens", "my col", "x-y")
 LONG = "lorem ipsum dolor " * 3_000
 
 

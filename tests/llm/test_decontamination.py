@@ -55,9 +55,9 @@ def test_against_brute_force(spark):
 def test_several_automata_find_the_same(spark):
     texts, items = case()
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    rows = decontamination.contamination(docs(spark, texts), benchmark, most_bytes=100).collect()
+    rows = decontamination.contamination(docs(spark, texts), benchmark, most_nodes=12).collect()
     assert sorted((r.doc_id, r.n_words, r.hit_words, r.item_ids) for r in rows) == brute(texts, items)
-    kept = decontamination.clean(docs(spark, texts), benchmark, most_bytes=100)
+    kept = decontamination.clean(docs(spark, texts), benchmark, most_nodes=12)
     assert {r.doc_id for r in kept.collect()} == {d for d, _, hit, _ in brute(texts, items) if not hit}
     assert kept.columns == docs(spark, texts).columns
 
@@ -77,15 +77,39 @@ def test_every_row_gives_one_row_whatever_the_number_of_automata(spark):
     texts = [*texts, (None, "a short item"), (None, "nothing"), (None, " ".join(long)), (7, "short item"), (7, "none")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     one, several = (
-        sorted(map(str, decontamination.contamination(docs(spark, texts), benchmark, most_bytes=most).collect()))
-        for most in (1 << 20, 150))
+        sorted(map(str, decontamination.contamination(docs(spark, texts), benchmark, most_nodes=most).collect()))
+        for most in (1 << 20, 60))
     assert one == several and len(one) == len(texts)
 
 
 def test_items_without_an_id_mark_words(spark):
     texts, items = [(1, "a short item"), (2, "one other thing"), (3, "clean")], [(None, "short item"), (None, "other thing"), (5, "Other thing")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    for most in (1 << 20, 10):
-        rows = decontamination.contamination(docs(spark, texts), benchmark, most_bytes=most).collect()
+    for most in (1 << 20, 2):
+        rows = decontamination.contamination(docs(spark, texts), benchmark, most_nodes=most).collect()
         assert sorted((r.doc_id, r.hit_words, r.item_ids) for r in rows) == [(1, [1, 2], []), (2, [1, 2], [5]), (3, [], [])]
-        assert [r.doc_id for r in decontamination.clean(docs(spark, texts), benchmark, most_bytes=most).collect()] == [3]
+        assert [r.doc_id for r in decontamination.clean(docs(spark, texts), benchmark, most_nodes=most).collect()] == [3]
+
+
+def test_random_texts_against_brute_force(spark):
+    items = [(i, " ".join(prose(i, n, vocabulary=6))) for i, n in enumerate([3, 9, 10, 11, 14, 25, 40, 1, 5])] + [(None, "zz yy")]
+    texts = [(100 + i, " ".join(prose(50 + i, 60, vocabulary=6))) for i in range(12)]
+    texts += [(200 + i, " ".join(["q", *t.split()[k:], "zz yy"])) for i, (_, t) in enumerate(items) for k in (0, 1, 3)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontamination.contamination(docs(spark, texts), benchmark).collect()
+    want = [(d, n, h, [i for i in f if i is not None]) for d, n, h, f in _sorted_brute(texts, items)]
+    assert sorted((r.doc_id, r.n_words, r.hit_words, r.item_ids) for r in rows) == want
+
+
+def _sorted_brute(texts, items):
+    named = [(i if i is not None else -1, t) for i, t in items]
+    return [(d, n, h, [i for i in f if i >= 0]) for d, n, h, f in brute(texts, named)]
+
+
+def test_one_node_for_each_word_of_the_items():
+    items = [(i, " ".join(prose(i, 500, vocabulary=5_000))) for i in range(40)]
+    tree = decontamination.Items(items, 10)
+    assert tree.nodes <= 40 * 500 + 1
+    long = items[3][1].split()
+    assert tree.scan(" ".join(["x", *long[7:17], "y"]))[1:3] == (list(range(1, 11)), [3])
+    assert tree.scan(" ".join(["x", *long[7:16], "y"]))[1:] == ([], [], [], [])
