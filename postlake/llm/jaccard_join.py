@@ -23,9 +23,10 @@ more differ in at most (100 - t)(a + b) / (100 + t) elements. Hence:
 Equal sets are told by a 64-bit sum of their hashes and their size.
 
 Null texts and texts without words have an empty set and stand alone; fewer words than
-n make one gram of all of them; repeated rows are copies; an empty table gives no rows;
-a row without doc_id keeps none and is linked through copies that have one. Other
-columns are not looked at.
+n make one gram of all of them; very long texts are read whole; repeated rows are copies;
+an empty table gives no rows; a row without doc_id keeps none and is linked through
+copies that have one; rows of one doc_id with different texts are linked each by its own
+text, and each names its doc_id to its class. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,10 +38,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from postlake.session import materialise
 
-from .common import Batches, WordHashes, by_arrow, slices
+from .common import Batches, WordHashes, by_arrow, slices, whole_rows
 from .components import components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -243,11 +245,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def work(batches: Batches) -> Iterator[dict]:
         hashes = WordHashes()
         for part in slices(batches):
-            sets = [grams(lowered(t), hashes, n).tobytes() for t in part.column("text").to_pylist()]
-            yield {"sig": part.column("sig"), "elements": sets}
+            sets = [grams(lowered(t), hashes, n) for t in part.column("text").to_pylist()]
+            # Of several texts of one doc_id only that of the signature.
+            kept = [(s, e.tobytes()) for s, e in zip(part.column("sig").to_pylist(), sets, strict=True)
+                    if len(e) and signature(e) == s]
+            yield {"sig": [s for s, _ in kept], "elements": [e for _, e in kept]}
 
-    met = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["sig"])
-    return by_arrow(met.select("sig", "text"), work, "sig bigint, elements binary")
+    met = docs.select("doc_id", "text").join(wanted, "doc_id")
+    return by_arrow(met.select("sig", "text"), work, "sig bigint, elements binary").dropDuplicates(["sig"])
 
 
 def _rooted(rows: DataFrame, name: str, roots: DataFrame) -> DataFrame:
@@ -346,8 +351,8 @@ def prefix(size: int, other: int, most: int) -> int:
     return max(0, size - max(1, -(-(size + other - most) // 2)) + 1)
 
 
-def classes(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+def placed(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, size, sig, root (of its class) and component_id of every row."""
     found = materialise(_grouped(_sketched(docs, n, percent)), "sketches")
     members = found.where("size is not null").select("doc_id", "size", "sig", "sketch")
     blocks = found.where("size is null").select("key", "sig", "leader")
@@ -373,17 +378,50 @@ def classes(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     roots = components(links)
 
     least = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    placed = least.join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    tops = least.join(roots.withColumnRenamed("id", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     named = materialise(
-        placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-        .select("sig", "component_id"), "classes")
+        tops.join(tops.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+        .select("sig", "root", "component_id"), "classes")
     return members.join(named, "sig", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "size", "sig", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
+    return placed(docs, **options).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
+def representatives(docs: DataFrame, *, n: int = 4, percent: int = 85) -> DataFrame:
     """The documents that stand for their class, in all their columns and once each;
-    rows without doc_id cannot be told apart and stay."""
-    kept = classes(docs, **options).where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows without doc_id cannot be told apart and stay. Where rows of one doc_id have
+    different texts, those texts stay that stand for a class, and one row of each."""
+    rows = placed(docs, n=n, percent=percent).where("doc_id is not null").select("doc_id", "sig", "root", "component_id")
+    members = materialise(rows.distinct(), "members")
+    several = members.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
+    first = members.where("component_id = doc_id").groupBy("doc_id", "root").agg(F.min("sig").alias("sig"))
+    known = docs.where("doc_id is not null")
+    columns = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    plain = first.select("doc_id").join(several, "doc_id", "left_anti")
+    named = known.join(plain, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(columns)
+    if not several.isEmpty():
+        chosen = first.join(several, "doc_id", "left_semi").select("doc_id", "sig")
+        named = named.unionByName(_of_signature(known.join(several, "doc_id", "left_semi"), chosen, n))
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def _of_signature(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """One row of `docs` for each (doc_id, sig), the signature of its text, in `chosen`;
+    texts without words have none."""
+    rows = docs.select(whole_rows(docs, "row"), "doc_id", "text")
+
+    def work(batches: Batches) -> Iterator[dict]:
+        hashes = WordHashes()
+        for part in slices(batches):
+            sets = (grams(lowered(t), hashes, n) for t in part.column("text").to_pylist())
+            yield {"row": part.column("row"), "doc_id": part.column("doc_id"),
+                   "sig": [signature(s) if len(s) else None for s in sets]}
+
+    signed = by_arrow(rows, work, StructType([
+        *(rows.schema[c] for c in ("row", "doc_id")), StructField("sig", LongType())])).alias("r")
+    match = F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("r.sig").eqNullSafe(F.col("c.sig"))
+    return signed.join(chosen.alias("c"), match, "left_semi").dropDuplicates(["doc_id", "sig"]).select("row.*")

@@ -72,6 +72,18 @@ def test_classes_of_awkward_rows(spark):
     assert kept.columns == awkward(spark).columns
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = prose(1, 120), prose(2, 120)
+    near_a, near_b = [*a[:-1], "other"], ["other", *b[1:]]
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b), (4, prose(3, 90)), (4, prose(4, 90)), (4, prose(4, 90)), (5, a), (1, [*a[:-1], "third"])]
+    rows = docs(spark, [(d, " ".join(t)) for d, t in rows])
+    found = sorted((r.doc_id, r.component_id) for r in jaccard_join.classes(rows).collect())
+    assert found == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 1)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.representatives(rows).collect()]
+    assert len(kept) == 4 and len({t for d, t in kept if d == 4}) == 2
+    assert " ".join(b) in {t for d, t in kept if d == 1} and len([d for d, _ in kept if d == 1]) == 2
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 30, 400])
 def test_sketches_bound_the_difference(size):
     import numpy as np
