@@ -97,22 +97,25 @@ def hit_names(box: Box) -> list[str]:
     return [f"hit_{i}" for i in range(len(box.phrases))]
 
 
-def scored(hits: DataFrame, box: Box, corpus: Corpus, found: list[int]) -> DataFrame:
-    """`fingerprint` and `rank` (lower is better) of matching documents."""
+def idf_of(corpus: Corpus, n: int) -> float:
+    """Worth of a phrase that `n` documents have."""
+    return max(math.log((corpus.documents - n + 0.5) / (n + 0.5)), _LEAST_IDF)
+
+
+def scored(hits: DataFrame, box: Box, corpus: Corpus, found: list[int], key: str = "fingerprint") -> DataFrame:
+    """`key` and `rank` (lower is better) of matching documents."""
     names = hit_names(box)
     _, counting = box.evaluate([F.col(n) for n in names])
     average = corpus.tokens / corpus.documents if corpus.documents else 1.0
     norm = F.lit(_K1) * (F.lit(1 - _B) + F.lit(_B) * F.col("doc_tokens") / F.lit(average))
     score = F.lit(0.0)
     for name, counts, n in zip(names, counting, found, strict=True):
-        idf = math.log((corpus.documents - n + 0.5) / (n + 0.5))
-        idf = idf if idf > 0 else _LEAST_IDF
-        part = F.lit(idf) * (F.col(name) * F.lit(_K1 + 1)) / (F.col(name) + norm)
+        part = F.lit(idf_of(corpus, n)) * (F.col(name) * F.lit(_K1 + 1)) / (F.col(name) + norm)
         score = score + F.when(counts, part).otherwise(0.0)
-    return hits.select("fingerprint", (-score).alias("rank"))
+    return hits.select(key, (-score).alias("rank"))
 
 
-def measured(hits: DataFrame, box: Box, keep: Column, label: str, *extra: Column):
+def measured(hits: DataFrame, box: Box, keep: Column, label: str, *extra: Column, key: str = "fingerprint"):
     """Write the matching hits once; count per phrase over all of them on the way.
 
     The counters ride on the writing stage itself, which is a result stage, so a
@@ -126,7 +129,7 @@ def measured(hits: DataFrame, box: Box, keep: Column, label: str, *extra: Column
     matched, _ = box.evaluate([F.col(n) for n in names])
     spark = hits.sparkSession
     path = scratch_path(spark, label)
-    kept = watched.filter(matched & keep).select("fingerprint", "doc_tokens", *names)
+    kept = watched.filter(matched & keep).select(key, "doc_tokens", *names)
     kept.write.parquet(path)
     figures = observation.get
     return spark.read.schema(kept.schema).parquet(path), figures
