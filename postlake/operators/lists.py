@@ -35,6 +35,10 @@ from .search import (
     _B, _K1, Corpus, browse, field_weights, hit_names, idf_of, measured, scored, with_tokens,
 )
 
+_LISTED = (
+    "folder int, term string, block bigint, n bigint, most double, shortest int,"
+    " entries array<struct<number:bigint,doc_tokens:int,places:array<bigint>>>"
+)
 #: Bits of a place that hold the position in its field.
 _POSITION = 32
 
@@ -59,15 +63,18 @@ class Lists:
     def dictionary(self) -> DataFrame:
         return self._read("dictionary")
 
+    def listed(self, table: str = "lists") -> DataFrame:
+        return self.spark.read.schema(_LISTED).parquet(f"{self.path}/{table}")
+
     def rows(self, terms: list[str], table: str = "lists") -> DataFrame:
         """Rows of some terms; only their folders are opened."""
         folders = [_folder(F.lit(t), self.folders) for t in terms]
-        return self._read(table).filter(F.col("folder").isin(*folders) & F.col("term").isin(terms))
+        return self.listed(table).filter(F.col("folder").isin(*folders) & F.col("term").isin(terms))
 
     def starting(self, prefix: str) -> DataFrame:
         """Rows of all terms that begin with `prefix`, which the dictionary names."""
         named = self.dictionary.filter(F.col("term").startswith(prefix)).select("folder", "term")
-        return self._read("lists").join(named, ["folder", "term"], "left_semi")
+        return self.listed().join(named, ["folder", "term"], "left_semi")
 
 
 def _folder(term: Column, folders: int) -> Column:
@@ -153,7 +160,10 @@ def write_lists(
         lambda p: p["term"].isNotNull())
     pairs = by_posting.select("number", "doc_tokens", F.inline(follow)).groupBy("term", "number").agg(
         F.min("doc_tokens").alias("doc_tokens"), F.array_sort(F.collect_list("place")).alias("places"))
-    _write(_blocks(pairs, bits), frequent.limit(0), folders, f"{path}/pairs")
+    blocks = materialise(_blocks(pairs, bits), "pairs")
+    frequent = blocks.groupBy("term").agg(F.sum("n").alias("postings")).filter(F.col("postings") > split).select(
+        "term", F.ceil(F.col("postings") / split).alias("parts"))
+    _write(blocks, frequent, folders, f"{path}/pairs")
     spark.createDataFrame([(figures.n, figures.tokens or 0, folders)], "n bigint, tokens bigint, folders int").coalesce(
         1).write.mode("overwrite").parquet(f"{path}/corpus")
     return read_lists(spark, path)

@@ -56,22 +56,22 @@ def stage(raw: DataFrame, run: Run) -> tuple[DataFrame, dict[str, int]]:
 
 
 def ingest(
-    raw: DataFrame, store: Store, run: Run, seen_before: DataFrame | None = None,
+    raw: DataFrame, store: Store, run: Run, unseen: DataFrame | None = None,
     mark: tuple[str, int] | None = None,
 ) -> dict[str, int]:
     """Process one run into the store and return its counters. The same run again
-    right after itself replaces what it wrote. `seen_before` holds (source, fingerprint)
-    of postings that an earlier part of the run kept: they are duplicates here. `mark`
-    names a stream and its batch."""
+    right after itself replaces what it wrote. `unseen` holds (source, fingerprint) of
+    the postings that no earlier part of the run had: all others are duplicates here.
+    `mark` names a stream and its batch."""
     spark = prepare(store.spark)
     staged, counters = stage(raw, run)
     valid = accepted(staged)
     kept_rows, dropped = first_per_fingerprint(valid), duplicates(valid)
-    if seen_before is not None:
-        known = seen_before.select(F.col("source").alias("_s"), F.col("fingerprint").alias("_f"))
+    if unseen is not None:
+        known = unseen.select(F.col("source").alias("_s"), F.col("fingerprint").alias("_f"))
         same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("fingerprint") == F.col("_f"))
-        dropped = dropped.unionByName(kept_rows.join(known, same, "left_semi"))
-        kept_rows = kept_rows.join(known, same, "left_anti")
+        dropped = dropped.unionByName(kept_rows.join(known, same, "left_anti"))
+        kept_rows = kept_rows.join(known, same, "left_semi")
 
     dropped = dropped.withColumns(
         {"reject_reason": F.lit(DUPLICATE), "missing_fields": F.array().cast("array<string>")}

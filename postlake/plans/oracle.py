@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.query import Box
 from ..operators.search import FIELD_WEIGHTS
 from . import corpus
-from .queries import INDEXED, SEARCHES, TAXONOMY, WANTED
+from .queries import DELAY, INDEXED, SEARCHES, TAXONOMY, TOP, WANTED
 
 ORACLES: dict[str, str] = {}
 
@@ -134,6 +134,17 @@ for _name, (_typed, _filters) in SEARCHES.items():
     ORACLES[_name] = _search_sql(_typed, _filters)
 for _name in INDEXED:
     ORACLES[_name.replace("search_", "index_search_")] = ORACLES[_name]
+    ORACLES[_name.replace("search_", "lists_search_")] = ORACLES[_name]
+ORACLES["index_top_k"] = _search_sql(TOP, {}, tail="ORDER BY -score, fingerprint LIMIT 20")
+ORACLES["index_dictionary"] = f"""WITH {POSTINGS}, {_token_table("postings")}
+SELECT w AS term, count(DISTINCT fingerprint) AS postings FROM toks GROUP BY 1"""
+ORACLES["index_phrase_pairs"] = f"""WITH {POSTINGS}, {_token_table("postings")},
+df AS (SELECT w, count(DISTINCT fingerprint) AS n FROM toks GROUP BY 1),
+common AS (SELECT * FROM df WHERE n >= greatest(2, 0.1 * (SELECT n FROM corpus)))
+SELECT a.w || ' ' || b.w AS term, count(DISTINCT a.fingerprint) AS postings, count(*) AS places,
+  any_value(ca.n + cb.n) AS in_lists
+FROM toks a JOIN toks b ON a.fingerprint = b.fingerprint AND a.f = b.f AND a.p + 1 = b.p
+JOIN common ca ON ca.w = a.w JOIN common cb ON cb.w = b.w GROUP BY 1"""
 ORACLES["search_page"] = _search_sql(
     "the of", {}, tail="ORDER BY -score, fingerprint LIMIT 20 OFFSET 20"
 )
@@ -150,7 +161,7 @@ ORACLES["index_refresh_all"] = _search_sql("zyxnew OR zyxkept", {}, source="livi
 ORACLES["search_count"] = _search_sql(
     "the NOT of", {"country": "CH", "workload_min": 70}, counted=True
 )
-ORACLES["index_refresh"] = _search_sql("thatin der", {}, source="living").replace(
+ORACLES["index_refresh"] = _search_sql("thatin OR der", {}, source="living").replace(
     f"{POSTINGS},",
     f"{POSTINGS}, living AS (SELECT * FROM postings WHERE doc_id NOT IN"
     " (SELECT doc_id FROM labels WHERE toxic = 1)),",
@@ -158,7 +169,7 @@ ORACLES["index_refresh"] = _search_sql("thatin der", {}, source="living").replac
 ORACLES["search_browse"] = f"""WITH {POSTINGS}
 SELECT external_id, CAST(NULL AS DOUBLE) AS rank, city, posted_at FROM postings
 WHERE translate(city, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%neuch%'
-  AND translate(company, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%a_m%%'
+  AND translate(company, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%r_a%%'
   AND coalesce(posted_at, first_seen_at) >= '2026-03-01'
 ORDER BY coalesce(posted_at, first_seen_at) DESC, fingerprint LIMIT 50"""
 ORACLES["get_by_fingerprint"] = f"""WITH {POSTINGS}
@@ -534,3 +545,21 @@ SELECT fingerprint, arg_max(source, run) AS source, arg_max(title, run) AS title
   CASE max(run) WHEN 0 THEN '2026-09-01T00:00:00Z' ELSE '2026-09-02T00:00:00Z' END AS last_seen_at
 FROM kept GROUP BY fingerprint"""
 ORACLES["stream_many_counters"] = ORACLES["ingest_counters"].replace("'updated', 0", "'updated', CAST(0 AS BIGINT)")
+
+
+# What a stream keeps: no row older than the latest time of the waves before less the
+# delay, and of a posting no row while the one that it last kept is remembered.
+ORACLES["stream_watermark_dedup"] = f"""WITH days AS (
+  SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS external_id, doc_id % 3 AS wave, doc_id % 3 AS day FROM documents
+  UNION ALL SELECT doc_id, source, CAST(doc_id AS VARCHAR), doc_id % 3 + 1, doc_id % 3 + 1 FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, source, CAST(doc_id AS VARCHAR), doc_id % 3 + 3, doc_id % 3 + 3 FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, source, doc_id || '-late', doc_id % 3 + 2, doc_id % 3 FROM documents WHERE doc_id % 7 = 0),
+sightings AS (SELECT *, TIMESTAMP '2026-08-01' + to_days(CAST(day AS INT)) + to_seconds(doc_id % 3600) AS at FROM days),
+marks AS (SELECT w.wave, max(s.at) - INTERVAL '{DELAY}' AS mark FROM (SELECT DISTINCT wave FROM sightings) w
+  LEFT JOIN sightings s ON s.wave < w.wave GROUP BY 1),
+timely AS (SELECT s.*, m.mark FROM sightings s JOIN marks m USING (wave) WHERE m.mark IS NULL OR s.at >= m.mark),
+kept AS (SELECT t.* FROM timely t WHERE NOT EXISTS (SELECT 1 FROM timely o WHERE o.source = t.source
+  AND o.external_id = t.external_id AND o.wave < t.wave AND o.at + INTERVAL '{DELAY}' > t.mark))
+SELECT source, external_id, 'posting ' || any_value(doc_id) AS title,
+  '2026-09-0' || (min(wave) + 1) || 'T00:00:00Z' AS first_seen_at, '2026-09-0' || (max(wave) + 1) || 'T00:00:00Z' AS last_seen_at
+FROM kept GROUP BY 1, 2"""

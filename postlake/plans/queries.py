@@ -13,7 +13,7 @@ from ..functions.numbers import to_float
 from ..functions.text import decode_entities, html_to_text, slug, tokens
 from ..functions.variants import text_of
 from ..operators import (
-    dedup, enrich, index, jsonld, normalise as norm, reports, search, state as st, validate,
+    dedup, enrich, index, jsonld, lists, normalise as norm, reports, search, state as st, validate,
 )
 from ..schema import RAW_SCHEMA
 from ..session import materialise, prepare, scratch_path
@@ -65,6 +65,10 @@ def _ranks(df: DataFrame) -> DataFrame:
 # -- search ---------------------------------------------------------------
 
 
+def _lists(spark: SparkSession, folder: str, bits: int = 8) -> lists.Lists:
+    return lists.write_lists(corpus.postings(spark, folder), scratch_path(spark, "lists"), folders=8, bits=bits)
+
+
 def _register_searches() -> None:
     def scanned(text: str, filters: dict) -> Query:
         return lambda spark, folder: _ranks(
@@ -82,6 +86,13 @@ def _register_searches() -> None:
 
         return run
 
+    def listed(text: str, filters: dict) -> Query:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            stored = _lists(spark, folder)
+            return _ranks(lists.search_lists(stored, corpus.postings(spark, folder), text, limit=None, **filters))
+
+        return run
+
     for name, (text, filters) in SEARCHES.items():
         function = scanned(text, filters)
         function.__name__ = name
@@ -90,6 +101,9 @@ def _register_searches() -> None:
         function = indexed(*SEARCHES[name])
         function.__name__ = name.replace("search_", "index_search_")
         query(function)
+        function = listed(*SEARCHES[name])
+        function.__name__ = name.replace("search_", "lists_search_")
+        query(function)
 
 
 _register_searches()
@@ -122,10 +136,43 @@ def search_offset(spark, folder):
     return _ranks(found)
 
 
+@query
+def index_dictionary(spark, folder):
+    """Every term of the index and the postings that have it."""
+    return _lists(spark, folder).dictionary.select("term", "postings")
+
+
+@query
+def index_phrase_pairs(spark, folder):
+    """Every two common words that follow each other: the postings a phrase of them
+    reads, the places in these, and the postings that the lists of both words hold."""
+    stored = _lists(spark, folder)
+    pairs = stored.listed("pairs").select("term", F.inline("entries")).groupBy("term").agg(
+        F.count("*").alias("postings"), F.sum(F.size("places")).cast("bigint").alias("places"))
+    words = stored.dictionary.select("term", F.col("postings").alias("n"))
+    named = pairs.select("*", *[F.split_part("term", F.lit(" "), F.lit(i + 1)).alias(w) for i, w in enumerate("ab")])
+    return (
+        named.join(words.withColumnsRenamed({"term": "a", "n": "_a"}), "a")
+        .join(words.withColumnsRenamed({"term": "b", "n": "_b"}), "b")
+        .select("term", "postings", "places", (F.col("_a") + F.col("_b")).alias("in_lists"))
+    )
+
+
+#: Words of which some are rare, so that few blocks can hold the best postings.
+TOP = "thatin OR belich OR neuchatel OR the"
+
+
+@query
+def index_top_k(spark, folder):
+    """The best postings by block bounds."""
+    found, _ = lists.top_k(_lists(spark, folder, bits=3), corpus.postings(spark, folder), TOP, 20)
+    return _ranks(found)
+
+
 @query
 def search_browse(spark, folder):
     found = search.search(
-        corpus.postings(spark, folder), "  ", limit=50, city="neuch", company="a_m%",
+        corpus.postings(spark, folder), "  ", limit=50, city="neuch", company="r_a%",
         posted_since="2026-03-01",
     )
     return found.select("external_id", "rank", "city", "posted_at")
@@ -153,7 +200,7 @@ def index_refresh(spark, folder):
     fresh = index.refresh_index(
         index.read_index(spark, path), now.filter("toxic = 0"), index.corpus_of(now), gone
     )
-    return _ranks(index.search_index(fresh, now, "thatin der", limit=None))
+    return _ranks(index.search_index(fresh, now, "thatin OR der", limit=None))
 
 
 @query
@@ -792,22 +839,28 @@ def stream_ingest(spark, folder):
     )
 
 
+def _fed(spark, folder, waves: list[DataFrame], **options) -> Store:
+    """A store fed by one stream, whose landing folder grows by a wave of rows at a time;
+    each wave is written by all tasks and is a micro-batch."""
+    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "stream")
+    store = Store(spark, scratch_path(spark, "streamed"))
+    for day, wave in enumerate(waves, 1):
+        wave.write.mode("append").json(landing)
+        started = stream.start(
+            stream.read_landing(spark, landing), store, checkpoint,
+            clock=lambda number, day=day: f"2026-09-{day:02d}T00:00:00Z", **options,
+        )
+        started.awaitTermination()
+        if started.exception():
+            raise started.exception()
+    return store
+
+
 def _many_batches(spark, folder) -> Store:
-    """The postings in four files, one micro-batch each; repeats fall into others."""
+    """The postings in four micro-batches; repeats fall into others."""
     raw = _two_sources(spark, folder)
-    landing = scratch_path(spark, "landing")
     columns = [*[c for c in RAW_SCHEMA.names if c in raw.columns], "ingest_seq"]
-    for part in range(4):
-        raw.filter(F.col("ingest_seq") % 4 == part).select(*columns).coalesce(1).write.mode("append").json(landing)
-    store = Store(spark, scratch_path(spark, "streamed"))
-    started = stream.start(
-        stream.read_landing(spark, landing, files_per_batch=1), store, scratch_path(spark, "stream"),
-        clock=lambda number: f"2026-09-0{number + 1}T00:00:00Z",
-    )
-    started.awaitTermination()
-    if started.exception():
-        raise started.exception()
-    return store
+    return _fed(spark, folder, [raw.filter(F.col("ingest_seq") % 4 == part).select(*columns) for part in range(4)])
 
 
 @query
@@ -819,3 +872,41 @@ def stream_many_batches(spark, folder):
 @query
 def stream_many_counters(spark, folder):
     return _many_batches(spark, folder).metrics().groupBy("counter").agg(F.sum("n").alias("n"))
+
+
+#: Waves of the stream with late rows, a day apart, and how long it remembers a posting.
+WAVES, DELAY = 6, "6 hours"
+
+
+def _sightings(spark, folder) -> DataFrame:
+    """Every document as a posting that is seen on one of three days; half of them again
+    on the next day, a fifth three days later, and for a seventh another posting that
+    comes two days late. Columns of the landing and the wave that a row comes in."""
+    docs = corpus.documents(spark, folder, "doc_id", "text", "source").repartition(8)
+    k = F.col("doc_id")
+    day = k % 3
+
+    def seen(wave, on, ident, wanted):
+        return F.when(wanted, F.struct(
+            wave.cast("int").alias("wave"), ident.alias("external_id"),
+            F.date_format(F.timestamp_add("SECOND", k % 3600, F.timestamp_add("DAY", on.cast("int"), F.lit("2026-08-01").cast("timestamp"))),
+                          "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("scraped_at")))
+
+    ident = k.cast("string")
+    rows = F.array_compact(F.array(
+        seen(day, day, ident, F.lit(True)), seen(day + 1, day + 1, ident, k % 2 == 0),
+        seen(day + 3, day + 3, ident, k % 5 == 0), seen(day + 2, day, F.concat(ident, F.lit("-late")), k % 7 == 0)))
+    return docs.select(
+        "source", F.concat(F.lit("https://x.example.org/"), ident).alias("url"),
+        F.concat(F.lit("posting "), ident).alias("title"), F.col("text").alias("description"), k.alias("ingest_seq"),
+        F.inline(rows))
+
+
+@query
+def stream_watermark_dedup(spark, folder):
+    """Six micro-batches with repeats, late rows and postings that come back after the
+    stream has forgotten them."""
+    rows = materialise(_sightings(spark, folder), "sightings")
+    waves = [rows.filter(F.col("wave") == n).drop("wave") for n in range(WAVES)]
+    return _fed(spark, folder, waves, delay=DELAY).state().select(
+        "source", "external_id", "title", "first_seen_at", "last_seen_at")

@@ -1,9 +1,16 @@
 """Postings that keep arriving: landing folder to state, micro-batch by micro-batch.
 
-A stream is one run: of a posting that occurs several times in it, in one micro-batch
-or in several, the first record wins and the others are duplicates. The state counts
-the micro-batches of a stream, so one that is repeated after a failure changes nothing,
-and several streams, or a stream and batch runs, write the same store.
+Of a posting that occurs several times, in one micro-batch or in several, the first
+record wins and the others are duplicates, as long as the stream remembers it: the keys
+of valid postings pass a state store under a watermark on `scraped_at` (the time of
+reading where a row has none), which forgets a key once the watermark is `delay` past
+its first record. So the state is bounded by the postings of that time, whatever the
+age of the stream. A row that is older than the watermark is late and dropped with the
+duplicates. Only keys are in the state and its shuffle; the rows of a micro-batch meet
+the keys that are new in it.
+
+The store counts the micro-batches of a stream, so one that is repeated after a failure
+changes nothing, and several streams, or a stream and batch runs, write the same store.
 """
 
 from __future__ import annotations
@@ -18,12 +25,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.enrich import Step
+from ..operators.normalise import normalise
+from ..operators.validate import accepted, judge
 from ..plans.ingest import Run, ingest
 from ..plans.store import Store
 from ..schema import RAW_SCHEMA, RUN_COLUMNS
-from ..sources.archive import read_archive
-
-_KEYS = "source string, fingerprint string, batch int"
+from ..session import scratch_path
 
 
 def utc_now() -> str:
@@ -47,13 +54,22 @@ def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     micro-batches, with bounded state. Which of the repeats stays is not fixed;
     the first-wins rule inside a micro-batch is that of the batch job."""
     return (
-        stream.withColumn("_at", F.to_timestamp("scraped_at"))
+        stream.withColumn("_at", F.coalesce(F.try_to_timestamp("scraped_at"), F.current_timestamp()))
         .withWatermark("_at", delay)
         .dropDuplicatesWithinWatermark(["source", "fingerprint"])
         .drop("_at")
     )
 
 
+def new_keys(stream: DataFrame, delay: str) -> DataFrame:
+    """(source, fingerprint) of valid postings of a landing stream that it has not seen
+    within `delay`: once for each, whichever record of a micro-batch they come from."""
+    stamped = stream.withColumns({"run_id": F.lit(""), "run_seq": F.lit(0).cast("bigint")})
+    read_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    valid = accepted(judge(normalise(stamped, read_at)))
+    return deduplicated(valid.select("source", "fingerprint", "scraped_at"), delay).select("source", "fingerprint")
+
+
 def start(
     stream: DataFrame,
     store: Store,
@@ -61,30 +77,31 @@ def start(
     steps: Iterable[tuple[str, Step]] = (),
     clock: Callable[[int], str] | None = None,
     available_now: bool = True,
+    delay: str = "30 days",
 ) -> StreamingQuery:
     """Feed a landing stream into the store. `clock` gives a micro-batch its
-    `seen_at`. The keys a micro-batch has kept are written beside the state, a folder
-    for each, and are what later ones drop duplicates by."""
+    `seen_at`; `delay` is how long a posting is remembered."""
     steps = list(steps)
+    keys = new_keys(stream, delay)
+    both = stream.withColumn("new_key", F.lit(False)).unionByName(
+        keys.withColumn("new_key", F.lit(True)), allowMissingColumns=True)
 
     def run_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        # Written once: each action on the batch itself would work through the state again.
+        path = scratch_path(spark, "micro-batch")
+        batch.write.partitionBy("new_key").parquet(path)
+        written = spark.read.schema(batch.schema).parquet(path)
+        rows = written.filter(~F.col("new_key")).drop("new_key")
+        if rows.isEmpty():
+            return
         # A new checkpoint is a new stream, whose batches are numbered from 0 again.
         identity = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         name = hashlib.sha1(identity.encode()).hexdigest()[:12]
         seen_at = clock(number) if clock else utc_now()
-        unordered = F.monotonically_increasing_id()
-        raw = batch.withColumn("ingest_seq", F.coalesce("ingest_seq", unordered))
+        raw = rows.withColumn("ingest_seq", F.coalesce("ingest_seq", F.monotonically_increasing_id()))
         run = Run(f"{name}-{number:09d}", number, seen_at, steps=steps)
-        keys = store.folder(f"stream_keys/{name}")
-        earlier = None
-        if number:
-            # Not the folder of this batch: it may have been written before a failure.
-            earlier = spark.read.schema(_KEYS).option("basePath", keys).parquet(keys).filter(F.col("batch") < number)
-        ingest(raw, store, run, earlier, (name, number))
-        kept = read_archive(spark, store.folder("archive")).filter(F.col("run_id") == run.run_id)
-        kept.select(F.nullif("source", F.lit("")).alias("source"), "fingerprint").write.mode("overwrite").parquet(
-            f"{keys}/batch={number}")
-
-    writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
+        ingest(raw, store, run, written.filter("new_key").select("source", "fingerprint"), (name, number))
+
+    writer = both.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -297,6 +297,34 @@ def test_a_batch_that_was_published_is_left_alone(spark):
     assert {r.external_id: r.title for r in store.state().collect()} == {"1": "T", "2": "run2 word2"}
 
 
+def test_stream_forgets_after_the_delay(spark):
+    """Days of new postings, each repeated on the next day: the state holds those of the
+    time that is remembered, whatever the age of the stream; late rows are dropped."""
+    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "ck")
+    store, held = Store(spark, scratch_path(spark, "bounded")), []
+    for day in range(8):
+        new = [{"external_id": f"{day}-{i}", "title": f"day {day}", "scraped_at": f"2026-08-{day + 1:02d}T00:00:{i:02d}Z"} for i in range(20)]
+        again = [{"external_id": f"{day - 1}-{i}", "title": "again", "scraped_at": f"2026-08-{day + 1:02d}T00:00:30Z"} for i in range(20) if day]
+        late = [{"external_id": f"late-{day}", "title": "late", "scraped_at": "2026-08-01T00:00:00Z"}] if day > 4 else []
+        raw(spark, *new, *again, *late).write.mode("append").json(landing)
+        query = stream.start(stream.read_landing(spark, landing), store, checkpoint, clock=lambda n: NOW, delay="6 hours")
+        query.awaitTermination()
+        assert query.exception() is None
+        held.append(max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]))
+    rows = store.state().collect()
+    assert len(rows) == 160 and {r.title for r in rows} == {f"day {d}" for d in range(8)}
+    assert max(held) <= 60
+    counters = {r.counter: r.n for r in store.metrics().groupBy("counter").agg(F.sum("n").alias("n")).collect()}
+    assert counters["dropped/duplicate"] == 7 * 20 + 3
+    assert stream_folders(store) == {"archive", "rejects", "state", "published", "run_metrics"}
+
+
+def stream_folders(store):
+    import pathlib
+
+    return {p.name for p in pathlib.Path(store.path.removeprefix("file:")).iterdir()}
+
+
 def test_stream_dedup_within_watermark(spark):
     rows = [{"external_id": "1", "scraped_at": NOW}, {"external_id": "1", "scraped_at": NOW},
             {"external_id": "2", "scraped_at": NOW}]
