@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let, once
-from ..session import materialise
+from ..session import keyed, materialise
 from .filters import condition
 from .query import Box, Phrase
 from .search import (
@@ -132,7 +132,7 @@ def write_lists(
     spark = state.sparkSession
     told = once(with_tokens(state), "entries", _entries(F.col("t")))
     numbered = told.select(F.monotonically_increasing_id().alias("number"), "fingerprint", "doc_tokens", "entries")
-    numbered.write.mode("overwrite").parquet(f"{path}/forward")
+    keyed(numbered.write).mode("overwrite").parquet(f"{path}/forward")
     forward = spark.read.parquet(f"{path}/forward")
     figures = forward.agg(F.count("*").alias("n"), F.sum("doc_tokens").alias("tokens")).first()
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import LIST_FIELDS
+from ..session import materialise
 from .filters import condition, seen_day
 
 FACETS = (
@@ -26,6 +27,35 @@ def facets(state: DataFrame, field: str, limit: int = 30, **filters) -> DataFram
     return _ranked(kept.groupBy(F.col(field).alias("value")).agg(F.count("*").alias("count")), limit)
 
 
+def _by_each(rows: DataFrame, fields: tuple[str, ...], *also: str, **figures) -> DataFrame:
+    """field, value and `figures` for each value of each of the columns, and of the whole
+    table under the field NULL: one pass, in which each row stands once for each column
+    and is combined before the shuffle. `also` are columns that the figures read."""
+    columns = [F.col(f).cast("string").alias(f) for f in fields]
+    sets = rows.select(*columns, *also).groupingSets([[F.col(f)] for f in fields] + [[]], *[F.col(f) for f in fields])
+    counted = sets.agg(*[made.alias(name) for name, made in figures.items()], *[F.grouping(f).alias(f"_{f}") for f in fields])
+    field, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for f in fields:
+        field = F.when(F.col(f"_{f}") == 0, F.lit(f)).otherwise(field)
+        value = F.when(F.col(f"_{f}") == 0, F.col(f)).otherwise(value)
+    return counted.select(field.alias("field"), value.alias("value"), *figures)
+
+
+def _leading(counted: DataFrame, limit: int) -> DataFrame:
+    """The most frequent values of each field; a task passes on no more than `limit` of one."""
+    order = Window.partitionBy("field").orderBy(F.desc("count"), F.asc("value"))
+    kept = counted.filter((F.col("value") != "") & F.col("field").isNotNull()).select("field", "value", "count")
+    return kept.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).drop("_place")
+
+
+def all_facets(state: DataFrame, limit: int = 30, fields: tuple[str, ...] = FACETS, **filters) -> DataFrame:
+    """`facets` of several columns (field, value, count) from one scan."""
+    if unknown := set(fields) - set(FACETS):
+        raise ValueError(f"unknown facet {min(unknown)!r}; one of {', '.join(sorted(FACETS))}")
+    kept = state.filter(condition(**filters))
+    return _leading(_by_each(kept, fields, count=F.count("*")), limit)
+
+
 def top_terms(state: DataFrame, field: str = "skills", limit: int = 30, **filters) -> DataFrame:
     """Entries of a list column and how often they occur, repeats included."""
     if field not in LIST_FIELDS:
@@ -60,11 +90,24 @@ def totals(state: DataFrame) -> DataFrame:
 
 
 def summary(state: DataFrame) -> dict[str, DataFrame]:
-    """The totals with the leading sources and countries."""
+    """The totals with the leading sources and countries, from one scan: counts by
+    value are written once, a row for each value."""
+    rows = state.withColumn("_day", seen_day()).withColumn("_placed", F.when(F.col("lat").isNotNull(), 1).otherwise(0))
+    figures = {"count": F.count("*"), "oldest": F.min("_day"), "newest": F.max("_day"), "geolocated": F.sum("_placed")}
+    counted = materialise(
+        _by_each(rows, ("source", "company", "country"), "_day", "_placed", **figures), "summary")
+    whole = F.col("field").isNull()
+
+    def values(field: str):
+        return F.count_if(F.coalesce(F.col("field") == field, F.lit(False)) & F.col("value").isNotNull())
+
     return {
-        "totals": totals(state),
-        "by_source": facets(state, "source", limit=50),
-        "by_country": facets(state, "country", limit=20),
+        "totals": counted.agg(
+            F.coalesce(F.sum(F.when(whole, F.col("count"))), F.lit(0)).alias("total"),
+            values("source").alias("sources"), values("company").alias("companies"),
+            *[F.max(F.when(whole, F.col(c))).alias(c) for c in ("oldest", "newest", "geolocated")]),
+        "by_source": _ranked(_leading(counted.filter("field = 'source'"), 50).select("value", "count"), 50),
+        "by_country": _ranked(_leading(counted.filter("field = 'country'"), 20).select("value", "count"), 20),
     }
 
 

@@ -222,3 +222,16 @@ def count(state: DataFrame, query: str | None = None, **filters) -> DataFrame:
 def get(state: DataFrame, fingerprint: str) -> DataFrame:
     """One posting by its key."""
     return state.filter(F.col("fingerprint") == fingerprint)
+
+
+#: Keys that are asked of a table by value, so that row groups without them are skipped.
+_BY_VALUE = 500
+
+
+def get_many(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """The postings of some keys (fingerprint): a few are asked by value, more are joined."""
+    wanted = keys.select("fingerprint").filter("fingerprint is not null").distinct()
+    few = wanted.limit(_BY_VALUE + 1).collect()
+    if len(few) <= _BY_VALUE:
+        return state.filter(F.col("fingerprint").isin([r.fingerprint for r in few]))
+    return state.join(wanted, "fingerprint", "left_semi").select(*state.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.query import Box
 from ..operators.search import FIELD_WEIGHTS
 from . import corpus
-from .queries import DELAY, INDEXED, SEARCHES, TAXONOMY, TOP, WANTED
+from .queries import ALIASES, DELAY, INDEXED, SEARCHES, SKILL_COUNT, TAXONOMY, TOP, WANTED
 
 ORACLES: dict[str, str] = {}
 
@@ -172,6 +172,8 @@ WHERE translate(city, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
   AND translate(company, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%r_a%%'
   AND coalesce(posted_at, first_seen_at) >= '2026-03-01'
 ORDER BY coalesce(posted_at, first_seen_at) DESC, fingerprint LIMIT 50"""
+ORACLES["get_many"] = f"""WITH {POSTINGS}
+SELECT fingerprint, external_id, title, description FROM postings WHERE doc_id IN (SELECT doc_id FROM labels)"""
 ORACLES["get_by_fingerprint"] = f"""WITH {POSTINGS}
 SELECT fingerprint, external_id, url, title, description FROM postings WHERE fingerprint = {_lit(WANTED)}"""
 
@@ -190,6 +192,10 @@ ORACLES["facet_company"] = _facet("company", 30, _filter({"country": "CH", "sala
 ORACLES["facet_city_filtered"] = _facet(
     "city", 30, _filter({"lang": "en", "skills": ["sql"], "posted_since": "2026-02-01"})
 )
+ORACLES["facets_all"] = f"""WITH {POSTINGS}, kept AS (SELECT * FROM postings WHERE coalesce(workload_max, workload_min) >= 50),
+values_ AS ({" UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value FROM kept" for f in ("source", "region", "city", "company", "country", "contract_type", "lang"))}),
+counted AS (SELECT field, value, count(*) AS count FROM values_ WHERE value <> '' GROUP BY 1, 2)
+SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY field ORDER BY count DESC, value) <= 20"""
 ORACLES["summary_by_country"] = _facet("country", 20)
 ORACLES["top_skills"] = f"""WITH {POSTINGS}, t AS (SELECT unnest(skills) AS value FROM postings
 WHERE coalesce(workload_max, workload_min) >= 0)
@@ -495,6 +501,20 @@ SELECT external_id, array_to_string(list_filter([{', '.join(tests)}], lambda x:
 
 
 ORACLES["skill_tagging"] = _tagging()
+ORACLES["skill_tagging_table"] = f"""WITH spoken AS (SELECT doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
+drawn AS (SELECT doc_id, ws, unnest(range({ALIASES})) AS i FROM spoken),
+aliases AS (SELECT DISTINCT array_to_string(list_slice(ws, 5 * i + 1, 5 * i + 1 + i % 3), ' ') AS alias,
+  's' || (doc_id * {ALIASES} + i) % {SKILL_COUNT} AS skill FROM drawn WHERE len(ws) > 5 * i),
+fields AS (SELECT doc_id, 0 AS f, {words("coalesce(split_part(text, chr(10), 1), '')")} AS ws FROM documents
+  UNION ALL SELECT doc_id, 1, ws FROM spoken),
+placed AS (SELECT doc_id, f, ws, generate_subscripts(ws, 1) AS p FROM fields),
+grams AS (SELECT doc_id, f, p, n, array_to_string(list_slice(ws, p, p + n - 1), ' ') AS gram
+  FROM placed, (SELECT unnest([1, 2, 3]) AS n) WHERE p + n - 1 <= len(ws)),
+met AS (SELECT DISTINCT doc_id, f, p, n, gram FROM grams WHERE gram IN (SELECT alias FROM aliases)),
+inner_ AS (SELECT DISTINCT m.doc_id, m.f, m.p + k AS p, s AS n FROM met m, (SELECT unnest([1, 2]) AS s), (SELECT unnest([0, 1, 2]) AS k)
+  WHERE s < m.n AND k + s <= m.n),
+free AS (SELECT m.* FROM met m ANTI JOIN inner_ i ON m.doc_id = i.doc_id AND m.f = i.f AND m.p = i.p AND m.n = i.n)
+SELECT doc_id, string_agg(DISTINCT skill, '|' ORDER BY skill) AS skills FROM free JOIN aliases ON alias = gram GROUP BY 1"""
 ORACLES["skill_tagging_joined"] = _tagging()
 ORACLES["skill_tagging_signs"] = r"""SELECT doc_id, array_to_string(list_filter([
   CASE WHEN doc_id % 3 = 0 THEN 'cpp' END, CASE WHEN doc_id % 3 <> 1 THEN 'csharp' END,

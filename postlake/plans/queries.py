@@ -16,7 +16,7 @@ from ..operators import (
     dedup, enrich, index, jsonld, lists, normalise as norm, reports, search, state as st, validate,
 )
 from ..schema import RAW_SCHEMA
-from ..session import materialise, prepare, scratch_path
+from ..session import keyed, materialise, prepare, scratch_path
 from ..sources import api, archive, pages
 from ..sources.tables import quota_per_source, read_table, stamp, union_sources
 from ..streaming import ingest as stream
@@ -169,6 +169,18 @@ def index_top_k(spark, folder):
     return _ranks(found)
 
 
+@query
+def get_many(spark, folder):
+    """The postings of all labelled documents, from a table with filters of its keys."""
+    rows = corpus.postings(spark, folder).select("fingerprint", "external_id", "title", "description")
+    path = scratch_path(spark, "keyed")
+    keyed(rows.repartition(8).write).parquet(path)
+    labelled = read_table(spark, folder, "labels", "doc_id").distinct()
+    keys = corpus.documents(spark, folder, "doc_id", "source").join(labelled, "doc_id", "left_semi").select(
+        norm.fingerprint(F.col("source"), F.col("doc_id").cast("string"), F.lit(None)).alias("fingerprint"))
+    return search.get_many(spark.read.parquet(path), keys)
+
+
 @query
 def search_browse(spark, folder):
     found = search.search(
@@ -281,6 +293,13 @@ def summary(spark, folder):
     return reports.summary(_light(spark, folder))["totals"]
 
 
+@query
+def facets_all(spark, folder):
+    """Nine facets from one scan."""
+    return reports.all_facets(_light(spark, folder).withColumns({
+        "remote_policy": F.lit(None).cast("string"), "seniority": F.lit("")}), 20, workload_min=50)
+
+
 @query
 def summary_by_country(spark, folder):
     return reports.summary(_light(spark, folder))["by_country"]
@@ -739,6 +758,24 @@ def skill_tagging_signs(spark, folder):
     return step(docs).select("doc_id", F.array_join("skills", "|").alias("skills"))
 
 
+#: Aliases that each document gives to the taxonomy: runs of one to three of its words.
+ALIASES, SKILL_COUNT = 20, 97
+
+
+@query
+def skill_tagging_table(spark, folder):
+    """Tagging by a table of aliases that are drawn from the texts themselves."""
+    docs = corpus.documents(spark, folder, "doc_id", "text")
+    given = materialise(docs.select("doc_id", tokens(F.col("text")).alias("t")), "drawn")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(ALIASES - 1)), lambda i: F.struct(
+        F.array_join(F.slice("t", 5 * i + 1, 1 + i % 3), " ").alias("alias"),
+        F.concat(F.lit("s"), (F.col("doc_id") * ALIASES + i) % SKILL_COUNT).alias("skill")))
+    taxonomy = given.select(F.inline(drawn)).filter("alias <> ''")
+    texts = docs.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("description"))
+    found = enrich.tagged(texts, taxonomy, "doc_id", ("title", "description"))
+    return found.select("doc_id", F.array_join("skills", "|").alias("skills"))
+
+
 def _seniority(row: dict) -> dict | None:
     """A plain Python step that fails on rows without a company."""
     return {"seniority": "senior" if "AG" in row["company"].split() else None}

@@ -23,7 +23,7 @@ from ..operators.index import Index, read_index, refresh_index, write_index
 from ..operators.search import Corpus, token_count
 from ..operators.state import overlay_changes
 from ..schema import POSTING_FIELDS, RAW_SCHEMA, RUN_COLUMNS, STATE_COLUMNS, conform
-from ..session import materialise
+from ..session import keyed, materialise
 
 #: Columns the store keeps beside a posting: when it was written, how long it is.
 _KEPT = {"version": T.LongType(), "doc_tokens": T.IntegerType()}
@@ -163,11 +163,9 @@ class Store:
             old = self.rows(base, touched)
             counted = counters(old)
             place = f"state/{uuid.uuid4().hex}"
-            (
-                change(old, version).withColumn("bucket", self.bucket_of())
-                .sortWithinPartitions("bucket", "fingerprint")
-                .write.partitionBy("bucket").parquet(self.folder(place))
-            )
+            changed = change(old, version).withColumn("bucket", self.bucket_of())
+            ordered = changed.sortWithinPartitions("bucket", "fingerprint")
+            keyed(ordered.write).partitionBy("bucket").parquet(self.folder(place))
             folders = dict(base.folders) if base else {}
             for bucket in touched:
                 system, written = self._file(f"{place}/bucket={bucket}")

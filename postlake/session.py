@@ -50,6 +50,15 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def keyed(writer, column: str = "fingerprint", values: int = 1_000_000):
+    """A Parquet writer that adds a Bloom filter of `column` to each row group, of up to
+    `values` values: a look-up by key skips the groups that do not have it."""
+    return (
+        writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{column}", str(values))
+    )
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and go on from the written table:
     used where several results need the same expensive rows."""

@@ -336,3 +336,17 @@ def test_stream_dedup_within_watermark(spark):
              .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
     query.awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_tagging_by_a_table(spark):
+    taxonomy = spark.createDataFrame(
+        [("Data Engineer", "data"), ("engineer", "engineering"), ("senior data engineer", "senior"), ("SQL", "sql"), ("sql", "databases"),
+         ("Ingénieur", "engineering"), ("C++", "c"), (None, "none"), ("", "none"), ("the data the", "loop"), ("sql", None)], "alias string, skill string")
+    rows = [(1, "Senior Data-Engineer", "engineer"), (2, "data engineer", None), (3, "nothing here", "SQL sql"), (4, None, "ingenieur"),
+            (5, "the data the data the", ""), (6, "", "c")]
+    df = spark.createDataFrame(rows, "id long, title string, description string")
+    found = {r.id: r.skills for r in enrich.tagged(df, taxonomy, "id").collect()}
+    assert found == {1: ["engineering", "senior"], 2: ["data"], 3: ["databases", "sql"], 4: ["engineering"], 5: ["loop"], 6: ["c"]}
+    assert enrich.tagged(df, taxonomy.limit(0), "id").collect() == []
+    plan = enrich.tagged(df, taxonomy, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "description" not in plan.split("Exchange", 1)[0] and "ingenieur" not in plan

@@ -246,3 +246,54 @@ def test_rank_equals_a_full_text_engine(spark):
             assert got.keys() == dict(want).keys(), typed
             for key, rank in want:
                 assert got[key] == pytest.approx(rank, abs=1e-9), (typed, key)
+
+
+def test_all_facets_are_single_ones_from_one_scan(spark, tmp_path):
+    from postlake.plans import corpus as given
+
+    path = str(tmp_path / "state")
+    given.postings(spark, "/root/testdata/sf0.001").withColumn("remote_policy", F.lit(None).cast("string")).withColumn(
+        "seniority", F.lit("")).write.parquet(path)
+    state = spark.read.parquet(path)
+    whole = reports.all_facets(state, 3, country="CH")
+    single = [(f, r.value, r["count"]) for f in reports.FACETS for r in reports.facets(state, f, 3, country="CH").collect()]
+    assert sorted(map(tuple, whole.collect())) == sorted(single)
+    text = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("FileScan") == 1 and "Expand" in text and "WindowGroupLimit" in text
+    with pytest.raises(ValueError):
+        reports.all_facets(state, fields=("title",))
+    told = reports.summary(state)
+    assert [tuple(r) for r in told["by_source"].collect()] == [tuple(r) for r in reports.facets(state, "source", 50).collect()]
+    assert [tuple(r) for r in told["totals"].collect()] == [tuple(r) for r in reports.totals(state).collect()]
+    none = state.limit(0)
+    assert [tuple(r) for r in reports.summary(none)["totals"].collect()] == [tuple(r) for r in reports.totals(none).collect()]
+
+
+def test_a_look_up_by_key_skips_row_groups(spark, tmp_path):
+    from postlake.session import keyed
+
+    path = str(tmp_path / "keyed")
+    rows = spark.range(40_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("fingerprint"), F.repeat(F.lit("x"), 200).alias("text"))
+    keyed(rows.repartition(1).write.option("parquet.block.size", 1 << 18)).parquet(path)
+    table = spark.read.parquet(path)
+    wanted = rows.limit(1).select("fingerprint")
+    found = search.get_many(table, wanted)
+    assert found.count() == 1
+
+    def scanned(df):
+        df.collect()
+        leaves, stack = [], [df._jdf.queryExecution().executedPlan()]
+        while stack:
+            node = stack.pop()
+            if "Adaptive" in node.nodeName():
+                node = node.executedPlan()
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+            if not children.size():
+                leaves.append(node.metrics().apply("numOutputRows").value())
+        return sum(leaves)
+
+    assert scanned(found) < 40_000 / 4
+    absent = table.filter(F.col("fingerprint") == "0" * 39 + "g")
+    assert scanned(absent) == 0
+    assert search.get_many(table, rows.select("fingerprint")).count() == 40_000
