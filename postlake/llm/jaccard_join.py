@@ -278,8 +278,9 @@ def _by_difference(met: DataFrame, vertices: DataFrame, sets: DataFrame, roots:
     cluster = components(met).select(F.col("id").alias("sig"), F.col("root").alias("cluster"))
     rows = _rooted(vertices.join(cluster, "sig").select("sig", "size", "cluster"), "sig", roots)
     rows = rows.withColumnRenamed("root_sig", "root")
-    open_ = rows.groupBy("cluster").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    # Narrow tables by cluster are written, so that a join with them can split a large one.
+    open_ = materialise(rows.groupBy("cluster").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high"), "open")
     rows = materialise(rows.join(open_.select("cluster", "n"), "cluster").join(sets, "sig"), "clusters")
 
     def each(batches: Batches) -> Iterator[dict]:
@@ -294,8 +295,8 @@ def _by_difference(met: DataFrame, vertices: DataFrame, sets: DataFrame, roots:
     # An element that one set has needs no look-up: it can only lengthen the difference.
     counts = materialise(flat.groupBy("cluster", "element").agg(F.count("*").alias("held")).where("held > 1").join(
         open_.select("cluster", "n"), "cluster"), "counts")
-    centre = counts.where("2 * held > n").groupBy("cluster").agg(
-        F.collect_list(F.struct((F.col("n") - F.col("held")).alias("seen"), "element")).alias("centre"))
+    centre = materialise(counts.where("2 * held > n").groupBy("cluster").agg(
+        F.collect_list(F.struct((F.col("n") - F.col("held")).alias("seen"), "element")).alias("centre")), "centres")
     shared = flat.join(counts.where("2 * held <= n"), ["cluster", "element"]).groupBy("sig").agg(
         F.collect_list(F.struct(F.col("held").alias("seen"), "element")).alias("shared"))
 
