@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,45 @@ def counts_by_source(state: DataFrame) -> DataFrame:
 
 def total(state: DataFrame) -> DataFrame:
     return state.agg(F.count("*").alias("n"))
+
+
+def quantiles(rows: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """Exact quantiles of a column in each group, between two values in proportion:
+    group, how many rows have a value, and an array in the order of `shares`. NULL and
+    NaN are left out; NULL is a group of its own.
+
+    Equal values are counted before the shuffle and dealt to ranges, so a group may hold
+    all rows: no task gets more of it than a range. Counts per range tell in which ranges
+    the wanted places lie, and only the values of these are ranked."""
+    if not shares or not all(0 <= s <= 1 for s in shares):
+        raise ValueError("shares are between 0 and 1")
+    number = F.col(value).cast("double")
+    counted = (
+        rows.select(F.col(group).alias("_group"), number.alias("_value"))
+        .filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+        .groupBy("_group", "_value").agg(F.count("*").alias("_n"))
+    )
+    dealt = materialise(
+        counted.repartitionByRange("_group", "_value").withColumn("_range", F.spark_partition_id()), "quantiles")
+    whole, so_far = Window.partitionBy("_group"), Window.partitionBy("_group").orderBy("_range")
+    ranges = dealt.groupBy("_group", "_range").agg(F.sum("_n").alias("_in")).select(
+        F.col("_group").alias("_g"), F.col("_range").alias("_r"), F.sum("_in").over(whole).alias("_all"),
+        (F.sum("_in").over(so_far) - F.col("_in")).alias("_before"), "_in")
+    # Two neighbouring places for each share, from 0 on.
+    at = [(F.col("_all") - 1) * F.lit(float(s)) for s in shares]
+    places = F.array(*[f(a).cast("bigint") for a in at for f in (F.floor, F.ceil)])
+    held = F.filter(places, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_in")))
+    needed = ranges.withColumn("_places", F.array_distinct(held)).filter(F.size("_places") > 0)
+    near = dealt.join(needed, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    end = F.sum("_n").over(Window.partitionBy("_group", "_range").orderBy("_value")) + F.col("_before")
+    ranked = near.withColumn("_end", end)
+    mine = F.filter("_places", lambda p: (p >= F.col("_end") - F.col("_n")) & (p < F.col("_end")))
+    found = ranked.select("_group", "_all", "_value", F.explode(mine).alias("_place")).groupBy("_group", "_all").agg(
+        F.map_from_entries(F.collect_list(F.struct("_place", "_value"))).alias("_at"))
+
+    def between(position):
+        low, part = F.floor(position).cast("bigint"), position - F.floor(position)
+        below, above = F.col("_at")[low], F.col("_at")[F.ceil(position).cast("bigint")]
+        return F.when(below == above, below).otherwise(below * (1 - part) + above * part)
+
+    return found.select(F.col("_group").alias(group), F.col("_all").alias("n"), F.array(*[between(a) for a in at]).alias("quantiles"))

@@ -34,6 +34,31 @@ def fold(history: DataFrame, order: tuple[str, ...] = ("run_seq", "ingest_seq"),
     )
 
 
+def fold_wide(history: DataFrame, order: tuple[str, ...] = ("run_seq", "ingest_seq"),
+              content: tuple[str, ...] = CONTENT) -> DataFrame:
+    """`fold` of a history written by `write_history`: the winners are found on key and
+    order alone, and their content is fetched once, bucket by bucket, so no content is
+    in an exchange or an aggregate. The order columns tell all writes of a key apart;
+    rows without a key are left out."""
+    present = [c for c in content if c in history.columns]
+    position = F.struct(*order)
+    winners = history.groupBy("fingerprint").agg(
+        F.max(position).alias("_last"), F.min_by("seen_at", position).alias("first_seen_at"))
+    rows = history.select("fingerprint", *present, F.col("seen_at").alias("last_seen_at"), position.alias("_at"))
+    # No write is later than the last one. An equality would be a key of the join, and
+    # the buckets are by fingerprint alone.
+    same = (rows["fingerprint"] == winners["fingerprint"]) & (rows["_at"] >= winners["_last"])
+    return rows.join(winners.hint("merge"), same).select(
+        rows["fingerprint"], *[rows[c] for c in present], winners["first_seen_at"], rows["last_seen_at"])
+
+
+def write_history(history: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Write sightings as a table in buckets by key, to which later runs append."""
+    writer = history.write.mode("append").format("parquet").option("path", path)
+    writer.bucketBy(buckets, "fingerprint").sortBy("fingerprint").saveAsTable(table)
+    return history.sparkSession.table(table)
+
+
 def upsert(state: DataFrame, batch: DataFrame, content: tuple[str, ...] = CONTENT) -> DataFrame:
     """New state after a batch, with `is_new` (inserted now), NULL for rows the
     batch does not touch. Both sides hold a fingerprint at most once: fold the

@@ -400,6 +400,10 @@ f AS (SELECT source, min(page) AS last FROM e WHERE n_rows < 102 GROUP BY 1)
 SELECT source, page, n_rows, n_rows < 102 AS is_last, coalesce(page > last, false) AS past_end
 FROM e LEFT JOIN f USING (source)"""
 ORACLES["sitemap_urls"] = f"""WITH {POSTINGS} SELECT url AS loc, posted_at AS lastmod FROM postings WHERE url LIKE '%src1%'"""
+_TREE = f"""{POSTINGS}, tree AS (SELECT doc_id, url AS loc, posted_at AS lastmod, doc_id // 40 AS map
+  FROM postings WHERE doc_id // 40 % 5 <> 4)"""
+ORACLES["sitemap_tree"] = f"WITH {_TREE} SELECT loc, lastmod FROM tree"
+ORACLES["sitemap_tree_quota"] = f"WITH {_TREE} SELECT loc, lastmod FROM tree ORDER BY map, doc_id LIMIT 130"
 ORACLES["quota"] = """SELECT doc_id AS ingest_seq, source, lang FROM documents
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 17"""
 ORACLES["all_sources"] = """WITH a AS (
@@ -444,6 +448,13 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY run_s
 folded AS (SELECT z.fingerprint, z.source, z.title, z.salary_min, a.seen_at AS first_seen_at,
   z.seen_at AS last_seen_at FROM ordered z JOIN ordered a USING (fingerprint) WHERE z.down = 1 AND a.up = 1)"""
 ORACLES["state_fold"] = f"WITH {_SEEN} SELECT * FROM folded"
+ORACLES["state_fold_wide"] = """WITH seen AS (SELECT *, sha1(source || '|' || lang || '|' || n_chars // 100) AS fingerprint,
+  doc_id % 7 AS run, '2026-09-0' || (doc_id % 7 + 1) AS seen_at FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY run, doc_id) AS up,
+  row_number() OVER (PARTITION BY fingerprint ORDER BY run DESC, doc_id DESC) AS down FROM seen)
+SELECT z.fingerprint, z.source, CASE WHEN z.doc_id % 5 <> 0 THEN 'seen ' || z.doc_id END AS title, z.text AS description,
+  a.seen_at AS first_seen_at, z.seen_at AS last_seen_at
+FROM placed z JOIN placed a USING (fingerprint) WHERE z.down = 1 AND a.up = 1"""
 ORACLES["state_snapshots"] = ORACLES["state_fold"]
 
 
@@ -474,6 +485,9 @@ ORACLES["publication_duration"] = f"""WITH {_SEEN}, d AS (SELECT source, CAST(da
   CAST(substr(first_seen_at, 1, 10) AS DATE), CAST(substr(last_seen_at, 1, 10) AS DATE)) AS INT) AS n FROM folded)
 SELECT source, count(*) AS postings, min(n) AS shortest, max(n) AS longest, CAST(sum(n) AS BIGINT) AS total_days,
   CAST(median(n) AS DOUBLE) AS median_days FROM d GROUP BY 1"""
+ORACLES["salary_quantiles"] = f"""WITH {_SEEN}, q AS (SELECT source, count(salary_min) AS n,
+  quantile_cont(salary_min, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM seen GROUP BY 1)
+SELECT source, n, {', '.join(f'round(q[{i}], 4) AS {p}' for i, p in enumerate(('p10', 'p25', 'p50', 'p75', 'p90'), 1))} FROM q"""
 ORACLES["state_removal"] = f"""WITH {POSTINGS} SELECT external_id, fingerprint FROM postings
 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
 

@@ -544,6 +544,54 @@ def sitemap_urls(spark, folder):
     return pages.read_sitemaps(spark, path, keep="src1")
 
 
+#: Entries of a sitemap, sitemaps of an index, and the quota of entries.
+MAP_SIZE, INDEX_SIZE, MAP_QUOTA = 40, 7, 130
+_ROOT = "https://maps.example.org/root.xml"
+
+
+def _sitemaps(spark, folder) -> str:
+    """The postings as landed sitemaps below indexes below a root index. Each index leads
+    back to the root and names its first sitemap twice; every fifth sitemap is in none."""
+    path = scratch_path(spark, "maps")
+    number = F.expr(f"doc_id div {MAP_SIZE}")
+
+    def address(kind: str, n) -> F.Column:
+        return F.concat(F.lit(f"https://maps.example.org/{kind}-"), n.cast("string"), F.lit(".xml"))
+
+    def land(rows: DataFrame, root: str, tag: str, *order: str) -> None:
+        dealt = rows.repartition("site").sortWithinPartitions("site", *order).drop(*order)
+        dealt.write.mode("append").format("xml").option("rootTag", root).option("rowTag", tag).option(
+            "compression", "gzip").partitionBy("site").save(path)
+
+    land(_light(spark, folder).select(
+        "doc_id", F.col("url").alias("loc"), F.col("posted_at").alias("lastmod"),
+        pages.sitemap_key(address("urls", number)).alias("site")), "urlset", "url", "doc_id")
+    maps = corpus.documents(spark, folder, "doc_id").select(number.alias("n")).distinct()
+    upper = F.expr(f"n div {INDEX_SIZE}")
+    named = maps.filter("n % 5 <> 4").select(upper.alias("u"), "n", address("urls", F.col("n")).alias("loc"))
+    indexes = named.groupBy("u").agg(F.min(F.struct("n", "loc")).alias("first"))
+    back = indexes.select("u", F.inline(F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("n"), F.lit(_ROOT).alias("loc")),
+        F.struct(F.lit(1 << 60).alias("n"), F.col("first.loc").alias("loc")))))
+    land(named.unionByName(back).withColumn("site", pages.sitemap_key(address("index", F.col("u")))).drop("u"),
+         "sitemapindex", "sitemap", "n")
+    land(indexes.select("u", address("index", F.col("u")).alias("loc"), pages.sitemap_key(F.lit(_ROOT)).alias("site")),
+         "sitemapindex", "sitemap", "u")
+    return path
+
+
+@query
+def sitemap_tree(spark, folder):
+    """Entries of all sitemaps that a root index leads to."""
+    return pages.read_sitemap_tree(spark, _sitemaps(spark, folder), [_ROOT])
+
+
+@query
+def sitemap_tree_quota(spark, folder):
+    """The first entries in the order of the tree."""
+    return pages.read_sitemap_tree(spark, _sitemaps(spark, folder), [_ROOT], limit=MAP_QUOTA)
+
+
 @query
 def quota(spark, folder):
     docs = read_table(spark, folder, "documents", "doc_id", "source", "lang")
@@ -631,6 +679,23 @@ def state_fold(spark, folder):
     return st.fold(corpus.sightings(spark, folder), content=_SIGHTED)
 
 
+_TOLD = ("source", "title", "description")
+
+
+@query
+def state_fold_wide(spark, folder):
+    """Whole texts seen under the key of their source and length: content of the last one."""
+    k = F.col("doc_id")
+    seen = corpus.documents(spark, folder, "doc_id", "source", "lang", "n_chars", "text").select(
+        F.sha1(F.concat_ws("|", "source", "lang", F.expr("n_chars div 100")).cast("binary")).alias("fingerprint"),
+        "source", F.when(k % 5 != 0, F.concat(F.lit("seen "), k.cast("string"))).alias("title"),
+        F.col("text").alias("description"), (k % 7).alias("run_seq"), k.alias("ingest_seq"),
+        F.concat(F.lit("2026-09-0"), (k % 7 + 1).cast("string")).alias("seen_at"))
+    path = scratch_path(spark, "history")
+    history = st.write_history(seen, f"history_{path.rsplit('-', 1)[1]}", path, buckets=16)
+    return st.fold_wide(history, content=_TOLD)
+
+
 def _halves(spark, folder):
     seen = corpus.sightings(spark, folder)
     return (
@@ -717,6 +782,14 @@ def publication_duration(spark, folder):
     return st.publication_duration(folded)
 
 
+@query
+def salary_quantiles(spark, folder):
+    """Exact tenths, quartiles and median of what the sightings of a source pay."""
+    found = reports.quantiles(corpus.sightings(spark, folder), "source", "salary_min", (0.1, 0.25, 0.5, 0.75, 0.9))
+    return found.select("source", "n", *[
+        F.round(F.col("quantiles")[i], 4).alias(name) for i, name in enumerate(("p10", "p25", "p50", "p75", "p90"))])
+
+
 @query
 def state_removal(spark, folder):
     state = _light(spark, folder)

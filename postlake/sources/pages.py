@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities
 from ..functions.urls import url_join
+from ..session import materialise
 
 # An anchor with a link target; comments, scripts and styles are matched first
 # so that anchors written inside them do not count.
@@ -66,6 +67,74 @@ def read_sitemap_indexes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def sitemap_key(address: Column) -> Column:
+    """The folder (`site=<key>`) in which the landing job puts the file of an address."""
+    return F.sha1(F.trim(address).cast("binary"))
+
+
+def _landed(spark: SparkSession, path: str, row: str, fields: str) -> DataFrame:
+    """Entries of all landed files with the key of their file and their place in it."""
+    rows = spark.read.format("xml").option("rowTag", row).schema(f"{fields}, site string").option("basePath", path).load(path)
+    return rows.select(
+        "site", *[F.trim(c).alias(c) for c in rows.columns if c != "site"],
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                 F.monotonically_increasing_id().alias("place")).alias("place"),
+    ).filter(F.col("loc").isNotNull())
+
+
+def sitemap_files(spark: SparkSession, path: str, roots: list[str]) -> DataFrame:
+    """Landed files (`site`) that the root addresses lead to, over indexes of indexes, and
+    their `route`: files sort by it level by level, and within a level in the order in
+    which the indexes name them. Each round asks for the children of the files found last
+    and leaves out those that are known, so an index that leads back to itself ends."""
+    # An index file names at most 50,000 files by its format: the window is bounded.
+    in_file = Window.partitionBy("site").orderBy("place")
+    links = materialise(
+        _landed(spark, path, "sitemap", "loc string").select(
+            "site", sitemap_key(F.col("loc")).alias("child"),
+            F.lpad(F.row_number().over(in_file).cast("string"), 6, "0").alias("place")),
+        "sitemap-links")
+    given = spark.createDataFrame([(i, r) for i, r in enumerate(roots)], "i int, loc string")
+    files = frontier = materialise(
+        given.groupBy(sitemap_key(F.col("loc")).alias("site")).agg(F.lpad(F.min("i").cast("string"), 6, "0").alias("route"))
+        .withColumn("level", F.lit(0)), "sitemap-files")
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
+        found = (
+            links.join(frontier.select("site", "route"), "site")
+            .groupBy("child").agg(F.min(F.concat("route", "place")).alias("route"))
+            .select(F.col("child").alias("site"), "route", F.lit(level).alias("level"))
+        )
+        frontier = materialise(found.join(files.select("site"), "site", "left_anti"), "sitemap-files")
+        files = files.unionByName(frontier)
+    return files
+
+
+def read_sitemap_tree(
+    spark: SparkSession, path: str, roots: list[str], keep: str = "", limit: int | None = None
+) -> DataFrame:
+    """`<url>` entries of all sitemaps that the root addresses lead to, that match `keep`.
+    Files lie below `path` in a folder of their `sitemap_key`; addresses without a file
+    give nothing. `limit` is a quota of entries in the order of `sitemap_files` and of
+    each file, taken before `keep` is asked: entries are counted per file, and only those
+    of the file in which the quota ends are ranked."""
+    entries = _landed(spark, path, "url", "loc string, lastmod string").join(
+        sitemap_files(spark, path, roots), "site")
+    if limit:
+        counted = entries.groupBy("level", "route", "site").agg(F.count("*").alias("_n"))
+        # Each file has an entry, so the quota ends within the first `limit` files.
+        first = counted.orderBy("level", "route").limit(limit)
+        before = F.sum("_n").over(Window.orderBy("level", "route").rowsBetween(Window.unboundedPreceding, -1))
+        needed = first.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < limit)
+        entries = entries.join(needed.select("site", "_n", "_before"), "site")
+        whole = F.col("_before") + F.col("_n") <= limit
+        place = F.row_number().over(Window.partitionBy("site").orderBy("place"))
+        cut = entries.filter(~whole).withColumn("_at", place).filter(F.col("_at") + F.col("_before") <= limit)
+        entries = entries.filter(whole).unionByName(cut.drop("_at"))
+    return entries.filter(F.col("loc").rlike(keep or "")).select("loc", "lastmod")
+
+
 def overlay(fields: DataFrame, corrections: Mapping[str, Column]) -> DataFrame:
     """Site-specific columns laid over extracted ones. A correction wins even
     with NULL; to keep the extracted value for some rows, say so in its column."""
