@@ -581,14 +581,16 @@ FROM kept GROUP BY fingerprint"""
 ORACLES["stream_many_counters"] = ORACLES["ingest_counters"].replace("'updated', 0", "'updated', CAST(0 AS BIGINT)")
 
 
-# What a stream keeps: no row older than the latest time of the waves before less the
-# delay, and of a posting no row while the one that it last kept is remembered.
-ORACLES["stream_watermark_dedup"] = f"""WITH days AS (
+_WAVES = """days AS (
   SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS external_id, doc_id % 3 AS wave, doc_id % 3 AS day FROM documents
   UNION ALL SELECT doc_id, source, CAST(doc_id AS VARCHAR), doc_id % 3 + 1, doc_id % 3 + 1 FROM documents WHERE doc_id % 2 = 0
   UNION ALL SELECT doc_id, source, CAST(doc_id AS VARCHAR), doc_id % 3 + 3, doc_id % 3 + 3 FROM documents WHERE doc_id % 5 = 0
   UNION ALL SELECT doc_id, source, doc_id || '-late', doc_id % 3 + 2, doc_id % 3 FROM documents WHERE doc_id % 7 = 0),
-sightings AS (SELECT *, TIMESTAMP '2026-08-01' + to_days(CAST(day AS INT)) + to_seconds(doc_id % 3600) AS at FROM days),
+sightings AS (SELECT *, TIMESTAMP '2026-08-01' + to_days(CAST(day AS INT)) + to_seconds(doc_id % 3600) AS at FROM days)"""
+
+# What a stream keeps: no row older than the latest time of the waves before less the
+# delay, and of a posting no row while the one that it last kept is remembered.
+ORACLES["stream_watermark_dedup"] = f"""WITH {_WAVES},
 marks AS (SELECT w.wave, max(s.at) - INTERVAL '{DELAY}' AS mark FROM (SELECT DISTINCT wave FROM sightings) w
   LEFT JOIN sightings s ON s.wave < w.wave GROUP BY 1),
 timely AS (SELECT s.*, m.mark FROM sightings s JOIN marks m USING (wave) WHERE m.mark IS NULL OR s.at >= m.mark),
@@ -597,3 +599,12 @@ kept AS (SELECT t.* FROM timely t WHERE NOT EXISTS (SELECT 1 FROM timely o WHERE
 SELECT source, external_id, 'posting ' || any_value(doc_id) AS title,
   '2026-09-0' || (min(wave) + 1) || 'T00:00:00Z' AS first_seen_at, '2026-09-0' || (max(wave) + 1) || 'T00:00:00Z' AS last_seen_at
 FROM kept GROUP BY 1, 2"""
+
+# Spans of sightings, none thirty hours after the one before, that lie as far back.
+ORACLES["stream_closed"] = f"""WITH {_WAVES},
+gaps AS (SELECT s.*, s.at >= lag(s.at) OVER (PARTITION BY s.source, s.external_id ORDER BY s.at) + INTERVAL 30 HOURS AS fresh FROM sightings s),
+spans AS (SELECT g.*, count(*) FILTER (g.fresh) OVER (PARTITION BY g.source, g.external_id ORDER BY g.at) AS span FROM gaps g)
+SELECT p.source, sha1(lower(p.source) || '|' || p.external_id) AS fingerprint, strftime(min(p.at), '%Y-%m-%dT%H:%M:%SZ') AS first_seen_at,
+  strftime(max(p.at), '%Y-%m-%dT%H:%M:%SZ') AS last_seen_at, count(*) AS sightings
+FROM spans p GROUP BY p.source, p.external_id, p.span
+HAVING max(p.at) + INTERVAL 30 HOURS <= (SELECT max(s.at) - INTERVAL '{DELAY}' FROM sightings s)"""

@@ -949,20 +949,24 @@ def stream_ingest(spark, folder):
     )
 
 
-def _fed(spark, folder, waves: list[DataFrame], **options) -> Store:
-    """A store fed by one stream, whose landing folder grows by a wave of rows at a time;
-    each wave is written by all tasks and is a micro-batch."""
+def _in_waves(spark, waves: list[DataFrame], begin) -> None:
+    """Run a stream over a landing folder that grows by a wave of rows at a time; each
+    wave is written by all tasks and is a micro-batch. `begin` starts the stream of a
+    landing, from a checkpoint, for the nth wave."""
     landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "stream")
-    store = Store(spark, scratch_path(spark, "streamed"))
-    for day, wave in enumerate(waves, 1):
+    for number, wave in enumerate(waves, 1):
         wave.write.mode("append").json(landing)
-        started = stream.start(
-            stream.read_landing(spark, landing), store, checkpoint,
-            clock=lambda number, day=day: f"2026-09-{day:02d}T00:00:00Z", **options,
-        )
+        started = begin(stream.read_landing(spark, landing), checkpoint, number)
         started.awaitTermination()
         if started.exception():
             raise started.exception()
+
+
+def _fed(spark, folder, waves: list[DataFrame], **options) -> Store:
+    """A store fed by one stream, wave by wave."""
+    store = Store(spark, scratch_path(spark, "streamed"))
+    _in_waves(spark, waves, lambda rows, checkpoint, day: stream.start(
+        rows, store, checkpoint, clock=lambda number: f"2026-09-{day:02d}T00:00:00Z", **options))
     return store
 
 
@@ -1012,11 +1016,24 @@ def _sightings(spark, folder) -> DataFrame:
         F.inline(rows))
 
 
+def _sighted_waves(spark, folder) -> list[DataFrame]:
+    rows = materialise(_sightings(spark, folder), "sightings")
+    return [rows.filter(F.col("wave") == n).drop("wave") for n in range(WAVES)]
+
+
 @query
 def stream_watermark_dedup(spark, folder):
     """Six micro-batches with repeats, late rows and postings that come back after the
     stream has forgotten them."""
-    rows = materialise(_sightings(spark, folder), "sightings")
-    waves = [rows.filter(F.col("wave") == n).drop("wave") for n in range(WAVES)]
-    return _fed(spark, folder, waves, delay=DELAY).state().select(
+    return _fed(spark, folder, _sighted_waves(spark, folder), delay=DELAY).state().select(
         "source", "external_id", "title", "first_seen_at", "last_seen_at")
+
+
+@query
+def stream_closed(spark, folder):
+    """Postings of the same six micro-batches that were not seen for thirty hours."""
+    out = scratch_path(spark, "closed")
+    _in_waves(spark, _sighted_waves(spark, folder), lambda rows, checkpoint, day: (
+        stream.closed(rows, "30 hours", DELAY).writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start(out, format="parquet")))
+    return spark.read.parquet(out)

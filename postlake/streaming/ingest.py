@@ -61,13 +61,38 @@ def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def _valid_keys(stream: DataFrame) -> DataFrame:
+    """(source, fingerprint, scraped_at) of the valid postings of a landing stream."""
+    stamped = stream.withColumns({"run_id": F.lit(""), "run_seq": F.lit(0).cast("bigint")})
+    read_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return accepted(judge(normalise(stamped, read_at))).select("source", "fingerprint", "scraped_at")
+
+
 def new_keys(stream: DataFrame, delay: str) -> DataFrame:
     """(source, fingerprint) of valid postings of a landing stream that it has not seen
     within `delay`: once for each, whichever record of a micro-batch they come from."""
-    stamped = stream.withColumns({"run_id": F.lit(""), "run_seq": F.lit(0).cast("bigint")})
-    read_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    valid = accepted(judge(normalise(stamped, read_at)))
-    return deduplicated(valid.select("source", "fingerprint", "scraped_at"), delay).select("source", "fingerprint")
+    return deduplicated(_valid_keys(stream), delay).select("source", "fingerprint")
+
+
+def closed(stream: DataFrame, unseen: str = "30 days", delay: str = "1 day") -> DataFrame:
+    """Postings of a landing stream that were not seen for `unseen`: one row each time
+    one closes, with its first and last sight since it was opened and how many there
+    were. A posting that comes back later is opened anew.
+
+    Sightings may come out of order by `delay`: a posting closes once the watermark,
+    `delay` behind the latest sighting of all, is `unseen` past its last one, and a
+    sighting that would have closed before it came is dropped. The state store holds
+    the open postings alone: three values each."""
+    seen = _valid_keys(stream).withColumn(
+        "_at", F.coalesce(F.try_to_timestamp("scraped_at"), F.current_timestamp()))
+    spans = seen.withWatermark("_at", delay).groupBy("source", "fingerprint", F.session_window("_at", unseen)).agg(
+        F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count("*").alias("sightings"))
+
+    def written(name: str):
+        return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    return spans.select("source", "fingerprint", written("_first").alias("first_seen_at"),
+                        written("_last").alias("last_seen_at"), "sightings")
 
 
 def start(
