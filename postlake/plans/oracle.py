@@ -380,8 +380,7 @@ ORACLES["jsonld_blocks"] = """WITH b AS (
   FROM documents WHERE doc_id % 10 <> 9)
 SELECT source, block_pos, is_posting, count(*) AS n FROM b GROUP BY 1, 2, 3"""
 ORACLES["jsonld_deep"] = """SELECT doc_id, CASE
-  WHEN doc_id % 12 + 1 < 3 THEN split_part(text, chr(10), 1)
-  WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'late' ELSE split_part(text, chr(10), 1) END AS text FROM documents"""
+  WHEN doc_id % 12 + 1 < 3 THEN text WHEN trim(text) = '' THEN 'late' ELSE text END AS text FROM documents"""
 ORACLES["sources_stamped"] = """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE 'stamped' END AS source, lang,
   '2026-09-0' || (doc_id % 9 + 1) AS scraped_at FROM documents"""
 ORACLES["detail_overlay"] = rf"""SELECT {_URL} AS url, CASE WHEN doc_id % 10 <> 9 THEN

@@ -464,11 +464,11 @@ def jsonld_blocks(spark, folder):
 
 @query
 def jsonld_deep(spark, folder):
-    """The text of values nested as deep as the document's number says."""
+    """Whole texts nested as deep as the document's number says."""
     k = F.col("doc_id") % 12
     docs = corpus.documents(spark, folder, "doc_id", "text")
-    line = F.to_json(F.struct(F.split_part("text", F.lit("\n"), F.lit(1)).alias("name")))
-    deep = F.aggregate(F.sequence(F.lit(1), k + 1), line, lambda inner, i: F.when(
+    whole = F.to_json(F.struct(F.col("text").alias("name")))
+    deep = F.aggregate(F.sequence(F.lit(1), k + 1), whole, lambda inner, i: F.when(
         i % 3 == 0, F.concat(F.lit('[null,"",{"other":"no"},'), inner, F.lit(',"late"]'))
     ).otherwise(F.concat(F.lit('{"text":"no","value":'), inner, F.lit("}"))))
     return docs.select("doc_id", text_of(F.try_parse_json(deep)).alias("text"))

@@ -80,9 +80,10 @@ def closed(stream: DataFrame, unseen: str = "30 days", delay: str = "1 day") ->
     were. A posting that comes back later is opened anew.
 
     Sightings may come out of order by `delay`: a posting closes once the watermark,
-    `delay` behind the latest sighting of all, is `unseen` past its last one, and a
-    sighting that would have closed before it came is dropped. The state store holds
-    the open postings alone: three values each."""
+    `delay` behind the latest sighting of all, is `unseen` past its last one. A sighting
+    that comes later is dropped if the watermark is `unseen` past it already, and else
+    opens a closed posting anew. The state store holds the open postings alone: three
+    values each."""
     seen = _valid_keys(stream).withColumn(
         "_at", F.coalesce(F.try_to_timestamp("scraped_at"), F.current_timestamp()))
     spans = seen.withWatermark("_at", delay).groupBy("source", "fingerprint", F.session_window("_at", unseen)).agg(
