@@ -7,16 +7,19 @@ that hold t outside of spans, and p(t) the share of all texts. IC(e) = -log2 p(e
 there is to know about e. A term whose PMI reaches `generalise` times IC(e) discloses e,
 if it does not meet e by chance: were the n texts of e drawn from the corpus, that k of
 them hold t has a chance of at most exp(-n KL(k/n || p(t))), and this times the number of
-terms of these texts must stay within `chance`. So an entity of one text has terms if the
+terms of these texts, text by text, must stay within `chance`. So an entity of one text has terms if the
 corpus is large beside the text. In all texts of e every place of such a term becomes a
 class word; from `remove` times IC(e) on it is removed. Texts are counted once, however
 many copies there are.
 
 Only DataFrame functions: no Python runs in tasks. Entities that stand in the same texts
-have the same counts and are counted as one. Distinct texts are found by a hash; rules
-meet the texts by a broadcast if there are at most `most_broadcast` of them.
+have the same counts and are counted as one, and so are terms; terms too common to
+disclose an entity do not meet it, so a long list of addresses is not paired with all its
+words. Words are placed in time linear in the text. Distinct texts are found by a hash;
+terms meet the texts by a broadcast if there are at most `most_broadcast` of them, and not
+more than 8 MB.
 
-Null texts count as empty and have no spans; rows are told apart by doc_id and a hash of
+Null texts count as empty and have no spans; very long ones are taken whole; rows are told apart by doc_id and a hash of
 the text, so repeated rows get equal results; an empty table gives no rows; other
 columns are kept by `sanitised` and not looked at.
 """
@@ -37,25 +40,51 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"[\p{L}\p{N}]+"
-_HEAD, _TAIL = r"^[\p{L}\p{N}]++", r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++\z"
+#: Stands for the characters of spans; of no text, where it is a blank.
+_FILLER = "\ue000"
+#: Numbers that are combined at one time.
+_CHUNK = 256
+#: Bytes of terms that are broadcast at most.
+_MOST_BYTES = 8 << 20
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, combine) -> Column:
+    """For each place of an array of numbers what `combine` makes of all up to it, from 0
+    on. An array is copied for each of its numbers, so the numbers are taken in chunks."""
+    numbers = F.array().cast("array<int>")
+
+    def of_chunk(done: Column, chunk: Column) -> Column:
+        within = F.aggregate(chunk, numbers, lambda some, v: F.concat(
+            some, F.array(combine(F.coalesce(F.get(some, F.size(some) - 1), done["at"]), v))))
+        return _bound(within, lambda some: F.struct(
+            F.coalesce(F.get(some, F.size(some) - 1), done["at"]).alias("at"),
+            F.concat(done["chunks"], F.array(some)).alias("chunks")))
+
+    def whole(all_: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(_CHUNK))
+        return F.transform(starts, lambda at: F.slice(all_, at, F.lit(_CHUNK)))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("chunks"))
+    return F.aggregate(_bound(values, whole), none, of_chunk, lambda done: F.flatten(done["chunks"]))
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """(start, end, value) of each match in order, in code points."""
     pattern = F.lit(pattern)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    rows = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
 
-    def step(done: Column, row: Column) -> Column:
-        start = done["at"] + row["gap"]
-        end = start + F.length(row["hit"])
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), row["hit"].alias("value")))
-        return F.when(row["hit"].isNull(), done).otherwise(
-            F.struct(end.alias("at"), F.concat(done["spans"], found.cast(_SPAN)).alias("spans")))
+    def placed(hits: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        ends = _running(F.zip_with(gaps, hits, lambda g, h: g + F.coalesce(F.length(h), F.lit(0))), lambda a, b: a + b)
+        return F.filter(F.zip_with(hits, ends, lambda h, end: F.struct(
+            (end - F.length(h)).alias("start"), end.alias("end"), h.alias("value"))), lambda s: s["value"].isNotNull())
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(rows, empty, step, lambda done: done["spans"])
+    return _bound(F.regexp_extract_all(text, pattern, F.lit(0)), placed).cast(_SPAN)
 
 
 def _digits(value: Column) -> Column:
@@ -106,19 +135,23 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, F.lower))
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text without its spans and the words that overlap them."""
-    ends = F.transform(spans, lambda s: s["end"])
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each character of its spans replaced by one that nothing else is."""
+    def cut(plain: Column) -> Column:
+        reach = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return _bound(reach, lambda ends: F.array_join(F.concat(
+            F.zip_with(spans, F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1)), lambda s, done: F.concat(
+                plain.substr(done + 1, F.greatest(s["start"] - done, F.lit(0))),
+                F.repeat(F.lit(_FILLER), F.greatest(s["end"] - F.greatest(s["start"], done), F.lit(0))))),
+            F.array(plain.substr(F.get(ends, F.size(ends) - 1) + 1, F.length(plain)))), ""))
 
-    def before(s: Column, i: Column) -> Column:
-        # One more character on either side tells whether a word goes on into the span.
-        end = F.array_max(F.slice(ends, F.lit(1), i))
-        start = F.coalesce(end - 1, F.lit(0))
-        piece = F.regexp_replace(text.substr(start + 1, F.greatest(s["start"] + 1 - start, F.lit(0))), _TAIL, "")
-        return F.when(end.isNull(), piece).otherwise(F.regexp_replace(piece, _HEAD, ""))
+    return _bound(F.translate(text, _FILLER, " "), cut)
 
-    last = F.regexp_replace(text.substr(F.array_max(ends), F.length(text)), _HEAD, "")
-    return F.array_join(F.concat(F.transform(spans, before), F.array(last)), "\n")
+
+def _free(held: DataFrame) -> Column:
+    """Places of the words that overlap no span, for texts with spans."""
+    words = _bound(_masked(held["text"], held["spans"]), lambda t: located(t, rf"[\p{{L}}\p{{N}}{_FILLER}]+"))
+    return F.filter(words, lambda w: ~F.contains(w["value"], F.lit(_FILLER)))
 
 
 def _groups(held: DataFrame) -> DataFrame:
@@ -130,59 +163,69 @@ def _groups(held: DataFrame) -> DataFrame:
     return pairs.join(leaders, "entity").select("body", F.xxhash64("n_texts", "x", "y").alias("group"), "n_texts")
 
 
-def disclosing(
-    docs: DataFrame, found: DataFrame, held: DataFrame, groups: DataFrame, generalise: float, chance: float
-) -> DataFrame:
-    """(group, term, disclosure): PMI as a share of IC, where it reaches `generalise`
-    and is no chance."""
-    own = groups.groupBy("body").agg(F.collect_list(F.struct("group", "n_texts")).alias("groups"))
-    words = held.select("body", _terms(_outside(F.col("text"), F.col("spans"))).alias("terms"))
-    joint = materialise(
-        words.join(own, "body").select(F.explode("groups").alias("g"), "terms")
-        .select("g.group", "g.n_texts", F.explode("terms").alias("term"))
-        .groupBy("group", "n_texts", "term").agg(F.count("*").alias("n_joint")), "pii-joint")
-    tried = joint.groupBy("group").agg(F.count("*").alias("n_tried"))
+def _classes(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_term, class: terms of the same texts with entities, as common in the
+    corpus, are one class, for their counts with every entity are the same."""
+    sets = terms.groupBy("term").agg(
+        F.count("*").alias("n_held"), F.bit_xor("body").alias("x"), F.bit_xor(F.xxhash64("body")).alias("y"))
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"), "text").dropDuplicates(["body"])
-    total = found.select("body").distinct().count()
     # Words are counted before they meet the terms: a row for each word, not each place.
     counted = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(max(total, 1)))
+    return sets.join(counted, "term").select("term", "n_term", F.xxhash64("n_held", "x", "y", "n_term").alias("class"))
+
+
+def disclosing(
+    docs: DataFrame, found: DataFrame, held: DataFrame, generalise: float, chance: float
+) -> DataFrame:
+    """(body, term, disclosure): the most that a term of a text tells of one of its
+    entities, PMI as a share of IC, where it reaches `generalise` and is no chance."""
+    groups = materialise(_groups(held), "pii-groups")
+    terms = materialise(held.select("body", F.explode(F.array_distinct(F.transform(
+        _free(held), lambda w: F.lower(w["value"])))).alias("term")), "pii-terms")
+    known = materialise(_classes(docs, terms), "pii-known")
+    n = F.lit(float(max(found.select("body").distinct().count(), 1)))
+    tried = groups.join(terms.groupBy("body").agg(F.count("*").alias("n_tried")), "body").groupBy("group").agg(
+        F.sum("n_tried").alias("n_tried"))
+
+    # PMI <= -log2 p(t) and IC = -log2 p(e): a term more common than this cannot reach
+    # `generalise`. What no entity of a text can use does not meet them.
+    def usable(n_texts: Column) -> Column:
+        return F.col("n_term") <= n * F.pow(n_texts / n, F.lit(generalise)) * (1 + 1e-9)
+
+    one = known.groupBy("class", "n_term").agg(F.min("term").alias("term"))
+    most = groups.groupBy("body").agg(F.max("n_texts").alias("most"))
+    rare = terms.join(one, "term").join(most, "body").where(usable(F.col("most"))).select("body", "class", "n_term")
+    joint = rare.join(groups, "body").where(usable(F.col("n_texts"))).groupBy(
+        "group", "n_texts", "class", "n_term").agg(F.count("*").alias("n_joint"))
     share, common = F.col("n_joint") / F.col("n_texts"), F.col("n_term") / n
     content = -F.log2(F.col("n_texts") / n)
     apart = share * F.ln(share / common) + F.when(
         share < 1, (1 - share) * F.ln((1 - share) / (1 - common))).otherwise(F.lit(0.0))
-    return (
-        joint.join(counted, "term").where(common < share).join(tried, "group")
+    rules = (
+        joint.where(common < share).join(tried, "group")
         .where(F.col("n_texts") * apart >= F.ln(F.col("n_tried") / F.lit(chance)))
-        .select("group", "term", F.when(content > 0, F.log2(share / common) / content).otherwise(F.lit(0.0)).alias("disclosure"))
+        .select("group", "class", F.when(content > 0, F.log2(share / common) / content).otherwise(F.lit(0.0)).alias("disclosure"))
         .where(F.col("disclosure") >= generalise)
     )
+    told = groups.join(materialise(rules, "pii-rules"), "group").groupBy("body", "class").agg(
+        F.max("disclosure").alias("disclosure"))
+    return told.join(known, "class").join(terms, ["body", "term"]).select("body", "term", "disclosure")
 
 
-def _places(held: DataFrame, groups: DataFrame, rules: DataFrame, remove: float, most_broadcast: int) -> DataFrame:
+def _places(held: DataFrame, told: DataFrame, remove: float, most_broadcast: int) -> DataFrame:
     """body and the places of all disclosing terms of its entities outside of spans."""
-    few = rules.count() <= most_broadcast
-    told = groups.join(F.broadcast(rules) if few else rules, "group").groupBy("body", "term").agg(
-        F.max("disclosure").alias("disclosure")
-    ).groupBy("body").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
-    mine = F.filter(words, lambda w: F.map_contains_key("told", F.lower(w)))
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("mine", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    free = F.filter(located(F.col("text"), pattern), lambda w: ~F.exists(
-        "spans", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
-
-    def shape(w: Column) -> Column:
-        return (
-            F.when(F.element_at("told", F.lower(w["value"])) >= remove, F.lit(""))
-            .when(w["value"].rlike("[0-9]"), F.lit("[NUMBER]"))
-            .when(w["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]"))
-            .otherwise(F.lit("[TERM]"))
-        )
-
-    return held.join(told, "body").withColumn("mine", mine).where(F.size("mine") > 0).select(
-        "body", F.transform(free, lambda w: F.struct(
-            w["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), w["end"].alias("end"),
-            w["value"].alias("value"), shape(w).alias("replacement"))).alias("terms"))
+    size = told.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    few = size["n"] <= most_broadcast and size["bytes"] <= _MOST_BYTES
+    word = held.join(told.select("body").distinct(), "body", "left_semi").select("body", F.explode(_free(held)).alias("w"))
+    shape = (
+        F.when(F.col("disclosure") >= remove, F.lit(""))
+        .when(F.col("w.value").rlike("[0-9]"), F.lit("[NUMBER]"))
+        .when(F.col("w.value").rlike(r"^\p{Lu}"), F.lit("[NAME]"))
+        .otherwise(F.lit("[TERM]"))
+    )
+    met = word.withColumn("term", F.lower("w.value")).join(F.broadcast(told) if few else told, ["body", "term"])
+    place = F.struct("w.start", F.lit(len(KINDS) - 1).alias("kind"), "w.end", "w.value", shape.alias("replacement"))
+    return met.groupBy("body").agg(F.array_sort(F.collect_list(place)).alias("terms"))
 
 
 def spans(
@@ -193,9 +236,8 @@ def spans(
     found = materialise(base(docs), "pii-base")
     some = found.where(F.size("spans") > 0)
     held = materialise(some.select("body", "text", "spans").dropDuplicates(["body"]), "pii-held")
-    groups = materialise(_groups(held), "pii-groups")
-    rules = materialise(disclosing(docs, found, held, groups, generalise, chance), "pii-rules")
-    terms = _places(held, groups, rules, remove, most_broadcast)
+    told = materialise(disclosing(docs, found, held, generalise, chance), "pii-told")
+    terms = _places(held, told, remove, most_broadcast)
     kind = "array<struct<start:int,kind:int,end:int,value:string,replacement:string>>"
     none = F.array().cast(kind)
     told = some.join(terms, "body", "left").select("key", "doc_id", "spans", F.coalesce("terms", none).alias("terms"))
