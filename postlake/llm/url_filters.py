@@ -3,7 +3,9 @@
 A URL is a set of tokens: labels of its host and their parts, words of its path, keys
 of its query. Labelled URLs are the transactions of Spark's FP-growth; of its rules
 those that lead to `bad` with enough confidence and support stay, unless a rule on
-fewer tokens is as sure. Tokens that occur in exactly the same labelled URLs are mined
+fewer tokens is as sure. Enough is `confidence`, or where none is given 0.8 or `lift` times
+the share of bad URLs, whichever is less; and the lower end of Wilson's interval, `z` wide,
+must lie above that share, so that no rule is as good as none. Tokens that occur in exactly the same labelled URLs are mined
 as one, so that a URL repeated many times cannot make all its subsets frequent.
 
 Rules match by an inverted index: each rule is filed under its rarest token; a URL
@@ -12,7 +14,7 @@ first, so that repeated ones are matched once; Spark broadcasts the index when i
 small by its own measure and splits hot tokens otherwise.
 
 Null URLs and those without `://` have no host, no path and no tokens: no rule fits and
-they are allowed. Equal rows give equal results; without labels nothing is mined. Other
+they are allowed. Very long URLs are taken whole. Equal rows give equal results; without labels nothing is mined. Other
 columns of the pages are not looked at.
 """
 
@@ -58,11 +60,13 @@ def tokens(url: Column) -> Column:
 
 
 def mine(
-    labelled: DataFrame, *, confidence: float = 0.8, support: float = 0.001, least: int = 10
+    labelled: DataFrame, *, confidence: float | None = None, lift: float = 1.5, z: float = 2.58,
+    support: float = 0.001, least: int = 10
 ) -> DataFrame:
     """Rules (antecedent, confidence, n_urls) for rows (tokens, bad)."""
     rows = materialise(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled")
-    total = rows.count()
+    total, share = rows.agg(F.count("*"), F.coalesce(F.avg(F.col("bad").cast("int")), F.lit(0.0))).first()
+    floor = min(0.8, lift * share) if confidence is None else confidence
     each = rows.select("row", F.explode("tokens").alias("token"))
     used = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows"))
     used = used.where(F.col("n") >= least)
@@ -73,9 +77,12 @@ def mine(
     bad = rows.join(items, "row", "left").select(
         F.concat(F.coalesce("items", F.array().cast("array<string>")),
                  F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / max(total, 1))), minConfidence=confidence).fit(bad)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD))).select(
-        "antecedent", "confidence", (F.col("support") * total).cast("bigint").alias("n_urls"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / max(total, 1))), minConfidence=floor).fit(bad)
+    n, sure = F.col("support") * total / F.col("confidence"), F.col("confidence")
+    low = (sure + z * z / (2 * n) - z * F.sqrt(sure * (1 - sure) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    led = model.associationRules.where((F.col("consequent") == F.array(F.lit(_BAD))) & (low > share))
+    found = led.select(
+        "antecedent", "confidence", F.round(F.col("support") * total).cast("bigint").alias("n_urls"))
     # An item stands for all tokens that were seen in the same URLs.
     whole = found.select(F.monotonically_increasing_id().alias("id"), "*").withColumn("item", F.explode("antecedent")).join(
         groups, "item").groupBy("id").agg(

@@ -1,3 +1,6 @@
+import itertools
+import math
+import random
 import html
 import time
 
@@ -53,6 +56,50 @@ def test_mined_rules(spark):
     assert [verdicts[i] for i in range(8)] == ["block", "allow", "allow", "allow"] * 2
 
 
+def recounted(rows, share, floor, least, z=2.58):
+    """Rules by trying every set of tokens, those of equal rows as one."""
+    places = {}
+    for i, (tokens, _) in enumerate(rows):
+        for token in tokens:
+            places.setdefault(token, set()).add(i)
+    groups = {}
+    for token, at in places.items():
+        groups.setdefault(frozenset(at), []).append(token)
+    items = [(at, same) for at, same in groups.items() if len(at) >= least]
+    bad, rules = {i for i, r in enumerate(rows) if r[1]}, {}
+    for size in range(1, len(items) + 1):
+        for some in itertools.combinations(items, size):
+            at = frozenset.intersection(*(s[0] for s in some))
+            n, k = len(at), len(at & bad)
+            if k < least or k / n < floor:
+                continue
+            low = (k / n + z * z / 2 / n - z * math.sqrt(k / n * (1 - k / n) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+            if low > share:
+                rules[frozenset(t for s in some for t in s[1])] = (round(k / n, 9), k)
+    return {r: v for r, v in rules.items() if not any(o < r and w[0] >= v[0] for o, w in rules.items())}
+
+
+def test_mined_rules_against_a_recount(spark):
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(600):
+        tokens = [t for t in "abcdefgh" if rnd.random() < 0.4] + ["z", "y"]
+        rate = 0.2 + 0.3 * ("a" in tokens) + 0.45 * ("b" in tokens and "c" in tokens)
+        rows.append((tokens, rnd.random() < rate))
+    share = sum(b for _, b in rows) / len(rows)
+    table = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    for confidence, floor in ((None, min(0.8, 1.5 * share)), (0.5, 0.5)):
+        got = {frozenset(r.antecedent): (round(r.confidence, 9), r.n_urls)
+               for r in url_filters.mine(table, confidence=confidence).collect()}
+        assert got == recounted(rows, share, floor, 10) and len(got) >= 3
+
+
+def test_no_rule_where_labels_are_by_chance(spark):
+    rnd = random.Random(4)
+    rows = [([t for t in "abcdefgh" if rnd.random() < 0.4], rnd.random() < 0.9) for _ in range(400)]
+    assert url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).count() == 0
+
+
 def test_a_repeated_long_url_is_one_item(spark):
     long = "http://h.net/" + "/".join(f"s{i}" for i in range(60))
     labelled = spark.createDataFrame([(long, True)] * 40 + [("http://o.net/a", False)] * 40, "url string, bad boolean")
