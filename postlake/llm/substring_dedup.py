@@ -15,8 +15,9 @@ window, and the smallest ones of the parts, a row for each window, are compared
 128-bit hashes. The sample only steers the layout: both ways are exact. A text that a
 task has seen before under a smaller doc_id is marked at once.
 
-Null texts have no words; texts of fewer words than a window keep all; rows of one
-doc_id do not remove each other's windows (they are taken to have one text); rows
+Null texts have no words; texts of fewer words than a window keep all; very long ones are
+taken whole. Rows of one doc_id do not remove each other's windows; where their texts
+differ, each loses its own (rows are told apart by doc_id and a hash of the text). Rows
 without doc_id are left as they are. Other columns are not looked at.
 """
 
@@ -86,9 +87,9 @@ def window_hashes(values: np.ndarray, width: int, factor: int) -> np.ndarray:
 
 
 def marked(
-    values: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int, settled: bool
-) -> tuple[list[tuple[int, int, int]], dict[str, np.ndarray] | None]:
-    """Ranges (doc, start, end) of marked words in packed runs, and the windows of
+    values: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, width: int, settled: bool
+) -> tuple[list[tuple[int, int, int, int]], dict[str, np.ndarray] | None]:
+    """Ranges (doc, sig, start, end) of marked words in packed runs, and the windows of
     smallest documents if others may have them too."""
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     count = sizes - width + 1
@@ -96,7 +97,7 @@ def marked(
     inner = np.arange(len(record)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
     at = begin[record] + inner
     hashed = window_hashes(values, width, _FACTORS[0])[at]
-    doc, pos = docs[record], starts[record] + inner
+    doc, sig, pos = docs[record], sigs[record], starts[record] + inner
     order = np.argsort(hashed)
     same = hashed[order][1:] == hashed[order][:-1]
     some = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
@@ -119,12 +120,12 @@ def marked(
     hit = np.flatnonzero(~lower)
     breaks = np.flatnonzero((np.diff(hit) != 1) | (np.diff(record[hit]) != 0))
     first, last = hit[np.concatenate(([0], breaks + 1))] if len(hit) else hit, hit[np.append(breaks, len(hit) - 1)] if len(hit) else hit
-    ranges = list(zip(doc[first].tolist(), pos[first].tolist(), (pos[last] + width).tolist(), strict=True))
+    ranges = list(zip(doc[first].tolist(), sig[first].tolist(), pos[first].tolist(), (pos[last] + width).tolist(), strict=True))
     if settled:
         return ranges, None
     mine = np.flatnonzero(lower)
     second = window_hashes(values, width, _FACTORS[1])[at[mine]]
-    return ranges, {"doc_id": doc[mine], "start": pos[mine], "high": hashed[mine].view(np.int64), "low": second.view(np.int64)}
+    return ranges, {"doc_id": doc[mine], "sig": sig[mine], "start": pos[mine], "high": hashed[mine].view(np.int64), "low": second.view(np.int64)}
 
 
 def _crowded(docs: DataFrame, width: int, mer: int, sample_rows: int) -> tuple[dict[int, int], int]:
@@ -165,20 +166,20 @@ def _sent(docs: DataFrame, width: int, mer: int, crowded: dict[int, int], bucket
         crowd.sort()
         parts_of = np.array([spread[int(k)] for k in crowd.view(np.int64)], np.uint64)
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        bins: dict[tuple[int, bool], list[tuple[int, int, int, int, bytes]]] = {}
-        whole: list[tuple[int, int]] = []
+        bins: dict[tuple[int, bool], list[tuple[int, int, int, int, int, bytes]]] = {}
+        whole: list[tuple[int, int, int]] = []
         size = 0
 
         def out() -> Iterator[dict]:
-            columns: dict[str, list] = {c: [] for c in ("bucket", "crowd", "docs", "starts", "sizes", "subs", "data")}
+            columns: dict[str, list] = {c: [] for c in ("bucket", "crowd", "docs", "starts", "sizes", "subs", "sigs", "data")}
             for (bucket, crowded_bin), rows in sorted(bins.items()):
-                arrays = (bucket, crowded_bin, *(np.array([r[k] for r in rows], np.int64).tobytes() for k in range(4)),
-                          squeeze(b"\n".join([r[4] for r in rows])))
+                arrays = (bucket, crowded_bin, *(np.array([r[k] for r in rows], np.int64).tobytes() for k in range(5)),
+                          squeeze(b"\n".join([r[5] for r in rows])))
                 for column, value in zip(columns.values(), arrays, strict=True):
                     column.append(value)
-            for doc, n in whole:
+            for doc, sig, n in whole:
                 arrays = (int(mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(buckets)), False,
-                          np.int64(doc).tobytes(), np.int64(0).tobytes(), np.int64(n).tobytes(), b"", None)
+                          np.int64(doc).tobytes(), np.int64(0).tobytes(), np.int64(n).tobytes(), b"", np.int64(sig).tobytes(), None)
                 for column, value in zip(columns.values(), arrays, strict=True):
                     column.append(value)
             bins.clear()
@@ -187,20 +188,20 @@ def _sent(docs: DataFrame, width: int, mer: int, crowded: dict[int, int], bucket
                 yield columns
 
         for part in slices(batches):
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for doc, sig, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "sig", "text")), strict=True):
                 words = (text or "").encode().split()
                 if doc is None or len(words) < width:
                     continue
                 joined = b" ".join(words)
                 digest = hashlib.blake2b(joined, digest_size=16).digest()
                 earlier = seen.get(digest)
-                if earlier is not None and earlier <= doc:
-                    if earlier < doc:
-                        whole.append((doc, len(words)))
+                if earlier is not None and (earlier[0] < doc or earlier == (doc, sig)):
+                    if earlier[0] < doc:
+                        whole.append((doc, sig, len(words)))
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
-                seen[digest] = doc
+                seen[digest] = doc, sig
                 values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                 keys, first, sizes = super_kmers(values, width, mer)
@@ -217,18 +218,18 @@ def _sent(docs: DataFrame, width: int, mer: int, crowded: dict[int, int], bucket
                 sub = (home >> np.uint64(40)) & np.uint64(0xFFFF)
                 for b, c, s, n, u, x, y in zip(bucket.tolist(), is_crowd.tolist(), first.tolist(), sizes.tolist(),
                                                sub.tolist(), left.tolist(), right.tolist(), strict=True):
-                    bins.setdefault((b, c), []).append((doc, s, n, u, joined[x:y]))
+                    bins.setdefault((b, c), []).append((doc, s, n, u, sig, joined[x:y]))
                 size += len(joined) * 3
                 if size >= _SENT:
                     yield from out()
                     size = 0
         yield from out()
 
-    return by_arrow(docs.select("doc_id", "text"), work,
-                    "bucket int, crowd boolean, docs binary, starts binary, sizes binary, subs binary, data binary")
+    return by_arrow(docs.select("doc_id", F.xxhash64("text").alias("sig"), "text"), work,
+                    "bucket int, crowd boolean, docs binary, starts binary, sizes binary, subs binary, sigs binary, data binary")
 
 
-_MARKS = "doc_id bigint, start bigint, end bigint, high bigint, low bigint"
+_MARKS = "doc_id bigint, sig bigint, start bigint, end bigint, high bigint, low bigint"
 
 
 def _marks(sent: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -254,10 +255,10 @@ def _marks(sent: DataFrame, width: int, buckets: int) -> DataFrame:
                         continue
                     words = b" ".join([lines[i] for i in mine.tolist()]).split(b" ")
                     values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    ranges, open_ = marked(values, *numbers[:3, mine], width, whole)
+                    ranges, open_ = marked(values, *numbers[:3, mine], numbers[4, mine], width, whole)
                     if ranges:
-                        yield {"doc_id": [r[0] for r in ranges], "start": [r[1] for r in ranges],
-                               "end": [r[2] for r in ranges], "high": [None] * len(ranges), "low": [None] * len(ranges)}
+                        yield {"doc_id": [r[0] for r in ranges], "sig": [r[1] for r in ranges],
+                               "start": [r[2] for r in ranges], "end": [r[3] for r in ranges], "high": [None] * len(ranges), "low": [None] * len(ranges)}
                     if open_:
                         yield open_ | {"end": open_["start"] + width}
             size = 0
@@ -266,8 +267,8 @@ def _marks(sent: DataFrame, width: int, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 if row["data"] is None:
-                    doc, start, n = (int(np.frombuffer(row[c], np.int64)[0]) for c in ("docs", "starts", "sizes"))
-                    yield {"doc_id": [doc], "start": [start], "end": [n], "high": [None], "low": [None]}
+                    doc, sig, start, n = (int(np.frombuffer(row[c], np.int64)[0]) for c in ("docs", "sigs", "starts", "sizes"))
+                    yield {"doc_id": [doc], "sig": [sig], "start": [start], "end": [n], "high": [None], "low": [None]}
                     continue
                 if (row["bucket"], row["crowd"]) != state:
                     yield from settle(True)
@@ -275,7 +276,7 @@ def _marks(sent: DataFrame, width: int, buckets: int) -> DataFrame:
                 data = expand(row["data"])
                 if size and size + len(data) > _HELD:
                     yield from settle(False)
-                rows.append((np.stack([np.frombuffer(row[c], np.int64) for c in ("docs", "starts", "sizes", "subs")]),
+                rows.append((np.stack([np.frombuffer(row[c], np.int64) for c in ("docs", "starts", "sizes", "subs", "sigs")]),
                              data.split(b"\n")))
                 size += len(data)
         yield from settle(True)
@@ -285,8 +286,8 @@ def _marks(sent: DataFrame, width: int, buckets: int) -> DataFrame:
 
 
 def repeated(docs: DataFrame, *, width: int = 50, mer: int = 8, sample_rows: int = 10_000) -> DataFrame:
-    """(doc_id, start, end): ranges of words, which may overlap, in windows that also
-    start in a document with a smaller doc_id."""
+    """(doc_id, sig, start, end): ranges of words, which may overlap, in windows that also
+    start in a document with a smaller doc_id; sig is a hash of the text."""
     crowded, size = _crowded(docs, width, mer, sample_rows)
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffles, -(-3 * size // _PLANNED))
@@ -294,13 +295,14 @@ def repeated(docs: DataFrame, *, width: int = 50, mer: int = 8, sample_rows: int
     open_ = marks.where("high is not null")
     least = open_.groupBy("high", "low").agg(F.min("doc_id").alias("least"))
     late = open_.join(least, ["high", "low"]).where("doc_id > least")
-    return marks.where("high is null").select("doc_id", "start", "end").unionByName(late.select("doc_id", "start", "end"))
+    kept = ("doc_id", "sig", "start", "end")
+    return marks.where("high is null").select(*kept).unionByName(late.select(*kept))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space."""
-    ranges = repeated(docs, **options).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    met = docs.select("doc_id", "text").join(ranges, "doc_id", "left")
+    ranges = repeated(docs, **options).groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    met = docs.select("doc_id", F.xxhash64("text").alias("sig"), "text").join(ranges, ["doc_id", "sig"], "left")
 
     def work(batches: Batches) -> Iterator[dict]:
         for part in slices(batches):

@@ -148,3 +148,17 @@ def test_passages_of_awkward_rows(spark):
     found = substring_dedup.deduplicated(awkward(spark)).collect()
     assert len(found) == 11 and all(r.n_removed == 0 for r in found)
     assert substring_dedup.deduplicated(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("held", [None, 4000])
+def test_windows_of_one_id_with_different_texts(spark, monkeypatch, held):
+    if held:
+        monkeypatch.setattr(substring_dedup, "_HELD", held)
+        monkeypatch.setattr(substring_dedup, "_SENT", held)
+    a, b, c = (prose(seed, 100, 10**6) for seed in (1, 2, 3))
+    rows = [(1, " ".join(a)), (2, " ".join(a)), (2, " ".join(b)), (2, "  ".join(a)), (2, " ".join(a)),
+            (3, " ".join(b[:60] + c)), (3, " ".join(c))]
+    found = substring_dedup.deduplicated(docs(spark, rows)).collect()
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found)
+    assert got == sorted([(1, 100, 0, rows[0][1]), *[(2, 100, 100, "")] * 3, (2, 100, 0, rows[2][1]),
+                          (3, 160, 60, " ".join(c)), (3, 100, 0, rows[6][1])])
