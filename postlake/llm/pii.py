@@ -15,7 +15,8 @@ many copies there are.
 Only DataFrame functions: no Python runs in tasks. Entities that stand in the same texts
 have the same counts and are counted as one, and so are terms; terms too common to
 disclose an entity do not meet it, so a long list of addresses is not paired with all its
-words. Words are placed in time linear in the text. Distinct texts are found by a hash;
+words. Words are placed in time linear in the text, but cutting out its spans takes spans
+times length. Distinct texts are found by a hash;
 terms meet the texts by a broadcast if there are at most `most_broadcast` of them, and not
 more than 8 MB.
 
