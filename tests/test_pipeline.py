@@ -350,3 +350,14 @@ def test_tagging_by_a_table(spark):
     assert enrich.tagged(df, taxonomy.limit(0), "id").collect() == []
     plan = enrich.tagged(df, taxonomy, "id")._jdf.queryExecution().executedPlan().toString()
     assert "description" not in plan.split("Exchange", 1)[0] and "ingenieur" not in plan
+
+
+def test_skills_of_an_alias_do_not_multiply_its_places(spark):
+    many = [("a", f"s{i:03}") for i in range(200)] + [("a b", "pair"), ("c", "s007")]
+    taxonomy = spark.createDataFrame(many, "alias string, skill string")
+    df = spark.createDataFrame([(1, "a c " * 50, "a"), (2, "a b", "b a b"), (3, None, "b c")], "id bigint, title string, description string")
+    tagged = enrich.tagged(df, taxonomy, "id")
+    assert {r.id: r.skills for r in tagged.collect()} == {1: [f"s{i:03}" for i in range(200)], 2: ["pair"], 3: ["s007"]}
+    # Skills join in above the window over places, so 200 of them are not 200 rows a place.
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert "skill" not in plan[plan.index("Window"):].split("Relation")[0]
