@@ -297,3 +297,17 @@ def test_a_look_up_by_key_skips_row_groups(spark, tmp_path):
     absent = table.filter(F.col("fingerprint") == "0" * 39 + "g")
     assert scanned(absent) == 0
     assert search.get_many(table, rows.select("fingerprint")).count() == 40_000
+
+
+def test_segments_of_bounded_texts(spark):
+    from postlake.plans.corpus import postings
+
+    state = postings(spark, "/root/testdata/sf0.001").coalesce(1)
+    path = scratch_path(spark, "index")
+    index.write_index(state, path, segment=50_000)
+    stored = index.read_index(spark, path)
+    sizes = [r["count"] for r in stored.rows.groupBy(F.input_file_name()).count().collect()]
+    whole = index.index_rows(state).count()
+    assert sum(sizes) == whole and len(sizes) > 4 and max(sizes) < whole / 3
+    found = index.search_index(stored, state, "the of", limit=None)
+    assert [(r.external_id, r["rank"]) for r in found.collect()] == [(r.external_id, r["rank"]) for r in search.search(state, "the of", limit=None).collect()]
