@@ -98,3 +98,17 @@ def test_best_postings_without_most_blocks(spark, state):
 def test_an_empty_state(spark, state):
     none = lists.write_lists(state.limit(0), scratch_path(spark, "lists"), folders=2)
     assert lists.search_lists(none, state.limit(0), "the").collect() == []
+
+
+def test_files_hold_a_bounded_number_of_entries(spark, state):
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = lists.write_lists(state, scratch_path(spark, "lists"), folders=2, split=2000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = stored.listed().groupBy(F.input_file_name()).agg(F.sum("n").alias("n")).collect()
+    whole = sum(r.n for r in held)
+    assert whole == stored.dictionary.agg({"postings": "sum"}).first()[0] > 20000
+    assert stored.dictionary.where("postings > 2000").isEmpty() and max(r.n for r in held) < whole / 4
