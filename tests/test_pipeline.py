@@ -361,3 +361,18 @@ def test_skills_of_an_alias_do_not_multiply_its_places(spark):
     # Skills join in above the window over places, so 200 of them are not 200 rows a place.
     plan = tagged._jdf.queryExecution().optimizedPlan().toString()
     assert "skill" not in plan[plan.index("Window"):].split("Relation")[0]
+
+
+def test_small_keyed_files_have_small_filters(spark):
+    from postlake.session import keyed
+
+    path = scratch_path(spark, "keyed")
+    keyed(spark.range(50).selectExpr("cast(id as string) AS fingerprint").coalesce(1).write).parquet(path)
+    file = next(pathlib.Path(path.removeprefix("file:")).glob("*.parquet"))
+    assert file.stat().st_size < 8000
+    held = spark._jvm.org.apache.parquet.hadoop
+    reader = held.ParquetFileReader.open(held.util.HadoopInputFile.fromPath(
+        spark._jvm.org.apache.hadoop.fs.Path(str(file)), spark._jsc.hadoopConfiguration()))
+    block = reader.getFooter().getBlocks().get(0)
+    assert reader.getBloomFilterDataReader(block).readBloomFilter(block.getColumns().get(0)) is not None
+    reader.close()
