@@ -164,7 +164,8 @@ class Store:
             counted = counters(old)
             place = f"state/{uuid.uuid4().hex}"
             changed = change(old, version).withColumn("bucket", self.bucket_of())
-            ordered = changed.sortWithinPartitions("bucket", "fingerprint")
+            # A file for each bucket: as many as the tasks that read it would make more of them each run.
+            ordered = changed.repartition("bucket").sortWithinPartitions("bucket", "fingerprint")
             keyed(ordered.write).partitionBy("bucket").parquet(self.folder(place))
             folders = dict(base.folders) if base else {}
             for bucket in touched:
@@ -182,9 +183,9 @@ class Store:
                 return counted
 
     def upsert(self, batch: DataFrame, run: str, mark: tuple[str, int] | None = None) -> dict[str, int]:
-        """Write a folded batch over the state. While it is small enough to be sent to
-        every task, the rows it does not touch are neither shuffled nor sorted. `mark`
-        names a stream and its batch. Returns how many postings were new and updated."""
+        """Write a folded batch over the state. The rows of the touched buckets are dealt
+        by bucket, one file for each. `mark` names a stream and its batch. Returns how
+        many postings were new and updated."""
         sized = batch.select(*STATE_COLUMNS).withColumn("doc_tokens", token_count(batch))
         written = materialise(sized, "batch")
 

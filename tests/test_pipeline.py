@@ -364,6 +364,8 @@ def test_skills_of_an_alias_do_not_multiply_its_places(spark):
 
 
 def test_small_keyed_files_have_small_filters(spark):
+    import pathlib
+
     from postlake.session import keyed
 
     path = scratch_path(spark, "keyed")
@@ -376,3 +378,25 @@ def test_small_keyed_files_have_small_filters(spark):
     block = reader.getFooter().getBlocks().get(0)
     assert reader.getBloomFilterDataReader(block).readBloomFilter(block.getColumns().get(0)) is not None
     reader.close()
+
+
+def test_a_run_writes_a_file_for_each_bucket(spark):
+    import pathlib
+
+    from postlake.operators.state import fold as state_fold
+
+    store = Store(spark, scratch_path(spark, "files"), buckets=4)
+    for number in range(3):
+        rows = spark.range(40 * (number + 1)).repartition(8).select(
+            F.sha1(F.col("id").cast("string").cast("binary")).alias("fingerprint"), F.lit("s").alias("source"),
+            F.concat(F.lit(f"{number} "), "id").alias("title"), F.lit(number).cast("bigint").alias("run_seq"),
+            F.col("id").alias("ingest_seq"), F.lit(NOW).alias("seen_at"))
+        empty = {f.name: F.lit(None).cast(f.dataType) for f in store.empty_state().schema.fields
+                 if f.name not in (*rows.columns, "first_seen_at", "last_seen_at")}
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            store.upsert(state_fold(rows.withColumns(empty)), f"r/{number}")
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list(pathlib.Path(store.folder("state").removeprefix("file:")).rglob("*.parquet"))
+    assert store.state().count() == 120 and len(files) == 3 * 4
