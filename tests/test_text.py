@@ -171,3 +171,23 @@ def test_text_of_any_depth(spark):
     df = spark.createDataFrame([(i, json.dumps(v)) for i, (_, v) in enumerate(table)], "i int, j string")
     rows = df.select("i", variants.text_of(F.parse_json("j")).alias("t")).orderBy("i").collect()
     assert [r.t or None for r in rows] == [want for want, _ in table]
+
+
+def test_long_runs_of_space(spark):
+    """Runs of blank lines that no stack holds, and each kind of white space alone."""
+    runs = [("a" + run * 50_000 + "b", "a\nb", "a b") for run in ("\n", " \n", "\r\n\u2028", "\xa0\x85")]
+    runs += [("a" + "\u3000 \t" * 50_000 + "b", "a b", "a b"), (" \n" * 50_000, None, None)]
+    for char in map(chr, range(0x3002)):
+        if char.isspace():
+            ends = char in "\n\v\f\r\x1c\x1d\x1e\x85\u2028\u2029"
+            runs += [(f"{char}é{char}b{char} {char}c{char}", "é\nb\nc" if ends else "é b c", "é b c")]
+    df = spark.createDataFrame(runs, "given string, lines string, blanks string")
+    found = df.select("lines", "blanks", text.html_to_text(F.col("given")).alias("l"), text.clean_text(F.col("given")).alias("b"))
+    assert found.filter("NOT (lines <=> l) OR NOT (blanks <=> b)").collect() == []
+
+
+def test_plain_texts_are_only_looked_through(spark):
+    """Letters, single blanks and line feeds ask for no replacement."""
+    plain = "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x1680), 0x2010, 0x200B, 0x3001, 0xFEFF, 0x1F600]))
+    df = spark.createDataFrame([(plain,), (f"a{chr(10)}b c",)], "t string")
+    assert df.filter(F.col("t").rlike(text._RARE_SPACE)).collect() == []
