@@ -72,17 +72,39 @@ def sitemap_key(address: Column) -> Column:
     return F.sha1(F.trim(address).cast("binary"))
 
 
-def _landed(spark: SparkSession, path: str, row: str, fields: str) -> DataFrame:
+def _entries(bodies: DataFrame, row: str, fields: str) -> DataFrame:
+    """Entries of sitemaps kept as texts, with the key of their file and their place in it.
+    A text that is not well-formed is cut where entries end, and each is read by itself."""
+    whole = F.from_xml("body", f"{row} array<struct<{fields}>>")[row]
+    parts = F.split(F.regexp_replace("body", r"(?s)<!--.*?-->", ""), rf"</{row}\s*>")
+    closed = F.slice(parts, 1, F.size(parts) - 1)
+    each = F.transform(closed, lambda p: F.from_xml(
+        F.concat(F.regexp_extract(p, rf"(?s)^.*(<{row}(?:\s[^>]*)?>.*)$", 1), F.lit(f"</{row}>")), fields))
+    # Hashes are taken before the entries are dealt out: once for a text, not for each entry.
+    # The outer form keeps Spark from asking beforehand, by a second reading, whether there are any.
+    texts = bodies.select(
+        sitemap_key(F.col("address")).alias("site"), F.sha1("body").alias("text"), F.coalesce(whole, each).alias("entries"))
+    return texts.select("site", "text", F.posexplode_outer("entries").alias("pos", "entry")).select(
+        "site", "entry.*", F.struct("text", "pos").alias("place"))
+
+
+def _landed(spark: SparkSession, landed: str | DataFrame, row: str, fields: str) -> DataFrame:
     """Entries of all landed files with the key of their file and their place in it."""
-    rows = spark.read.format("xml").option("rowTag", row).schema(f"{fields}, site string").option("basePath", path).load(path)
+    if isinstance(landed, DataFrame):
+        rows = _entries(landed, row, fields)
+    else:
+        rows = (
+            spark.read.format("xml").option("rowTag", row).schema(f"{fields}, site string").option("basePath", landed)
+            .load(landed)
+            .withColumn("place", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                          F.monotonically_increasing_id().alias("place")))
+        )
     return rows.select(
-        "site", *[F.trim(c).alias(c) for c in rows.columns if c != "site"],
-        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                 F.monotonically_increasing_id().alias("place")).alias("place"),
+        "site", *[F.trim(c).alias(c) for c in rows.columns if c not in ("site", "place")], "place"
     ).filter(F.col("loc").isNotNull())
 
 
-def sitemap_files(spark: SparkSession, path: str, roots: list[str]) -> DataFrame:
+def sitemap_files(spark: SparkSession, landed: str | DataFrame, roots: list[str]) -> DataFrame:
     """Landed files (`site`) that the root addresses lead to, over indexes of indexes, and
     their `route`: files sort by it level by level, and within a level in the order in
     which the indexes name them. Each round asks for the children of the files found last
@@ -90,7 +112,7 @@ def sitemap_files(spark: SparkSession, path: str, roots: list[str]) -> DataFrame
     # An index file names at most 50,000 files by its format: the window is bounded.
     in_file = Window.partitionBy("site").orderBy("place")
     links = materialise(
-        _landed(spark, path, "sitemap", "loc string").select(
+        _landed(spark, landed, "sitemap", "loc string").select(
             "site", sitemap_key(F.col("loc")).alias("child"),
             F.lpad(F.row_number().over(in_file).cast("string"), 6, "0").alias("place")),
         "sitemap-links")
@@ -112,15 +134,16 @@ def sitemap_files(spark: SparkSession, path: str, roots: list[str]) -> DataFrame
 
 
 def read_sitemap_tree(
-    spark: SparkSession, path: str, roots: list[str], keep: str = "", limit: int | None = None
+    spark: SparkSession, landed: str | DataFrame, roots: list[str], keep: str = "", limit: int | None = None
 ) -> DataFrame:
     """`<url>` entries of all sitemaps that the root addresses lead to, that match `keep`.
-    Files lie below `path` in a folder of their `sitemap_key`; addresses without a file
-    give nothing. `limit` is a quota of entries in the order of `sitemap_files` and of
+    `landed` is a table of files (`address`, `body` as XML text), or a path below which each
+    lies in a folder of its `sitemap_key`: a folder costs listing and opening for each file,
+    so many small files belong in a table. Addresses without a file give nothing. `limit` is a quota of entries in the order of `sitemap_files` and of
     each file, taken before `keep` is asked: entries are counted per file, and only those
     of the file in which the quota ends are ranked."""
-    entries = _landed(spark, path, "url", "loc string, lastmod string").join(
-        sitemap_files(spark, path, roots), "site")
+    entries = _landed(spark, landed, "url", "loc string, lastmod string").join(
+        sitemap_files(spark, landed, roots), "site")
     if limit:
         counted = entries.groupBy("level", "route", "site").agg(F.count("*").alias("_n"))
         # Each file has an entry, so the quota ends within the first `limit` files.

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.operators import reports, state as st
+from postlake.plans import queries
 from postlake.session import scratch_path
 from postlake.sources import pages
 
@@ -61,6 +62,53 @@ def test_unknown_roots_give_nothing(spark, landed):
     assert pages.read_sitemap_tree(spark, landed, ["https://other.example.org/"], limit=3).collect() == []
 
 
+def texts(spark, folder):
+    """The landed files of a folder as a table, addressed by the tests' names."""
+    names = [ROOT, *[f"https://s.example.org/{n}.xml" for n in ("a", "b", "c", "d", "e", "orphan")]]
+    found = {hashlib.sha1(n.encode()).hexdigest(): n for n in names}
+    rows = [(found[p.name[5:]], gzip.decompress((p / "f.xml.gz").read_bytes()).decode()) for p in pathlib.Path(folder).iterdir()]
+    return spark.createDataFrame(rows, "address string, body string").repartition(3)
+
+
+def test_a_table_of_sitemaps_is_read_as_the_folder(spark, landed):
+    table = texts(spark, landed)
+    for given in ({"keep": "0$"}, {"limit": 4}):
+        in_folder = pages.read_sitemap_tree(spark, landed, [ROOT], **given)
+        assert sorted(pages.read_sitemap_tree(spark, table, [ROOT], **given).collect()) == sorted(in_folder.collect()), given
+    routes = pages.sitemap_files(spark, table, [ROOT]).collect()
+    assert sorted(map(str, routes)) == sorted(map(str, pages.sitemap_files(spark, landed, [ROOT]).collect()))
+
+
+@pytest.mark.parametrize("body, found", [
+    ("<urlset>{a}<url><loc>b?x&y</loc></url>{c}</urlset>", "ac"),
+    ("<urlset>{a}<url ><loc>b</lc></url >{c}", "ac"),
+    ("<urlset>{a}{c}<url><loc>b</lo", "ac"),
+    ("<urlset>{a}<url><loc>b</loc>{c}</urlset>", "ac"),
+    ("<urlset>{a}<!-- {b} -->{c}<url>", "ac"),
+    ("<urlset>{a}<!-- {b} -->{c}</urlset>", "ac"),
+    ("<urlset><url/><url><loc><![CDATA[</url>b]]></loc></url>{c}</urlset>", "</url>bc"),
+    ('<?xml version="1.0" encoding="ISO-8859-1"?><urlset xmlns:i="i"><url id="1"><loc> é </loc><i:x><i:loc>b</i:loc></i:x></url></urlset>', "é"),
+    ("<html>{b}</html>", "b"), ("", ""), (None, ""), ("<urlset></urlset>", ""), ("</url></url>", ""),
+])
+def test_odd_sitemap_texts(spark, body, found):
+    named = {n: f"<url><loc>{n}</loc><lastmod>1</lastmod></url>" for n in "abc"}
+    table = spark.createDataFrame([(ROOT, body and body.format(**named))], "address string, body string")
+    rows = pages._landed(spark, table, "url", "loc string, lastmod string").orderBy("place").collect()
+    assert "".join(r.loc for r in rows) == found
+
+
+def test_sitemaps_do_not_lie_in_a_file_each(spark, tmp_path):
+    spark.range(4000).selectExpr(
+        "id AS doc_id", "'' AS text", "'en' AS lang", "concat('s', id % 3) AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    landed = queries._sitemaps(spark, str(tmp_path))
+    assert landed.count() == 100 + 15 + 1
+    assert len(landed.inputFiles()) <= 12
+    found = ends(queries.QUERIES["sitemap_tree"](spark, str(tmp_path)))
+    assert sorted(map(int, found)) == [i for i in range(4000) if i // 40 % 5 != 4]
+    first = [i for i in range(4000) if i // 40 % 5 != 4][:queries.MAP_QUOTA]
+    assert sorted(map(int, ends(queries.QUERIES["sitemap_tree_quota"](spark, str(tmp_path))))) == first
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_quantiles(spark, parts):
     rng = random.Random(5)
