@@ -97,6 +97,16 @@ def test_odd_sitemap_texts(spark, body, found):
     assert "".join(r.loc for r in rows) == found
 
 
+def test_a_text_is_hashed_and_read_once_whatever_its_entries(spark, landed):
+    path = scratch_path(spark, "texts")
+    texts(spark, landed).write.parquet(path)
+    rows = pages._landed(spark, spark.read.parquet(path), "url", "loc string, lastmod string")
+    above, generate, below = rows._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert generate and "sha1(" not in above and "from_xml(" not in above
+    # The whole text, and its entries where that fails: no filter asks for them again.
+    assert below.count("from_xml(") == 2 and "Filter" not in below
+
+
 def test_sitemaps_do_not_lie_in_a_file_each(spark, tmp_path):
     spark.range(4000).selectExpr(
         "id AS doc_id", "'' AS text", "'en' AS lang", "concat('s', id % 3) AS source").write.parquet(f"{tmp_path}/documents.parquet")
