@@ -17,6 +17,8 @@ of 0.95 with 0.9998; two unrelated vectors share a home cell of a table once in
   blocks of `BLOCK` by hash, of which those inside its largest component are left out.
 * Two vectors with a link are in one component, so links are counted within components,
   by blocks as well: no pair of a group is ever a row.
+* All joins are sorted merges. Spark takes the cells of a vector, a hundred rows made by
+  Python, for no larger than the vector, and would send them to the driver to broadcast.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing, as do vectors of different length; labels and other columns are not looked at.
@@ -164,7 +166,7 @@ def _cells(vertices: DataFrame, tables: int, codes: int, scale: float, probes: i
 
 def _verified(pairs: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that are links."""
-    a, b = (vertices.select(F.col("v").alias(s), F.col("embedding").alias(f"vector_{s}")) for s in "ab")
+    a, b = (vertices.select(F.col("v").alias(s), F.col("embedding").alias(f"vector_{s}")).hint("merge") for s in "ab")
     met = pairs.join(a, "a").join(b, "b").where("size(vector_a) = size(vector_b)")
 
     def work(batches: Batches) -> Iterator[dict]:
@@ -230,12 +232,12 @@ def _sides(run: pa.Table, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 def _joining(cells: DataFrame, vertices: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between components that meet in a cell (key, v)."""
-    placed = cells.join(roots.select(F.col("id").alias("v"), "root"), "v", "left")
+    placed = cells.join(roots.select(F.col("id").alias("v"), "root").hint("merge"), "v", "left")
     placed = placed.withColumn("root", F.coalesce("root", "v"))
     counted = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     open_ = counted.where("roots > 1").select("key", "n", "main")
-    rows = placed.join(open_, "key")
+    rows = placed.join(open_.hint("merge"), "key")
     inside = F.col("root") == F.col("main.root")
     rest = (F.col("n") - F.col("main.n")).cast("bigint")
     whole = F.col("n") <= BLOCK
@@ -246,7 +248,7 @@ def _joining(cells: DataFrame, vertices: DataFrame, roots: DataFrame, least: flo
         F.when(whole, 0).when(inside, few + F.pmod(at, many)).otherwise(F.pmod(at, few)).cast("bigint").alias("c"),
         F.when(whole, 1).otherwise(few).cast("bigint").alias("g"),
         F.when(whole, 1).otherwise(few + many).cast("bigint").alias("all"))
-    units_ = _blocks(rows, ["key", "v", "root"]).join(vertices.select("v", "embedding"), "v")
+    units_ = _blocks(rows, ["key", "v", "root"]).join(vertices.select("v", "embedding").hint("merge"), "v")
     dealt = units_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def work(batches: Batches) -> Iterator[dict]:
@@ -288,7 +290,8 @@ def _forest(links: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[int, in
 def _counted(vertices: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(v, n): other vectors that a vertex in a component is linked with, copies of its own left out."""
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    rows = roots.withColumnRenamed("id", "v").join(sizes, "root").join(vertices.select("v", "copies", "embedding"), "v")
+    rows = roots.withColumnRenamed("id", "v").join(sizes.hint("merge"), "root").join(
+        vertices.select("v", "copies", "embedding").hint("merge"), "v")
     chunks = F.ceil(F.col("size") / BLOCK).cast("bigint")
     rows = rows.select("root", "v", "copies", "embedding", F.pmod(F.xxhash64("v"), chunks).alias("c"),
                        chunks.alias("g"), chunks.alias("all"))
@@ -329,7 +332,7 @@ def classes(
     cells = _cells(vertices, tables, codes, scale, probes)
     shared = cells.groupBy("key").agg(
         F.count("*").alias("n"), F.min(F.when(F.col("home"), F.col("v"))).alias("leader")).where("n > 1 and leader is not null")
-    met = materialise(cells.join(shared.select("key", "leader"), "key").select("key", "v", "leader"), "cells")
+    met = materialise(cells.join(shared.select("key", "leader").hint("merge"), "key").select("key", "v", "leader"), "cells")
     first = met.where("v <> leader").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
     links = materialise(_verified(first, vertices, least), "links")
     roots = materialise(components(links), "roots")
@@ -337,12 +340,13 @@ def classes(
     roots = materialise(components(links), "roots")
 
     counts = _counted(vertices, roots, least)
-    placed = vertices.select("h", "g", "v", "least", "copies").join(roots.withColumnRenamed("id", "v"), "v", "left").join(
-        counts, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    placed = vertices.select("h", "g", "v", "least", "copies").join(
+        roots.withColumnRenamed("id", "v").hint("merge"), "v", "left").join(
+        counts.hint("merge"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = placed.join(named, "root").select(
+    told = placed.join(named.hint("merge"), "root").select(
         "h", "g", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id").where("n_links > 0")
-    return rows.select("vec_id", "h", "g").join(told, ["h", "g"], "left").select(
+    return rows.select("vec_id", "h", "g").join(told.hint("merge"), ["h", "g"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component_id", F.when(F.col("n_links").isNull(), F.col("vec_id"))).alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

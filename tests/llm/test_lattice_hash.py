@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
 
-from postlake.llm import lattice_hash
+from postlake.llm import components, lattice_hash
 from postlake.llm.lattice_hash import Lattice, nearest, shortest_vectors
 
 SCHEMA = StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType())),
@@ -136,3 +136,21 @@ def test_given_vectors_and_planted_ones(spark, folder):
     links = sum(n for _, n, _ in found) / sum(n for _, n, _ in true)
     assert 0.93 <= links <= 1
     assert all(a[1] <= b[1] for a, b in zip(found, true, strict=True))
+
+
+def test_nothing_is_broadcast_by_its_size(spark, monkeypatch):
+    """Cells are rows made by Python, whose number Spark does not know."""
+    plans = []
+
+    def told(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, label)
+
+    materialise = lattice_hash.materialise
+    monkeypatch.setattr(lattice_hash, "materialise", told)
+    monkeypatch.setattr(components, "materialise", told)
+    rows = near_groups(6, 5)
+    found = lattice_hash.classes(table(spark, rows))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 8 and [p for p in plans if "Broadcast" in p] == []
+    assert result(found.select("vec_id", "n_links", "component_id")) == brute(rows)
