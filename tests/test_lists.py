@@ -1,5 +1,7 @@
 """The index of posting lists: size, folders that a look-up opens, blocks passed over."""
 
+import pathlib
+
 import pytest
 
 from postlake.operators import index, lists, search
@@ -112,3 +114,35 @@ def test_files_hold_a_bounded_number_of_entries(spark, state):
     whole = sum(r.n for r in held)
     assert whole == stored.dictionary.agg({"postings": "sum"}).first()[0] > 20000
     assert stored.dictionary.where("postings > 2000").isEmpty() and max(r.n for r in held) < whole / 4
+
+
+def test_entries_are_not_shuffled(spark, state):
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    begun = shuffled()
+    stored = lists.write_lists(state, scratch_path(spark, "lists"), folders=4)
+    written = shuffled() - begun
+    files = [f for f in pathlib.Path(stored.path.removeprefix("file:")).rglob("*.parquet") if "/lists/" in str(f)]
+    assert 0 < written < sum(f.stat().st_size for f in files)
+
+
+def test_rows_of_blocks_that_come_in_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        texts = ["b a a", "a b c", "", "c b", "a b a b", None, "a"]
+        rows = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "fingerprint string, title string").coalesce(1)
+        stored = lists.write_lists(rows, scratch_path(spark, "lists"), folders=2, bits=2, common=0.2)
+        told = {(r.term, r.block): [(e.number, e.doc_tokens, e.places) for e in r.entries] for r in stored.listed().collect()}
+        pairs = {(r.term, r.block): [(e.number, e.places) for e in r.entries] for r in stored.listed("pairs").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert told == {
+        ("a", 0): [(0, 3, [1, 2]), (1, 3, [0])], ("b", 0): [(0, 3, [0]), (1, 3, [1]), (3, 2, [1])],
+        ("c", 0): [(1, 3, [2]), (3, 2, [0])], ("a", 1): [(4, 4, [0, 2]), (6, 1, [0])], ("b", 1): [(4, 4, [1, 3])]}
+    assert pairs == {
+        ("b a", 0): [(0, [0])], ("a a", 0): [(0, [1])], ("a b", 0): [(1, [0])], ("b c", 0): [(1, [1])],
+        ("c b", 0): [(3, [0])], ("a b", 1): [(4, [0, 2])], ("b a", 1): [(4, [1])]}
+    assert {(r.n, r.most, r.shortest) for r in stored.listed().where("term = 'a' and block = 1").collect()} == {(2, 20.0, 1)}
