@@ -23,13 +23,15 @@ from ..operators.index import Index, read_index, refresh_index, write_index
 from ..operators.search import Corpus, token_count
 from ..operators.state import overlay_changes
 from ..schema import POSTING_FIELDS, RAW_SCHEMA, RUN_COLUMNS, STATE_COLUMNS, conform
-from ..session import keyed, materialise
+from ..session import keyed, materialise, remove_folder, scratch_path, tidy
 
 #: Columns the store keeps beside a posting: when it was written, how long it is.
 _KEPT = {"version": T.LongType(), "doc_tokens": T.IntegerType()}
 _STATE_SCHEMA = T.StructType([T.StructField(c, POSTING_FIELDS.get(c, T.StringType())) for c in STATE_COLUMNS])
 _STORED_SCHEMA = T.StructType([*_STATE_SCHEMA.fields, *[T.StructField(n, k) for n, k in _KEPT.items()]])
 _GONE = "fingerprint string, version bigint"
+#: Bytes of the state that a run rewrites at one time.
+_AT_ONCE = 256 << 20
 METRICS = "run_id string, counter string, n bigint"
 
 
@@ -144,6 +146,20 @@ class Store:
         """Buckets of some keys: at most as many numbers as there are buckets."""
         return sorted(r.b for r in keys.select(self.bucket_of().alias("b")).distinct().collect())
 
+    def _groups(self, state: Published | None, touched: list[int]) -> list[list[int]]:
+        """Some buckets in groups of some `_AT_ONCE` bytes of a published state."""
+        groups, held = [[]], 0
+        for bucket in touched:
+            place = state.folders.get(str(bucket)) if state else None
+            if place:
+                system, written = self._file(f"{place}/bucket={bucket}")
+                held += system.getContentSummary(written).getLength()
+            groups[-1].append(bucket)
+            if held >= _AT_ONCE:
+                groups.append([])
+                held = 0
+        return [g for g in groups if g]
+
     def _commit(
         self, run: str, touched: list[int], change: Callable[[DataFrame, int], DataFrame],
         mark: tuple[str, int] | None, counters: Callable[[DataFrame], dict[str, int]],
@@ -163,10 +179,15 @@ class Store:
             old = self.rows(base, touched)
             counted = counters(old)
             place = f"state/{uuid.uuid4().hex}"
-            changed = change(old, version).withColumn("bucket", self.bucket_of())
-            # A file for each bucket: as many as the tasks that read it would make more of them each run.
-            ordered = changed.repartition("bucket").sortWithinPartitions("bucket", "fingerprint")
-            keyed(ordered.write).partitionBy("bucket").parquet(self.folder(place))
+            # What is shuffled for some buckets goes before that of the next.
+            for group in self._groups(base, touched):
+                changed = change(self.rows(base, group), version).withColumn("bucket", self.bucket_of())
+                # A file for each bucket: as many as the tasks that read it would make more of them each run.
+                ordered = changed.filter(F.col("bucket").isin(group)).repartition("bucket").sortWithinPartitions(
+                    "bucket", "fingerprint")
+                with tidy(ordered.sparkSession):
+                    keyed(ordered.write).option("compression", "zstd").mode("append").partitionBy("bucket").parquet(
+                        self.folder(place))
             folders = dict(base.folders) if base else {}
             for bucket in touched:
                 system, written = self._file(f"{place}/bucket={bucket}")
@@ -182,12 +203,17 @@ class Store:
                 self._write("published/noted", str(version), overwrite=True)
                 return counted
 
-    def upsert(self, batch: DataFrame, run: str, mark: tuple[str, int] | None = None) -> dict[str, int]:
+    def upsert(
+        self, batch: DataFrame, run: str, mark: tuple[str, int] | None = None, spent: Callable[[], None] = lambda: None
+    ) -> dict[str, int]:
         """Write a folded batch over the state. The rows of the touched buckets are dealt
-        by bucket, one file for each. `mark` names a stream and its batch. Returns how
-        many postings were new and updated."""
+        by bucket, one file for each. `mark` names a stream and its batch; `spent` is called
+        when `batch` is not read any more. Returns how many postings were new and updated."""
         sized = batch.select(*STATE_COLUMNS).withColumn("doc_tokens", token_count(batch))
-        written = materialise(sized, "batch")
+        path = scratch_path(sized.sparkSession, "batch")
+        with tidy(sized.sparkSession):
+            written = materialise(sized, "batch", path)
+        spent()
 
         def change(old: DataFrame, version: int) -> DataFrame:
             changes = written.withColumn("version", F.lit(version).cast("bigint")).select(*_STORED_SCHEMA.names)
@@ -198,7 +224,9 @@ class Store:
             updated = written.select("fingerprint").join(old.select("fingerprint"), "fingerprint", "left_semi").count()
             return {"new": total - updated, "updated": updated}
 
-        return self._commit(run, self._touched(written), change, mark, counters)
+        told = self._commit(run, self._touched(written), change, mark, counters)
+        remove_folder(self.spark, path)
+        return told
 
     def remove(self, fingerprints: DataFrame, run: str) -> None:
         """Take postings out of the state, and so out of every index brought up to it."""

@@ -33,5 +33,6 @@ def append_archive(postings: DataFrame, path: str) -> None:
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source", "run_id")
         .option("ignoreNullFields", "false")
+        .option("compression", "gzip")
         .json(path)
     )

@@ -30,7 +30,7 @@ from ..operators.validate import accepted, judge
 from ..plans.ingest import Run, ingest
 from ..plans.store import Store
 from ..schema import RAW_SCHEMA, RUN_COLUMNS
-from ..session import scratch_path
+from ..session import remove_folder, scratch_path
 
 
 def utc_now() -> str:
@@ -120,6 +120,7 @@ def start(
         written = spark.read.schema(batch.schema).parquet(path)
         rows = written.filter(~F.col("new_key")).drop("new_key")
         if rows.isEmpty():
+            remove_folder(spark, path)
             return
         # A new checkpoint is a new stream, whose batches are numbered from 0 again.
         identity = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
@@ -127,7 +128,8 @@ def start(
         seen_at = clock(number) if clock else utc_now()
         raw = rows.withColumn("ingest_seq", F.coalesce("ingest_seq", F.monotonically_increasing_id()))
         run = Run(f"{name}-{number:09d}", number, seen_at, steps=steps)
-        ingest(raw, store, run, written.filter("new_key").select("source", "fingerprint"), (name, number))
+        ingest(raw, store, run, written.filter("new_key").select("source", "fingerprint"), (name, number),
+               lambda: remove_folder(spark, path))
 
     writer = both.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -400,3 +400,35 @@ def test_a_run_writes_a_file_for_each_bucket(spark):
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     files = list(pathlib.Path(store.folder("state").removeprefix("file:")).rglob("*.parquet"))
     assert store.state().count() == 120 and len(files) == 3 * 4
+
+
+def test_a_run_leaves_no_tables_of_its_own(spark, monkeypatch):
+    """Buckets are rewritten a few at a time, and what a run only writes for itself goes."""
+    import pathlib
+
+    from postlake import session
+    from postlake.plans import store as stores
+
+    def own():
+        folder = pathlib.Path(session._session_folder(spark).removeprefix("file:"))
+        return {p.name for p in folder.iterdir() if p.name.startswith(("stage-", "kept-", "batch-", "micro-batch-"))}
+
+    monkeypatch.setattr(stores, "_AT_ONCE", 1, raising=False)
+    store, landing = Store(spark, scratch_path(spark, "tidied"), buckets=4), scratch_path(spark, "landing")
+    checkpoint = scratch_path(spark, "ck")
+    spark.range(1).write.parquet(scratch_path(spark, "any"))
+    before = own()
+    for day in (1, 2):
+        raw(spark, *[{"external_id": str(i), "title": f"day {day}"} for i in range(20 * day)]).write.mode("append").json(landing)
+        query = stream.start(stream.read_landing(spark, landing), store, checkpoint, clock=lambda n: NOW)
+        query.awaitTermination()
+        assert query.exception() is None
+    again = raw(spark, *[{"external_id": str(i), "title": "batch"} for i in range(30, 50)])
+    assert ingest(again, store, Run("b", 9, NOW))["updated"] == 10
+    assert own() == before
+    titles = {r.external_id: r.title for r in store.state().collect()}
+    assert len(titles) == 50 and titles["49"] == titles["30"] == "batch" and titles["29"] == "day 2"
+    for bucket, place in store.newest().folders.items():
+        written = pathlib.Path(f"{store.folder(place)}/bucket={bucket}".removeprefix("file:"))
+        assert len(list(written.glob("*.parquet"))) == 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
